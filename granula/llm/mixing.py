@@ -90,22 +90,22 @@ def mix(
     words = F.least(F.col("quota") * block, F.col("source_size") * most)
     plan = quotas.select(
         "source", "source_size", "target",
-        F.coalesce(F.floor(F.expr(f"try_divide(least(quota * {block}, source_size * {most}), source_size)")), F.lit(0)).cast("long").alias("passes"),
-        words.alias("words"), F.ceil((F.col("source_size") + 1) / F.lit(shard_size)).cast("long").alias("shards"),
-    ).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
+        F.coalesce(F.floor(F.expr(f"try_divide(least(quota * {block}, source_size * {most}), source_size)")), F.lit(0)).cast("long").alias("__passes"),
+        words.alias("__words"), F.ceil((F.col("source_size") + 1) / F.lit(shard_size)).cast("long").alias("__shards"),
+    ).withColumn("__rest", F.col("__words") - F.col("__passes") * F.col("source_size"))
     # Null-safe equality on a struct key would not hash; a coalesced key and flag do.
     tag = lambda d: d.withColumns({"__src": F.coalesce("source", F.lit("")), "__nul": F.col("source").isNull()})
     rows = tag(rows).join(tag(plan).drop("source"), ["__src", "__nul"])
     mark = F.xxhash64(F.lit(seed), "doc_id")
-    rows = rows.withColumn("__h", mark).withColumn("__shard", F.when(F.col("size") > 0, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards"))).otherwise(F.lit(-1) - F.pmod("doc_id", F.lit(64))))
-    held = rows.where("size > 0").groupBy("__src", "__nul", "__shard", "rest").agg(F.sum("size").alias("__held"))
+    rows = rows.withColumn("__h", mark).withColumn("__shard", F.when(F.col("size") > 0, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("__shards"))).otherwise(F.lit(-1) - F.pmod("doc_id", F.lit(64))))
+    held = rows.where("size > 0").groupBy("__src", "__nul", "__shard", "__rest").agg(F.sum("size").alias("__held"))
     shares = sainte_lague(
-        held, ["__src", "__nul"], F.floor((F.col("rest") + block - 1) / block), F.col("__held"), F.col("__shard"),
+        held, ["__src", "__nul"], F.floor((F.col("__rest") + block - 1) / block), F.col("__held"), F.col("__shard"),
     ).select("__src", "__nul", "__shard", (F.col("quota") * block).alias("__quota"))
     line = Window.partitionBy("__src", "__nul", "__shard").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(shares, ["__src", "__nul", "__shard"], "left")
     before = F.coalesce(F.sum("size").over(line), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("__quota", F.lit(0)) - before))
-    return rows.withColumn("taken", (F.col("passes") * F.col("size") + F.when(F.col("passes") < most, part).otherwise(0)).cast("long")).select(
+    return rows.withColumn("taken", (F.col("__passes") * F.col("size") + F.when(F.col("__passes") < most, part).otherwise(0)).cast("long")).select(
         *[c for c in docs.columns if c not in new], *new
     )

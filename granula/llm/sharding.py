@@ -18,10 +18,6 @@ def hash_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def prefix(bits: Column, depth: Column | int) -> Column:
-    return F.shiftrightunsigned(bits, F.lit(DEPTH) - depth) if not isinstance(depth, int) else F.shiftrightunsigned(bits, DEPTH - depth)
-
-
 def directory(sizes: DataFrame, limit: int) -> DataFrame:
     """The leaves (depth, prefix, shard_bytes, shard_rows) for ``sizes`` (h, n, bytes).
 

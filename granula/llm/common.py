@@ -59,6 +59,12 @@ def drop_materialized(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def batch_rows(spark: SparkSession, rows: int = 256) -> None:
+    """Rows that cross to Python at once from now on: few where a row holds a text, more where
+    rows are narrow, so that batches stay small in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with about ``limit`` bytes of text each (one row at least)."""
     for batch in batches:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import text_chunks
+from granula.llm.common import batch_rows, text_chunks
 from granula.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -100,6 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     end = np.array([end_id], "<u4").tobytes()
+    batch_rows(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(tokenizer, False), SumOfSquares(window)

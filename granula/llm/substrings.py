@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import WordHashes, gram_hashes, materialize, text_chunks, utf8
+from granula.llm.common import WordHashes, batch_rows, gram_hashes, materialize, text_chunks, utf8
 
 #: Words of an anchor phrase.
 ANCHOR = 5
@@ -190,6 +190,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
     both doc_id and text are one document, returned each time; rows that share only the doc_id
     are ordered by place and do not lose what both have at the same place. An empty table gives no rows.
     """
+    batch_rows(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = docs.withColumn("k", F.xxhash64("doc_id", "text"))
     recurring = materialize(_anchor_counts(docs, window).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "anchors")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granula.llm.common import text_chunks
+from granula.llm.common import batch_rows, text_chunks
 from granula.llm.tokens import encoder
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
@@ -25,6 +25,7 @@ def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 1, lossy_space: boo
     doc_ids come first; repeated doc_ids are ordered by text. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    batch_rows(spark)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()

@@ -1,13 +1,12 @@
-"""Token ids of whole texts, in tasks: the tokenizers library behind a cache of pieces."""
+"""Token ids of whole texts, in tasks: the tokenizers library behind a memory of pieces."""
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Cuts before a space between two characters that are not white space, the only place used
 #: for texts with runs of white space. No pre-tokenizer of the supported files joins across it.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -22,34 +21,63 @@ def _pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts by ``tokenizers``; each distinct piece of text is encoded once.
+    """Encodes texts by ``tokenizers``; a piece of text that was met lately is not encoded again.
 
-    ``lossy_space`` is for tokenizers that drop white space: pieces are then words. The cache
-    holds at most ``most`` pieces.
+    ``lossy_space`` is for tokenizers that drop white space: pieces are then words. Pieces are
+    remembered in two generations of at most ``most`` each; those still in use when the younger
+    is full move on with it.
     """
 
-    def __init__(self, path: str, lossy_space: bool, most: int = 600_000):
+    def __init__(self, path: str, lossy_space: bool, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = (lambda text: text.split(" ")) if lossy_space else _pieces
+        self.cut = (lambda text: text.replace("\n", " ").split(" ")) if lossy_space else _pieces
         self.most = most
-        self.cache: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.cut(x) for x in texts]
-        if len(self.cache) > self.most:
-            self.cache = {"": b""}
-        new = list(set().union(*parts).difference(self.cache))
+    def _learn(self, pieces: list[str]) -> None:
+        """Put ``pieces`` into the younger generation."""
+        if len(self.young) + 2 * len(pieces) > self.most:
+            self.old, self.young = self.young, {"": b""}
+        young, old, new, ends = self.young, self.old, [], []
+        for p in pieces:
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+            elif p[-1] in ".,!" and p[-2:-1].isalpha():
+                # A letter and a mark after it never share a pre-token, so both are encoded apart.
+                ends.append(p)
+                for x in (p[:-1], p[-1]):
+                    if x not in young:
+                        if (ids := old.get(x)) is not None:
+                            young[x] = ids
+                        else:
+                            young[x] = b""
+                            new.append(x)
+            else:
+                new.append(p)
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+                young[piece] = array("I", e.ids).tobytes()
+        for p in ends:
+            young[p] = young[p[:-1]] + young[p[-1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts = [self.cut(x) for x in texts]
+        found = [list(map(self.young.get, p)) for p in parts]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        if lacking:
+            self._learn(list(dict.fromkeys(p for k in lacking for p, ids in zip(parts[k], found[k], strict=True) if ids is None)))
+            for k in lacking:
+                # The generation may have changed: what was found before is still in ``found``.
+                get = self.young.get
+                found[k] = [get(p) if ids is None else ids for p, ids in zip(parts[k], found[k], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=4)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granula.llm.common import shared_dir, text_chunks, utf8
+from granula.llm.common import batch_rows, shared_dir, text_chunks, utf8
 
 #: Fixed value: the profile that marks a revisit by equal payload (WARC 1.1).
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,6 +55,8 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "1970-
     task that is run again replaces its file. Null html is empty, null urls are empty; a null
     page_id is never a keeper. Repeated page_ids with equal payloads are all responses of it.
     """
+    batch_rows(pages.sparkSession)
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, "html", 8 << 20):
             payloads = utf8(b.column("html"))

@@ -103,7 +103,8 @@ def mix(
         held, ["__src", "__nul"], F.floor((F.col("__rest") + block - 1) / block), F.col("__held"), F.col("__shard"),
     ).select("__src", "__nul", "__shard", (F.col("quota") * block).alias("__quota"))
     line = Window.partitionBy("__src", "__nul", "__shard").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(shares, ["__src", "__nul", "__shard"], "left")
+    # Dealt by the whole key before the join, which would else be content with the source alone.
+    rows = rows.repartition("__src", "__nul", "__shard").join(shares, ["__src", "__nul", "__shard"], "left")
     before = F.coalesce(F.sum("size").over(line), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("__quota", F.lit(0)) - before))
     return rows.withColumn("taken", (F.col("__passes") * F.col("size") + F.when(F.col("__passes") < most, part).otherwise(0)).cast("long")).select(

@@ -6,16 +6,27 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
-#: Cuts before a space between two characters that are not white space, the only place used
-#: for texts with runs of white space. No pre-tokenizer of the supported files joins across it.
+#: Cuts before a space between two characters that are not white space. No pre-tokenizer of
+#: the supported files joins across such a place.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_RUN = re.compile(r"\s\s|\x00")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: printable Latin-1
+    characters stand for themselves, the other bytes for code points from 256 on."""
+    plain = {b for b in range(256) if 33 <= b < 127 or b > 160 and b != 173}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b if b in plain else 256 + rest.index(b)) for b in range(256)}
+
+
+_CHARACTER = _byte_characters()
 
 
 def _pieces(text: str) -> list[str]:
     """Parts that the tokenizer encodes independently of each other; joined, they are the text."""
-    if _RUN.search(text):
+    if "\x00" in text or " ".join(text.split()) != text.replace("\n", " "):
         return _CUT.split(text)
     return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
@@ -35,10 +46,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = (lambda text: text.replace("\n", " ").split(" ")) if lossy_space else _pieces
+        self.model = self.tokenizer.model
+        self.lower = lossy_space
         self.most = most
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a piece that is one run of letters, after a space or not: one pre-token, which
+        goes straight to the library's model. None for any other piece."""
+        letters = piece[1:] if piece[0] == " " else piece
+        if not letters.isalpha():
+            return None
+        if self.lower:
+            # In this range the normalizer changes nothing but the case of composed letters.
+            if piece[0] == " " or max(piece) > "\u024f" or not is_normalized("NFC", piece):
+                return None
+            piece = piece.lower()
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARACTER))]).tobytes()
+
     def _learn(self, pieces: list[str]) -> None:
         """Put ``pieces`` into the younger generation."""
         if len(self.young) + 2 * len(pieces) > self.most:
@@ -54,9 +80,13 @@ class Encoder:
                     if x not in young:
                         if (ids := old.get(x)) is not None:
                             young[x] = ids
+                        elif (ids := self._word(x)) is not None:
+                            young[x] = ids
                         else:
                             young[x] = b""
                             new.append(x)
+            elif (ids := self._word(p)) is not None:
+                young[p] = ids
             else:
                 new.append(p)
         for k in range(0, len(new), 4096):
@@ -70,13 +100,20 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.cut(x) for x in texts]
         found = [list(map(self.young.get, p)) for p in parts]
-        lacking = [k for k, ids in enumerate(found) if None in ids]
+        lacking = []
+        for k, ids in enumerate(found):
+            i = -1
+            while True:
+                try:
+                    i = ids.index(None, i + 1)
+                except ValueError:
+                    break
+                lacking.append((k, i))
         if lacking:
-            self._learn(list(dict.fromkeys(p for k in lacking for p, ids in zip(parts[k], found[k], strict=True) if ids is None)))
-            for k in lacking:
-                # The generation may have changed: what was found before is still in ``found``.
-                get = self.young.get
-                found[k] = [get(p) if ids is None else ids for p, ids in zip(parts[k], found[k], strict=True)]
+            self._learn(list(dict.fromkeys(parts[k][i] for k, i in lacking)))
+            # The generation may have changed: what was found before is still in ``found``.
+            for k, i in lacking:
+                found[k][i] = self.young[parts[k][i]]
         return [b"".join(ids) for ids in found]
 
 

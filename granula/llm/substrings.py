@@ -48,37 +48,57 @@ def fragments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def _anchor_counts(docs: DataFrame, window: int) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for chunk in text_chunks(batches):
-            found = [fragments(hashes.of(t.split()), window)[0] for t in utf8(chunk.column("text"))]
-            h, c = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.record_batch([pa.array(h), pa.array(c.astype(np.int64))], ["h", "c"])
-
-    return docs.select("text").mapInArrow(rows, "h long, c long")
-
+def _recurring(docs: DataFrame, window: int, remembered: int = 300_000) -> DataFrame:
+    """(k, at): fragments, by the position of their anchor, whose anchor recurs in the corpus.
 
-def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    A task sends two places of an anchor by the anchor's hash; of those beyond it knows that
+    they recur and sends them by their document, so a very frequent anchor meets itself twice a
+    task. Behind the shuffle anchors come sorted, and those with a neighbour recur.
+    """
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), {}
         for chunk in text_chunks(batches):
             found = [fragments(hashes.of(t.split()), window)[:2] for t in utf8(chunk.column("text"))]
-            sizes = [len(h) for h, _ in found]
+            h = np.concatenate([h for h, _ in found])
+            k = np.repeat(chunk.column("k").to_numpy(), [len(h) for h, _ in found])
+            if len(seen) > remembered:
+                seen = {}
+            many = np.zeros(len(h), bool)
+            for i, x in enumerate(h.tolist()):
+                seen[x] = n = seen.get(x, 0) + 1
+                many[i] = n > 2
             yield pa.record_batch([
-                pa.array(np.concatenate([h for h, _ in found])), pa.array(np.repeat(chunk.column("k").to_numpy(), sizes)),
-                pa.array(np.concatenate([p for _, p in found]).astype(np.int32)),
-            ], ["h", "k", "at"])
+                pa.array(np.where(many, k, h)), pa.array(k), pa.array(np.concatenate([p for _, p in found]).astype(np.int32)), pa.array(many),
+            ], ["h", "k", "at", "many"])
 
-    return docs.select("k", "text").mapInArrow(rows, "h long, k long, at int")
+    def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row before, (h, k, at, sent)
+        for b in batches:
+            many = b.column("many").to_numpy(zero_copy_only=False)
+            h, k, at = (b.column(c).to_numpy() for c in ("h", "k", "at"))
+            out_k, out_at = [k[many]], [at[many]]
+            h, k, at = h[~many], k[~many], at[~many]
+            if len(h):
+                same = h[1:] == h[:-1]
+                sent = np.concatenate([[last is not None and last[0] == h[0]], same])
+                if sent[0] and not last[3]:
+                    out_k.append(np.array([last[1]]))
+                    out_at.append(np.array([last[2]], at.dtype))
+                sent[:-1] |= same
+                out_k.append(k[sent])
+                out_at.append(at[sent])
+                last = (h[-1], k[-1], at[-1], sent[-1])
+            yield pa.record_batch([pa.array(np.concatenate(out_k)), pa.array(np.concatenate(out_at))], ["k", "at"])
+
+    sent = docs.select("k", "text").mapInArrow(places, "h long, k long, at int, many boolean")
+    return sent.repartition("h").sortWithinPartitions("many", "h").mapInArrow(sorted_out, "k long, at int")
 
 
 def _candidates(docs: DataFrame, window: int, remembered: int = 40_000) -> DataFrame:
-    """Fragments with a recurring anchor (h, id, k, start, words).
+    """Fragments with a recurring anchor (h, id, k, start, last, words).
 
-    A task sends a fragment that it has just seen at an earlier place as a span to remove
-    (``words`` null, ``h`` its length in windows), so very frequent passages cross the
-    shuffle about once a task.
+    A task sends a fragment that it has just seen at an earlier place as a span to remove, by its
+    document and without words, so very frequent passages meet themselves about once a task.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), {}
@@ -91,16 +111,16 @@ def _candidates(docs: DataFrame, window: int, remembered: int = 40_000) -> DataF
                     s, e = int(first[i]), int(last[i])
                     piece = b" ".join(words[s : e + window])
                     if (place := seen.get(piece)) is not None and place < (doc, s):
-                        out.append((e - s + 1, doc, k, s, None))
+                        out.append((k, doc, k, s, e, None))
                         continue
                     if len(seen) >= remembered:
                         seen.clear()
                     seen[piece] = (doc, s)
-                    out.append((int(h[i]), doc, k, s, piece))
+                    out.append((int(h[i]), doc, k, s, e, piece))
             if out:
-                yield pa.record_batch([*(pa.array([o[i] for o in out], pa.int64()) for i in range(4)), pa.array([o[4] for o in out], pa.binary())], ["h", "id", "k", "start", "words"])
+                yield pa.record_batch([*(pa.array([o[i] for o in out], pa.int64()) for i in range(5)), pa.array([o[5] for o in out], pa.binary())], ["h", "id", "k", "start", "last", "words"])
 
-    return docs.select("id", "k", "text", "places").mapInArrow(rows, "h long, id long, k long, start long, words binary")
+    return docs.select("id", "k", "text", "places").mapInArrow(rows, "h long, id long, k long, start long, last long, words binary")
 
 
 class Shard:
@@ -151,7 +171,10 @@ def _repeats(candidates: DataFrame, window: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, now, out = Shard(window), None, []
         for b in batches:
-            for h, doc, k, start, words in zip(*(b.column(c).to_pylist() for c in ("h", "id", "k", "start", "words")), strict=True):
+            for h, doc, k, start, last, words in zip(*(b.column(c).to_pylist() for c in ("h", "id", "k", "start", "last", "words")), strict=True):
+                if words is None:
+                    out.append((k, start, last))
+                    continue
                 if len(shard.rows) >= SHARD:
                     out.extend(shard.spans())
                     if h != now:  # else the anchor goes on, and what stands first is still needed
@@ -168,8 +191,8 @@ def _repeats(candidates: DataFrame, window: int) -> DataFrame:
     def table(out: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["k", "first", "last"])
 
-    dealt = candidates.where("words is not null").repartition("h").sortWithinPartitions("h", "id", "start")
-    return dealt.select("h", "id", "k", "start", "words").mapInArrow(rows, "k long, first long, last long")
+    dealt = candidates.repartition("h").sortWithinPartitions("h", "id", "start")
+    return dealt.select("h", "id", "k", "start", "last", "words").mapInArrow(rows, "k long, first long, last long")
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
@@ -179,12 +202,13 @@ def remove_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
     start earlier: in a smaller doc_id, or earlier in the same document. Windows are judged on
     the input. kept_text has the kept words joined by single spaces.
 
-    1. Every window has an anchor phrase; anchors that occur once in the corpus rule out their
-       windows. Counts are pre-aggregated; only hashes and places are shuffled.
-    2. Documents are scanned for fragments around recurring anchors, which go to the shard
+    1. Texts that stand in a smaller doc_id too are copies; all their windows are removed.
+    2. Every window has an anchor phrase; an anchor that occurs once in the corpus rules out its
+       windows. Hashes and places are shuffled, very frequent anchors settled before.
+    3. Documents are scanned for fragments around recurring anchors, which go to the shard
        that owns the anchor. There recurring windows are confirmed by their words, compiled into
        automata of bounded size, and every fragment is streamed through to locate all occurrences.
-    3. Spans go back to their documents.
+    4. Spans go back to their documents.
 
     Null and blank texts have no words. Null doc_ids come after all others. Rows that repeat
     both doc_id and text are one document, returned each time; rows that share only the doc_id
@@ -193,22 +217,24 @@ def remove_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
     batch_rows(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = docs.withColumn("k", F.xxhash64("doc_id", "text"))
-    recurring = materialize(_anchor_counts(docs, window).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "anchors")
-    places = _anchors(keyed, window).join(recurring, "h", "left_semi").groupBy("k").agg(F.collect_list("at").alias("places"))
-    touched = keyed.join(places, "k").withColumn("id", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    candidates = materialize(_candidates(touched, window), "fragments")
-    spans = candidates.where("words is null").select("k", F.col("start").alias("first"), (F.col("start") + F.col("h") - 1).alias("last"))
-    spans = spans.unionByName(_repeats(candidates, window)).groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    keyed = keyed.select("k", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "doc_id", "text")
+    named = keyed.select("k", "id", F.md5(F.col("text").cast("binary")).alias("same")).where("same is not null")
+    firsts = named.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = materialize(named.join(firsts, "same").where("id > first").select("k").distinct(), "copies")
+    places = _recurring(keyed, window).join(copies, "k", "left_anti").groupBy("k").agg(F.collect_list("at").alias("places"))
+    whole = copies.select("k", F.lit(0).cast("long").alias("first"), F.lit(1 << 60).cast("long").alias("last"))
+    spans = _repeats(_candidates(keyed.join(places, "k"), window), window).unionByName(whole)
+    spans = spans.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             out = []
             for text, found in zip(utf8(chunk.column("text")), chunk.column("spans").to_pylist(), strict=True):
                 words = text.split()
-                if found:
+                if found and len(words) >= window:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, [s["first"] for s in found], 1)
-                    np.add.at(edge, [s["last"] + window for s in found], -1)
+                    np.add.at(edge, [min(s["last"] + window, len(words)) for s in found], -1)
                     keep = np.cumsum(edge)[:-1] == 0
                     kept = [words[i] for i in np.flatnonzero(keep)]
                 else:

@@ -217,13 +217,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
     batch_rows(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = docs.withColumn("k", F.xxhash64("doc_id", "text"))
-    keyed = keyed.select("k", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "doc_id", "text")
-    named = keyed.select("k", "id", F.md5(F.col("text").cast("binary")).alias("same")).where("same is not null")
+    keyed = keyed.select("k", "doc_id", "text")
+    place = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id")
+    named = keyed.select("k", place, F.md5(F.col("text").cast("binary")).alias("same")).where("same is not null")
     firsts = named.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = materialize(named.join(firsts, "same").where("id > first").select("k").distinct(), "copies")
     places = _recurring(keyed, window).join(copies, "k", "left_anti").groupBy("k").agg(F.collect_list("at").alias("places"))
     whole = copies.select("k", F.lit(0).cast("long").alias("first"), F.lit(1 << 60).cast("long").alias("last"))
-    spans = _repeats(_candidates(keyed.join(places, "k"), window), window).unionByName(whole)
+    spans = _repeats(_candidates(keyed.join(places, "k").select("k", place, "text", "places"), window), window).unionByName(whole)
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,7 +170,7 @@ def read(spark: SparkSession, path: str, *, split_bytes: int = 8 << 20) -> DataF
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     step = F.lit(split_bytes)
     ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step.cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("path"), F.col("start"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -58,17 +58,24 @@ class Encoder:
         letters = piece[1:] if piece[0] == " " else piece
         if not letters.isalpha():
             return None
+        if piece.isascii() and (not self.lower or piece is letters):
+            # ASCII letters stand for themselves; only a space before them is written otherwise.
+            plain = piece.lower() if self.lower else piece.replace(" ", _CHARACTER[32])
+            return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         if self.lower:
             # In this range the normalizer changes nothing but the case of composed letters.
             if piece[0] == " " or max(piece) > "\u024f" or not is_normalized("NFC", piece):
                 return None
             piece = piece.lower()
+            if not piece.isalpha():  # a capital whose small form has a mark of its own
+                return None
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARACTER))]).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put ``pieces`` into the younger generation."""
+    def _learn(self, words: set[str]) -> None:
+        """See to it that the younger generation has ``words``."""
+        pieces = words.difference(self.young)
         if len(self.young) + 2 * len(pieces) > self.most:
-            self.old, self.young = self.young, {"": b""}
+            self.old, self.young, pieces = self.young, {"": b""}, words - {""}
         young, old, new, ends = self.young, self.old, [], []
         for p in pieces:
             if (ids := old.get(p)) is not None:
@@ -99,22 +106,9 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.cut(x) for x in texts]
-        found = [list(map(self.young.get, p)) for p in parts]
-        lacking = []
-        for k, ids in enumerate(found):
-            i = -1
-            while True:
-                try:
-                    i = ids.index(None, i + 1)
-                except ValueError:
-                    break
-                lacking.append((k, i))
-        if lacking:
-            self._learn(list(dict.fromkeys(parts[k][i] for k, i in lacking)))
-            # The generation may have changed: what was found before is still in ``found``.
-            for k, i in lacking:
-                found[k][i] = self.young[parts[k][i]]
-        return [b"".join(ids) for ids in found]
+        self._learn(set().union(*parts))
+        ids = self.young.__getitem__
+        return [b"".join(map(ids, p)) for p in parts]
 
 
 @lru_cache(maxsize=4)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granula.llm.common import materialize
+
 #: Fixed value: weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -93,6 +95,9 @@ def mix(
         F.coalesce(F.floor(F.expr(f"try_divide(least(quota * {block}, source_size * {most}), source_size)")), F.lit(0)).cast("long").alias("__passes"),
         words.alias("__words"), F.ceil((F.col("source_size") + 1) / F.lit(shard_size)).cast("long").alias("__shards"),
     ).withColumn("__rest", F.col("__words") - F.col("__passes") * F.col("source_size"))
+    # A row a source, written: its real size is known, so Spark broadcasts it while it is small,
+    # and otherwise deals rows by source and splits the hot ones.
+    plan = materialize(plan, "sources")
     # Null-safe equality on a struct key would not hash; a coalesced key and flag do.
     tag = lambda d: d.withColumns({"__src": F.coalesce("source", F.lit("")), "__nul": F.col("source").isNull()})
     rows = tag(rows).join(tag(plan).drop("source"), ["__src", "__nul"])

@@ -96,6 +96,7 @@ def degrees_bin(cos: Column) -> Column:
 
 def first_shell_angles(bonds: DataFrame) -> DataFrame:
     """Angles at each atom between two neighbours j < k (frame, ti, tj, tk, bin)."""
+    bonds = bonds.where("r > 0")  # atoms at one place have no direction
     a = bonds.select("frame", "i", "ti", "j", "tj", *[(F.col(f"d{c}") / F.col("r")).alias(f"a{c}") for c in "xyz"])
     b = bonds.select("frame", "i", F.col("j").alias("k"), F.col("tj").alias("tk"), *[(F.col(f"d{c}") / F.col("r")).alias(f"b{c}") for c in "xyz"])
     dot = F.col("ax") * F.col("bx") + F.col("ay") * F.col("by") + F.col("az") * F.col("bz")
@@ -109,7 +110,8 @@ def second_shell_angles(bonds: DataFrame) -> DataFrame:
     p = a.join(b, ["frame", "j"]).where("k <> i").withColumns({f"c{c}": F.col(f"a{c}") + F.col(f"b{c}") for c in "xyz"})
     dot = F.col("ax") * F.col("cx") + F.col("ay") * F.col("cy") + F.col("az") * F.col("cz")
     rc = F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy") + F.col("cz") * F.col("cz"))
-    return p.select("frame", "ti", "tj", "tk", degrees_bin(dot / (F.col("ra") * rc)).alias("bin"))
+    p = p.withColumns({"dot": dot, "rc": rc}).where("ra > 0 and rc > 0")
+    return p.select("frame", "ti", "tj", "tk", degrees_bin(F.try_divide("dot", F.col("ra") * F.col("rc"))).alias("bin"))
 
 
 def angle_histogram(angles: DataFrame) -> DataFrame:
@@ -131,6 +133,7 @@ def torsions(bonds: DataFrame) -> DataFrame:
     The path table is the largest there is, so only unit vectors and ends are kept on it and
     it is counted at once, before any shuffle by bin.
     """
+    bonds = bonds.where("r > 0")
     unit = [(F.col(f"d{c}") / F.col("r")) for c in "xyz"]
     u = lambda p: [x.alias(f"{p}{c}") for x, c in zip(unit, "xyz", strict=True)]
     a = bonds.select("frame", "i", "j", *u("a"))
@@ -182,6 +185,7 @@ def bond_order(atoms: DataFrame, bonds: DataFrame, threshold: float = 0.7) -> Da
     The 13 real harmonics of order 6 are polynomials of the unit bond vector, so all is plain
     column arithmetic: a mean a row, its norm, and a dot product a bond.
     """
+    bonds = bonds.where("r > 0")
     b = bonds.select("frame", "i", *[(F.col(f"d{c}") / F.col("r")).alias(c) for c in "xyz"])
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     terms, re, im = [], F.lit(1.0), F.lit(0.0)
@@ -237,3 +241,38 @@ def lindemann(atoms: DataFrame, most: int = 40) -> DataFrame:
     p = a.join(b, ["conf_id", "frame"]).where("i <> j").select("conf_id", "i", "j", (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"))
     pair = p.groupBy("conf_id", "i", "j").agg((F.sqrt(F.greatest(F.lit(0.0), F.avg("d2") - F.avg(F.sqrt("d2")) * F.avg(F.sqrt("d2")))) / F.avg(F.sqrt("d2"))).alias("v"))
     return pair.groupBy("conf_id", F.col("i").alias("atom_id")).agg(r6(F.avg("v")).alias("lindemann"))
+
+
+def surface_sites(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Surface atoms of each frame by their neighbours within the surface: defects (1 to 3), micro
+    sites (4 to 7), facet sites (9 to 11), and each number over all atoms of the frame."""
+    scn = bonds.where("si = 1 and sj = 1").groupBy("frame", F.col("i").alias("atom_id")).agg(F.count("*").alias("scn"))
+    sites = {"defects": (1, 3), "micros": (4, 7), "facets": (9, 11)}
+    n = scn.groupBy("frame").agg(*[F.count_if(F.col("scn").between(*ends)).alias(name) for name, ends in sites.items()])
+    all_ = atoms.groupBy("frame").agg(F.count("*").alias("natoms"))
+    out = all_.join(n, "frame", "left").fillna(0, list(sites))
+    return out.withColumns({f"{name}_ratio": r6(F.col(name) / F.col("natoms")) for name in sites})
+
+
+def rebin(histogram: DataFrame, width: int = 10) -> DataFrame:
+    """Histogram of 1-degree bins from 1 on, summed over runs of ``width`` bins (numbered from 0)."""
+    return histogram.groupBy("frame", F.floor((F.col("bin") - 1) / width).alias("part")).agg(F.sum("n").alias("n"))
+
+
+def distribution_distances(g: DataFrame, step: float) -> DataFrame:
+    """Distances between the total radial distributions of each frame and the next, both scaled to
+    sum 1: Hellinger, Jensen-Shannon, Kolmogorov-Smirnov and Wasserstein. Frames of which the next
+    is missing are left out. Each row goes to its two pairs, so frames do not meet in a join."""
+    share = F.col("g") / F.sum("g").over(Window.partitionBy("frame"))
+    one = g.where("t1 is null").select("frame", "bin", share.alias("s")).where("s is not null")
+    sides = F.array(F.struct(F.col("frame").alias("pair"), F.col("s").alias("p"), F.lit(0.0).alias("q")), F.struct((F.col("frame") - 1).alias("pair"), F.lit(0.0).alias("p"), F.col("s").alias("q")))
+    both = one.select("bin", F.inline(sides)).groupBy("pair", "bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    w = Window.partitionBy("pair").orderBy("bin")
+    both = both.withColumns({"cum": F.abs(F.sum(F.col("p") - F.col("q")).over(w)), "gap": F.lead("bin").over(w) - F.col("bin")})
+    m = (F.col("p") + F.col("q")) / 2
+    part = lambda c: F.coalesce(F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / m)), F.lit(0.0))
+    out = both.groupBy(F.col("pair").alias("frame")).agg(
+        r6(F.sqrt(F.greatest(F.lit(0.0), 1 - F.sum(F.sqrt(F.col("p") * F.col("q")))))).alias("hellinger"), r6(F.sum(part("p") + part("q")) / 2).alias("js"),
+        r6(F.max("cum")).alias("ks"), r6(F.sum(F.col("cum") * F.col("gap")) * step).alias("w1"), F.sum("p").alias("sp"), F.sum("q").alias("sq"),
+    )
+    return out.where("sp > 0.5 and sq > 0.5").drop("sp", "sq")

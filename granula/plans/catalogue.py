@@ -200,11 +200,11 @@ def _deg(cos: str) -> str:
     return f"greatest(1, floor(round(degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {cos})))), 6) + 0.5)::INTEGER)"
 
 
-_G3 = f"""{_B}, u AS (SELECT frame, i, j, ti, tj, dx / r AS x, dy / r AS y, dz / r AS z FROM bonds),
+_G3 = f"""{_B}, u AS (SELECT frame, i, j, ti, tj, dx / r AS x, dy / r AS y, dz / r AS z FROM bonds WHERE r > 0),
     ang AS (SELECT a.frame, a.ti, a.tj, b.tj AS tk, {_deg("a.x * b.x + a.y * b.y + a.z * b.z")} AS bin FROM u a JOIN u b ON a.frame = b.frame AND a.i = b.i AND a.j < b.j)"""
 _G32 = f"""{_B}, p AS (SELECT a.frame, a.ti, a.tj, b.tj AS tk, a.dx AS ax, a.dy AS ay, a.dz AS az, a.r AS ra, a.dx + b.dx AS cx, a.dy + b.dy AS cy, a.dz + b.dz AS cz
     FROM bonds a JOIN bonds b ON a.frame = b.frame AND a.j = b.i AND b.j <> a.i),
-    ang AS (SELECT frame, ti, tj, tk, {_deg("(ax * cx + ay * cy + az * cz) / (ra * sqrt(cx * cx + cy * cy + cz * cz))")} AS bin FROM p)"""
+    ang AS (SELECT frame, ti, tj, tk, {_deg("(ax * cx + ay * cy + az * cz) / (ra * sqrt(cx * cx + cy * cy + cz * cz))")} AS bin FROM p WHERE ra > 0 AND cx * cx + cy * cy + cz * cz > 0)"""
 _STATS = "SELECT frame, ti, tj, tk, round(avg(bin), 6) AS avg_deg, round(stddev_pop(bin), 6) AS std_deg, max(bin) AS max_deg, min(bin) AS min_deg, count(*) AS n FROM ang GROUP BY GROUPING SETS ((frame), (frame, ti, tj, tk))"
 
 
@@ -238,7 +238,7 @@ def _x(a: str, b: str, out: str) -> str:
 _FLAT = "NOT (abs({0}x) < 0.1 AND abs({0}y) <= 0.1 AND abs({0}z) <= 0.1)"
 
 
-@query(f"""{_B}, u AS (SELECT frame, i, j, dx / r AS x, dy / r AS y, dz / r AS z FROM bonds),
+@query(f"""{_B}, u AS (SELECT frame, i, j, dx / r AS x, dy / r AS y, dz / r AS z FROM bonds WHERE r > 0),
     ab AS (SELECT a.frame, a.i, a.j, b.j AS k, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz FROM u a JOIN u b ON a.frame = b.frame AND a.j = b.i AND b.j <> a.i),
     n AS (SELECT *, {_x("a", "b", "n").replace("by", '"by"')} FROM ab), m AS (SELECT *, {_x("n", "b", "m").replace("by", '"by"')} FROM n WHERE {_FLAT.format("n")}),
     p AS (SELECT m.*, d.j AS l, d.x AS dx, d.y AS dy, d.z AS dz FROM m JOIN u d ON d.frame = m.frame AND d.i = m.k AND d.j <> m.i AND d.j <> m.j),
@@ -271,9 +271,9 @@ _P6 = "(231 * power({0}, 6) - 315 * power({0}, 4) + 105 * power({0}, 2) - 5) / 1
 _DOT = "(a.x * b.x + a.y * b.y + a.z * b.z)"
 
 
-@query(f"""{_B}, u AS (SELECT frame, i, j, dx / r AS x, dy / r AS y, dz / r AS z FROM bonds),
+@query(f"""{_B}, u AS (SELECT frame, i, j, dx / r AS x, dy / r AS y, dz / r AS z FROM bonds WHERE r > 0),
     own AS (SELECT a.frame, a.i, sqrt(sum({_P6.format(_DOT)})) AS q FROM u a JOIN u b ON a.frame = b.frame AND a.i = b.i GROUP BY 1, 2),
-    two AS (SELECT e.frame, e.i, e.j, sum({_P6.format(_DOT)}) AS s FROM half e JOIN u a ON a.frame = e.frame AND a.i = e.i JOIN u b ON b.frame = e.frame AND b.i = e.j GROUP BY 1, 2, 3),
+    two AS (SELECT e.frame, e.i, e.j, sum({_P6.format(_DOT)}) AS s FROM half e JOIN u a ON a.frame = e.frame AND a.i = e.i JOIN u b ON b.frame = e.frame AND b.i = e.j WHERE e.r > 0 GROUP BY 1, 2, 3),
     c AS (SELECT two.frame, two.i, two.j, round(s / (x.q * y.q), 9) > 0.7 AS same FROM two JOIN own x ON x.frame = two.frame AND x.i = two.i JOIN own y ON y.frame = two.frame AND y.i = two.j),
     e AS (SELECT frame, i, same FROM c UNION ALL SELECT frame, j, same FROM c)
     SELECT a.frame, a.atom_id, count(*) FILTER (e.same) AS q6q6 FROM atoms a LEFT JOIN e ON e.frame = a.frame AND e.i = a.atom_id GROUP BY 1, 2""")
@@ -317,6 +317,29 @@ def lindemann(spark, sf):
     return st.lindemann(atoms(spark, sf))
 
 
+@query(f"""{_B}, cs AS (SELECT frame, i, count(*) AS scn FROM bonds WHERE si = 1 AND sj = 1 GROUP BY 1, 2),
+    n AS (SELECT a.frame, count(*) AS natoms, count(*) FILTER (scn BETWEEN 1 AND 3) AS defects, count(*) FILTER (scn BETWEEN 4 AND 7) AS micros, count(*) FILTER (scn BETWEEN 9 AND 11) AS facets
+          FROM atoms a LEFT JOIN cs ON cs.frame = a.frame AND cs.i = a.atom_id GROUP BY 1)
+    SELECT *, round(defects / natoms, 6) AS defects_ratio, round(micros / natoms, 6) AS micros_ratio, round(facets / natoms, 6) AS facets_ratio FROM n""")
+def surface_sites(spark, sf):
+    return st.surface_sites(atoms(spark, sf), _bonds(spark, sf))
+
+
+@query(f"{_G3} SELECT frame, floor((bin - 1) / 10)::BIGINT AS part, count(*) AS n FROM ang GROUP BY 1, 2")
+def curve_rebins(spark, sf):
+    return st.rebin(angle_g3(spark, sf))
+
+
+@query(f"""{_G}, t AS (SELECT frame, bin, g / sum(g) OVER (PARTITION BY frame) AS s FROM g WHERE t1 IS NULL),
+    pq AS (SELECT coalesce(a.frame, b.frame - 1) AS frame, coalesce(a.bin, b.bin) AS bin, coalesce(a.s, 0) AS p, coalesce(b.s, 0) AS q FROM t a FULL JOIN t b ON b.frame = a.frame + 1 AND b.bin = a.bin),
+    cd AS (SELECT *, abs(sum(p - q) OVER w) AS cum, lead(bin) OVER w - bin AS gap FROM pq WINDOW w AS (PARTITION BY frame ORDER BY bin))
+    SELECT frame, round(sqrt(greatest(0, 1 - sum(sqrt(p * q)))), 6) AS hellinger,
+    round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 6) AS js,
+    round(max(cum), 6) AS ks, round(sum(cum * gap) * {_STEP}::DOUBLE, 6) AS w1 FROM cd GROUP BY frame HAVING sum(p) > 0.5 AND sum(q) > 0.5 ORDER BY frame""")
+def rdf_divergence(spark, sf):
+    return st.distribution_distances(_rdf(spark, sf), _STEP)
+
+
 def _shared(name: str, tables: str, sql: str, duck: str | None = None) -> None:
     """A query that one SQL text expresses on both sides; ``duck`` where the dialects differ."""
     def run(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -11,6 +12,8 @@ from unicodedata import is_normalized
 #: Cuts before a space between two characters that are not white space. No pre-tokenizer of
 #: the supported files joins across such a place.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: ASCII characters that are neither letters, digits nor white space.
+_MARKS = string.punctuation
 
 
 def _byte_characters() -> dict[int, str]:
@@ -80,10 +83,12 @@ class Encoder:
         for p in pieces:
             if (ids := old.get(p)) is not None:
                 young[p] = ids
-            elif p[-1] in ".,!" and p[-2:-1].isalpha():
-                # A letter and a mark after it never share a pre-token, so both are encoded apart.
-                ends.append(p)
-                for x in (p[:-1], p[-1]):
+            elif (tail := len(p) - len(p.rstrip(_MARKS))) and p[:-tail][-1:].lower().isalpha():
+                # A letter and the marks after it never share a pre-token, so both are encoded apart,
+                # but for a capital whose small form ends with a mark of its own.
+                parts = p[:-tail], p[-tail:]
+                ends.append((p, *parts))
+                for x in parts:
                     if x not in young:
                         if (ids := old.get(x)) is not None:
                             young[x] = ids
@@ -100,8 +105,8 @@ class Encoder:
             some = new[k : k + 4096]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 young[piece] = array("I", e.ids).tobytes()
-        for p in ends:
-            young[p] = young[p[:-1]] + young[p[-1]]
+        for p, stem, marks in ends:
+            young[p] = young[stem] + young[marks]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

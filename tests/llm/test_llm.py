@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granula.llm import common, components, lines, mixing, near_duplicates, packing, quality, sharding, substrings, token_files, topk, warc
+from granula.llm import common, components, lines, mixing, near_duplicates, packing, quality, sharding, substrings, token_files, tokens, topk, warc
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, size string, passes string, key string, n long"
@@ -229,3 +229,16 @@ def test_empty_tables(spark, docs):
         lambda: packing.pack(none, P.path("byte_bpe_50k.json")), lambda: mixing.mix(none, common.word_count(F.col("text"))), lambda: sharding.shard(none, "doc_id", F.octet_length("text"), 9),
     ):
         assert f().count() == 0
+
+
+@pytest.mark.parametrize(("name", "lossy"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_equals_library(name, lossy):
+    r = random.Random(7)
+    letters = "aBé ßΣς'.,!%_-<|>1२½\n\t ʼńİǅ中。\u0307"
+    texts = ["".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(4000)]
+    texts += ["don't.", "x's!!", "'s.'", "a_b__", "it's.&&&", "we'll'll", "é.,", "İ'", "İ!%", "be%%% be%%%", "<|endoftext|>!"]
+    encode = tokens.Encoder(P.path(name), lossy, most=500)
+    for k in range(0, len(texts), 200):
+        some = texts[k : k + 200]
+        whole = encode.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        assert encode(some) == [np.array(x.ids, "<u4").tobytes() for x in whole]

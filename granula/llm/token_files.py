@@ -46,16 +46,17 @@ def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 1, lossy_space: boo
     return dealt.mapInArrow(rows, SCHEMA)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, *, stripe_bytes: int = 64 << 20, row_stride: int = 1000, **options) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, *, stripe_bytes: int = 64 << 20, row_stride: int = 1000, codec: str = "snappy", **options) -> None:
     """Encode ``docs`` and write them to ``path`` as ORC.
 
     Stripes of about ``stripe_bytes`` can be read in parallel; an index entry each
-    ``row_stride`` rows and a Bloom filter on doc_id let a look-up skip the others.
+    ``row_stride`` rows and a Bloom filter on doc_id let a look-up skip the others. Run-length
+    encoded ids leave little to ``codec``, so a cheap one is the default.
     """
     (
         encode(docs, tokenizer, **options).write
         .option("orc.create.index", "true").option("orc.row.index.stride", row_stride).option("orc.stripe.size", stripe_bytes)
-        .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
+        .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("compression", codec).orc(path)
     )
 
 

@@ -276,3 +276,36 @@ def distribution_distances(g: DataFrame, step: float) -> DataFrame:
         r6(F.max("cum")).alias("ks"), r6(F.sum(F.col("cum") * F.col("gap")) * step).alias("w1"), F.sum("p").alias("sp"), F.sum("q").alias("sq"),
     )
     return out.where("sp > 0.5 and sq > 0.5").drop("sp", "sq")
+
+
+def mean_bonds(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Mean bond length (null without bonds) and number of bonds of each atom."""
+    n = bonds.groupBy("frame", F.col("i").alias("atom_id")).agg(r6(F.avg("r")).alias("avg_r"), F.count("*").alias("cn"))
+    return atoms.select("frame", "atom_id").join(n, ["frame", "atom_id"], "left").fillna(0, ["cn"])
+
+
+def under_surface(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Bulk atoms of each frame that have a neighbour in the surface; frames without one are left out."""
+    near = bonds.where("si = 0 and sj = 1").select("frame", F.col("i").alias("atom_id"))
+    return atoms.select("frame", "atom_id").join(near, ["frame", "atom_id"], "left_semi").groupBy("frame").agg(F.count("*").alias("n"))
+
+
+def unit_tracking(atoms: DataFrame, bonds: DataFrame, templates: list[tuple[int, int, int]]) -> DataFrame:
+    """The last template (type, neighbours of type 1, of type 2), counted from 1, that an atom matches;
+    0 without any. Templates are a short list, so they are a column expression."""
+    n = bonds.groupBy("frame", F.col("i").alias("atom_id")).agg(F.count_if(F.col("tj") == 1).alias("n1"), F.count_if(F.col("tj") == 2).alias("n2"))
+    a = atoms.select("frame", "atom_id", "type_id").join(n, ["frame", "atom_id"], "left").fillna(0, ["n1", "n2"])
+    hits = [F.when((F.col("type_id") == t) & (F.col("n1") == x) & (F.col("n2") == y), k).otherwise(0) for k, (t, x, y) in enumerate(templates, 1)]
+    return a.select("frame", "atom_id", F.greatest(F.lit(0), *hits).alias("template"))
+
+
+def calinski_harabasz(vectors: DataFrame, label: str, vector: str) -> DataFrame:
+    """Number of clusters and of vectors, and the ratio of the spread between clusters to that within.
+    Only sums by label and dimension are shuffled; vectors without a label are left out."""
+    x = vectors.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.posexplode(vector).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
+    c = x.groupBy("label", "d").agg(F.count("x").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("w"))
+    g = c.groupBy("d").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
+    away = F.col("m") - F.col("g")
+    k = c.join(g, "d").groupBy("label").agg(F.max("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("n") * away * away).alias("b"))
+    between, within = F.sum("b") / (F.count("*") - 1), F.sum("w") / (F.sum("n") - F.count("*"))
+    return k.agg(F.count("*").alias("clusters"), F.sum("n").alias("n"), r6(F.try_divide(between, within)).alias("calinski_harabasz"))

@@ -340,6 +340,33 @@ def rdf_divergence(spark, sf):
     return st.distribution_distances(_rdf(spark, sf), _STEP)
 
 
+@query(f"""{_B}, b AS (SELECT frame, i, avg(r) AS avg_r, count(*) AS cn FROM bonds GROUP BY 1, 2)
+    SELECT a.frame, a.atom_id, round(avg_r, 6) AS avg_r, coalesce(cn, 0)::BIGINT AS cn FROM atoms a LEFT JOIN b ON b.frame = a.frame AND b.i = a.atom_id""")
+def atom_mean_bond(spark, sf):
+    return st.mean_bonds(atoms(spark, sf), _bonds(spark, sf))
+
+
+@query(f"{_B} SELECT frame, count(DISTINCT i) AS n FROM bonds WHERE si = 0 AND sj = 1 GROUP BY frame")
+def bulk_under_surface(spark, sf):
+    return st.under_surface(atoms(spark, sf), _bonds(spark, sf))
+
+
+@query(f"""{_B}, n AS (SELECT a.frame, a.type_id, a.atom_id, count(*) FILTER (tj = 1) AS n1, count(*) FILTER (tj = 2) AS n2 FROM atoms a LEFT JOIN bonds ON bonds.frame = a.frame AND bonds.i = a.atom_id GROUP BY 1, 2, 3),
+    t AS (SELECT * FROM (VALUES (1, 1, 1, 0), (2, 2, 0, 1), (3, 1, 2, 1), (4, 2, 1, 2), (5, 1, 1, 0)) t(template, type_id, n1, n2))
+    SELECT n.frame, n.atom_id, coalesce(max(t.template), 0)::INTEGER AS template FROM n LEFT JOIN t ON t.type_id = n.type_id AND t.n1 = n.n1 AND t.n2 = n.n2 GROUP BY 1, 2""")
+def unit_tracking(spark, sf):
+    a = atoms(spark, sf)
+    return st.unit_tracking(a, nb.both_ways(nb.half_bonds(a)), [(1, 1, 0), (2, 0, 1), (1, 2, 1), (2, 1, 2), (1, 1, 0)])
+
+
+@query("""WITH v AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL),
+    c AS (SELECT label, d, count(x) AS n, avg(x) AS m, var_pop(x) * count(x) AS w FROM v GROUP BY 1, 2), g AS (SELECT d, sum(n * m) / sum(n) AS g FROM c GROUP BY d),
+    k AS (SELECT c.label, max(n) AS n, sum(w) AS w, sum(n * (m - g) * (m - g)) AS b FROM c JOIN g USING (d) GROUP BY c.label)
+    SELECT count(*) AS clusters, sum(n)::BIGINT AS n, round((sum(b) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 6) AS calinski_harabasz FROM k""")
+def cluster_separation(spark, sf):
+    return st.calinski_harabasz(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "embedding")
+
+
 def _shared(name: str, tables: str, sql: str, duck: str | None = None) -> None:
     """A query that one SQL text expresses on both sides; ``duck`` where the dialects differ."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,3 +418,12 @@ _shared("hist_bin_rules", "events", """SELECT event_type, count(*) AS n, CAST(ce
     CAST(ceil(2 * power(count(*), 1 / 3.0)) AS BIGINT) AS bins_rice, round(3.49 * stddev_samp(value) / power(count(*), 1 / 3.0), 2) AS width_scott FROM {events} GROUP BY event_type""")
 _shared("config_union", "customer supplier", "SELECT 'customer' AS source, c_nationkey AS nation, count(*) AS n FROM {customer} GROUP BY c_nationkey UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM {supplier} GROUP BY s_nationkey")
 _shared("formation_energy", "lineitem", "SELECT l_suppkey AS frame, round(sum(l_extendedprice) - sum(CASE WHEN l_returnflag = 'A' THEN 3.81 ELSE 4.39 END), 4) AS energy FROM {lineitem} GROUP BY l_suppkey")
+_shared("group_mean_sorted", "part", "SELECT substring(p_type, 1, 2) AS shape, round(avg(p_retailprice), 4) AS mean_price, round(avg(p_size), 6) AS mean_size, count(*) AS n FROM {part} GROUP BY substring(p_type, 1, 2) ORDER BY shape")
+_shared("resource_estimate", "lineitem", """WITH n AS (SELECT l_suppkey AS frame, count(*) AS natoms FROM {lineitem} GROUP BY l_suppkey), c AS (SELECT *, CAST((floor((natoms - 1) / 64000) + 1) * 48 AS BIGINT) AS ncpus FROM n)
+    SELECT frame, natoms, ncpus, CAST(floor(36 * natoms / ncpus) AS BIGINT) AS seconds FROM c""")
+_shared("density_overlap", "events", """WITH h AS (SELECT event_type, round(value, 1) AS v, count(*) AS n FROM {events} WHERE value IS NOT NULL GROUP BY event_type, round(value, 1)),
+    t AS (SELECT event_type, sum(n) AS total FROM h GROUP BY event_type), g AS (SELECT *, (SELECT min(v) FROM h) AS lo, (SELECT (max(v) - min(v)) / 99 FROM h) AS w, explode(sequence(0, 99)) AS i FROM h),
+    k AS (SELECT event_type, i, max(w) AS w, sum(n * exp(-power((lo + w * i - v) / 5, 2) / 2)) / (5 * sqrt(2 * pi())) AS s FROM g GROUP BY event_type, i),
+    d AS (SELECT k.event_type, k.i, k.w, k.s / t.total AS p FROM k JOIN t ON t.event_type = k.event_type)
+    SELECT a.event_type AS type_a, b.event_type AS type_b, round(sum(sqrt(a.p * b.p) * a.w), 6) AS bhattacharyya FROM d a JOIN d b ON a.i = b.i AND a.event_type < b.event_type GROUP BY a.event_type, b.event_type""")
+ORACLES["density_overlap"] = ORACLES["density_overlap"].replace("explode(sequence(0, 99))", "unnest(range(0, 100))")

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granula.llm.blocks import cross_links
 from granula.llm.common import WordHashes, batch_rows, gram_hashes, materialize, mix, text_chunks, utf8
 from granula.llm.components import components
 
@@ -102,6 +103,11 @@ def _payload(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(rows, "id long, registers binary, shingles binary")
 
 
+def hashes_of(data: bytes) -> np.ndarray:
+    """A shingle set from its stored form."""
+    return np.frombuffer(data, np.uint64)
+
+
 def _verified(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) with 100 * intersection >= ``percent`` * union on the full sets."""
     side = lambda c: payload.select(F.col("id").alias(c), F.col("registers").alias(f"r{c}"), F.col("shingles").alias(f"s{c}"))
@@ -135,7 +141,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 75) -> DataFr
        Candidates with plausible likelihood are verified on the full sets.
     3. Buckets whose members are not all connected by then are looked at again: small ones pair
        by pair over different components, larger ones against a member of their largest
-       component, until a round finds no new link. Nothing is capped.
+       component, until a round finds no new link.
+    4. Larger buckets that are still not connected compare all members of different components
+       block by block, so no pair that shares a bucket is left untested between components.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with a null
     doc_id are returned with null component_id and kept; rows that repeat a doc_id are all
@@ -177,6 +185,10 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 75) -> DataFr
             break
         tested, edges = tested.unionByName(new), edges.unionByName(found)
         labels = components(edges)
+    rest = open_.where(F.col("size") > SMALL).select(F.col("band").alias("bucket"), F.col("rep").alias("id"), "n", "label")
+    if not rest.isEmpty():
+        found = materialize(cross_links(rest, payload.select("id", F.col("shingles").alias("data")), hashes_of, percent), "links")
+        labels = components(edges.unionByName(found))
     of_class = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     # Rows without shingles have a null key and keep their own id.
     out = all_rows.join(of_class, "key", "left")

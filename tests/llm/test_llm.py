@@ -82,6 +82,24 @@ def test_near_duplicates(docs, rows):
     assert got == {i: (len(s), label[i], label[i] == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_in_a_large_family(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.getrandbits(60):x}"
+    base = [word() for _ in range(404)]
+    texts = []
+    for _ in range(150):  # partners at 0.75 and more in a family at about 0.7
+        shared = [word() for _ in range(18)]
+        texts += [" ".join(base + shared + [word() for _ in range(68)]) for _ in range(2)]
+    order = r.sample(range(300), 300)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")).collect()}
+    sets = {}
+    for i, k in enumerate(order):
+        w = texts[k].split()
+        sets[i] = {tuple(w[s : s + 5]) for s in range(len(w) - 4)}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(pairs) == 150 and got == components_of(sets, pairs)
+
+
 def test_registers_merge_and_estimate():
     r = np.random.default_rng(1)
     x = np.sort(r.integers(0, 2**63, 3000, dtype=np.uint64))

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granula.llm.blocks import cross_links
 from granula.llm.common import batch_rows, materialize, mix, text_chunks, utf8
 from granula.llm.components import components
 
@@ -92,25 +93,42 @@ def _table(docs: DataFrame, remembered: int = 200_000) -> DataFrame:
     return docs.select("k", "id", "text").mapInArrow(rows, "line long, k long, id long, at int, keys array<long>")
 
 
-def _candidates(table: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b): each member of a bucket with the least and with the one before."""
+def _chains(table: DataFrame) -> DataFrame:
+    """(key, lead, last, line, rank): a row a member of a bucket behind its least, ``lead``; ``last``
+    is the member before it."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = lead = last = None
+        rank = 0
         for b in batches:
             out = []
             for key, line in zip(b.column("key").to_pylist(), b.column("line").to_pylist(), strict=True):
                 if key != now:
-                    now, lead, last = key, line, line
+                    now, lead, last, rank = key, line, line, 0
                 elif line != last:
-                    out.append((lead, line))
-                    if last != lead:
-                        out.append((last, line))
+                    rank += 1
+                    out.append((key, lead, last, line, rank))
                     last = line
             if out:
-                yield pa.record_batch([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["a", "b"])
+                yield pa.record_batch([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], ["key", "lead", "last", "line", "rank"])
 
     keys = table.where("keys is not null").select("line", F.explode("keys").alias("key"))
-    return keys.repartition("key").sortWithinPartitions("key", "line").select("key", "line").mapInArrow(rows, "a long, b long").distinct()
+    return keys.repartition("key").sortWithinPartitions("key", "line").select("key", "line").mapInArrow(rows, "key long, lead long, last long, line long, rank long")
+
+
+def _open(chains: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, id, label) of the members of buckets of four and more, in which not all pairs have
+    met, that are in several components."""
+    big = chains.where("rank > 2").select("key").distinct()
+    rows = chains.join(big, "key", "left_semi")
+    members = rows.select("key", "line").unionByName(rows.where("rank = 1").select("key", F.col("lead").alias("line")))
+    at = members.join(groups, "line", "left").select(F.col("key").alias("bucket"), F.col("line").alias("id"), F.coalesce("component", "line").alias("label"))
+    several = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return at.join(several, "bucket", "left_semi")
+
+
+def shingle_set(line: bytes) -> np.ndarray:
+    """Sorted distinct shingles of a line."""
+    return np.unique(shingles([line])[0])
 
 
 def bit_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
@@ -143,9 +161,19 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "line long, text binary").join(ids, "line", "left_semi").dropDuplicates(["line"])
 
 
+def _sizes(texts: DataFrame) -> DataFrame:
+    """(id, n): the number of distinct shingles of each line."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(shingle_set(x)) for x in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("line"), pa.array(n, pa.int64())], ["id", "n"])
+
+    return texts.select("line", "text").mapInArrow(rows, "id long, n long")
+
+
 def similar(a: bytes, b: bytes, percent: int) -> bool:
     """Whether the shingle sets of two lines have a Jaccard similarity of ``percent`` or more."""
-    x, y = np.unique(shingles([a])[0]), np.unique(shingles([b])[0])
+    x, y = shingle_set(a), shingle_set(b)
     if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -174,7 +202,8 @@ def dedup_lines(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     Each distinct line of a task gets a MinHash signature; buckets of a band are streamed in
     order and link each member to the bucket's least and to its neighbour; candidates are
     verified on their whole texts, fetched past a filter of fixed size; components come from
-    star rounds. The filter and the banding decide which pairs are compared, never what is removed.
+    star rounds. Buckets whose members are then in several components compare all pairs between
+    them, block by block. The filter and the banding decide which pairs are compared, never what is removed.
 
     Null and blank texts have no lines and stay. Null doc_ids come last. Rows that repeat doc_id
     and text are one document: its first occurrence of a line is kept in each. An empty table
@@ -186,11 +215,19 @@ def dedup_lines(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     batch_rows(docs.sparkSession)
     table = materialize(_table(keyed), "lines")
     batch_rows(docs.sparkSession, 8192)
-    pairs = materialize(_candidates(table), "pairs")
+    chains = materialize(_chains(table), "chains")
+    pairs = materialize(chains.select(F.col("lead").alias("a"), F.col("line").alias("b")).unionByName(chains.select(F.col("last").alias("a"), F.col("line").alias("b"))).distinct(), "pairs")
     batch_rows(docs.sparkSession)
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "wanted")
-    links = materialize(_verified(pairs, _texts(keyed, wanted), percent), "links")
+    texts = materialize(_texts(keyed, wanted), "texts")
+    links = materialize(_verified(pairs, texts, percent), "links")
     groups = components(links).withColumnRenamed("id", "line")
+    rest = materialize(_open(chains, groups), "open")
+    if not rest.isEmpty():
+        sizes = _sizes(texts.join(rest.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))
+        found = materialize(cross_links(rest.join(sizes, "id"), texts.select(F.col("line").alias("id"), F.col("text").alias("data")), shingle_set, percent), "links")
+        if not found.isEmpty():
+            groups = components(links.unionByName(found)).withColumnRenamed("id", "line")
     placed = table.select("line", "k", "id", "at").join(groups, "line", "left").withColumn("group", F.coalesce("component", "line"))
     firsts = materialize(placed.groupBy("group").agg(F.min(F.struct("id", "at", "k")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "firsts")
     later = placed.join(firsts, "group").where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at")))

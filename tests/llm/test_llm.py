@@ -124,6 +124,22 @@ def test_lines(docs, rows):
     assert got == {i: (total[i], gone[i]) for i, *_ in rows}
 
 
+def test_lines_in_a_large_family(spark):
+    r = random.Random(5)
+    chars = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    base, rows = chars(800), []
+    for _ in range(200):  # partners at about 0.9 in a family at about 0.7
+        shared = chars(130)
+        rows += [base + shared + chars(50) for _ in range(2)]
+    r.shuffle(rows)
+    got = {x.doc_id: x.n_removed for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    sets = [lines.shingle_set(x.encode()) for x in rows]
+    keys = [set(k) for k in lines.signatures([x.encode() for x in rows]).tolist()]
+    pairs = [(a, b) for a, b in itertools.combinations(range(400), 2) if keys[a] & keys[b] and 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    label = components_of(range(400), pairs)
+    assert len(pairs) > 190 and got == {i: int(label[i] != i) for i in range(400)}
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 

@@ -232,14 +232,16 @@ def rmsd_next(atoms: DataFrame) -> DataFrame:
     return atoms.join(nxt, ["conf_id", "frame", "atom_id"]).groupBy("conf_id", "frame").agg(r6(F.sqrt(F.sum(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / (3 * F.count("*")))).alias("rmsd"), F.count("*").alias("n"))
 
 
-def lindemann(atoms: DataFrame, most: int = 40) -> DataFrame:
-    """Index of each atom over the frames of its trajectory, against atoms 1 to ``most``: mean over partners of the relative
-    fluctuation of their distance."""
-    a = atoms.where(f"atom_id <= {most}").select("conf_id", "frame", F.col("atom_id").alias("i"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    b = atoms.where(f"atom_id <= {most}").select("conf_id", "frame", F.col("atom_id").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
+def lindemann(atoms: DataFrame, most: int | None = None) -> DataFrame:
+    """Index of each atom over the frames of its trajectory, against all others: mean over partners of the relative
+    fluctuation of their distance. Partners at distance zero throughout have none. With ``most``, of atoms 1 to ``most`` alone."""
+    if most is not None:
+        atoms = atoms.where(F.col("atom_id") <= most)
+    a = atoms.select("conf_id", "frame", F.col("atom_id").alias("i"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    b = atoms.select("conf_id", "frame", F.col("atom_id").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
     d = [F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"]
     p = a.join(b, ["conf_id", "frame"]).where("i <> j").select("conf_id", "i", "j", (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"))
-    pair = p.groupBy("conf_id", "i", "j").agg((F.sqrt(F.greatest(F.lit(0.0), F.avg("d2") - F.avg(F.sqrt("d2")) * F.avg(F.sqrt("d2")))) / F.avg(F.sqrt("d2"))).alias("v"))
+    pair = p.groupBy("conf_id", "i", "j").agg(F.try_divide(F.sqrt(F.greatest(F.lit(0.0), F.avg("d2") - F.avg(F.sqrt("d2")) * F.avg(F.sqrt("d2")))), F.avg(F.sqrt("d2"))).alias("v"))
     return pair.groupBy("conf_id", F.col("i").alias("atom_id")).agg(r6(F.avg("v")).alias("lindemann"))
 
 

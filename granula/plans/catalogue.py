@@ -314,6 +314,12 @@ def rmsd_raw(spark, sf):
     WHERE a.atom_id <= 40 AND b.atom_id <= 40), q AS (SELECT conf_id, i, j, sqrt(greatest(0, avg(d2) - avg(sqrt(d2)) * avg(sqrt(d2)))) / avg(sqrt(d2)) AS v FROM p GROUP BY 1, 2, 3)
     SELECT conf_id, i AS atom_id, round(avg(v), 6) AS lindemann FROM q GROUP BY 1, 2""")
 def lindemann(spark, sf):
+    return st.lindemann(atoms(spark, sf), 40)
+
+
+@query(None)
+def lindemann_all(spark, sf):
+    """The index of every atom against all partners; no SQL, the tests hold it against a plain version."""
     return st.lindemann(atoms(spark, sf))
 
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import pytest
 
@@ -69,6 +70,21 @@ def test_torsion_counts_both_halves_at_0_and_180(spark, deg):
     assert sum(got.values()) == (4 if deg in (0, 180) else 2)
 
 
+def test_lindemann_has_all_partners(spark):
+    r = random.Random(2)
+    at = {(f, i): [r.uniform(0, 9) for _ in range(3)] for f in range(3) for i in range(1, 46)}
+    atoms = spark.createDataFrame([("np", f, i, 1, 0, *p) for (f, i), p in at.items()], ATOMS)
+    got = {x.atom_id: x.lindemann for x in st.lindemann(atoms).collect()}
+    assert len(got) == 45
+    for i in got:
+        v = []
+        for j in range(1, 46):
+            d = [math.dist(at[f, i], at[f, j]) for f in range(3)]
+            if j != i:
+                v.append(math.sqrt(max(0, sum(x * x for x in d) / 3 - (sum(d) / 3) ** 2)) / (sum(d) / 3))
+        assert got[i] == pytest.approx(sum(v) / 44, abs=1e-5)
+
+
 def test_xyz_round_trip(spark, tmp_path):
     from granula.sources.xyz import read_xyz, write_xyz
 

@@ -167,11 +167,11 @@ _G = f"""{_A}, {_pairs('p', f'{_D2} <= {_REACH + 0.01:.4f}::DOUBLE * {_REACH + 0
     g AS (SELECT frame, t1, t2, bin, n, round(n / ({2 * math.pi * _STEP * _RHO!r}::DOUBLE * natoms * ((bin - 1) * {_STEP}::DOUBLE) * ((bin - 1) * {_STEP}::DOUBLE)), 6) AS g FROM m JOIN c USING (frame))"""
 
 
-def _rdf(spark, sf):
+def _rdf(spark, sf, points=_POINTS):
     a = atoms(spark, sf)
-    limit = round(_REACH + 0.01, 4)
+    limit = round(_STEP * (points - 0.5) + 0.01, 4)
     pairs = nb.grid_pairs(a, limit, F.col("d2") <= F.lit(limit) * F.lit(limit)).withColumn("r", F.sqrt("d2"))
-    return st.rdf(pairs, st.atom_counts(a), _STEP, _POINTS, _RHO)
+    return st.rdf(pairs, st.atom_counts(a), _STEP, points, _RHO)
 
 
 @query(f"{_G} SELECT frame, bin, n, g FROM g WHERE t1 IS NULL")
@@ -346,6 +346,30 @@ def rdf_divergence(spark, sf):
     return st.distribution_distances(_rdf(spark, sf), _STEP)
 
 
+#: Points of g(r) and S(q) of the reference's run; no SQL, the tests hold the pairs against a plain version.
+_ALL_POINTS, _ALL_WAVES = 120, 513
+
+
+@query(None)
+def rdf_total_all(spark, sf):
+    return _rdf(spark, sf, _ALL_POINTS).where("t1 is null").select("frame", "bin", "n", "g")
+
+
+@query(None)
+def rdf_partial_all(spark, sf):
+    return _rdf(spark, sf, _ALL_POINTS).where("t1 is not null")
+
+
+@query(None)
+def structure_factor_all(spark, sf):
+    return st.structure_factor(_rdf(spark, sf, _ALL_POINTS), _STEP, _ALL_POINTS, _RHO, _ALL_WAVES)
+
+
+@query(None)
+def rdf_divergence_all(spark, sf):
+    return st.distribution_distances(_rdf(spark, sf, _ALL_POINTS), _STEP)
+
+
 @query(f"""{_B}, b AS (SELECT frame, i, avg(r) AS avg_r, count(*) AS cn FROM bonds GROUP BY 1, 2)
     SELECT a.frame, a.atom_id, round(avg_r, 6) AS avg_r, coalesce(cn, 0)::BIGINT AS cn FROM atoms a LEFT JOIN b ON b.frame = a.frame AND b.i = a.atom_id""")
 def atom_mean_bond(spark, sf):

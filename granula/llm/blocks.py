@@ -44,8 +44,8 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(a: dict, b: dict, percent: int) -> list[tuple[int, int]]:
-    """Pairs of ids over two blocks with different labels and sets similar enough; of pairs that
-    would close a circle of labels, the first."""
+    """Pairs of different labels over two blocks with sets similar enough; of pairs that would
+    close a circle of labels, the first."""
     both = intersections(a["sets"], b["sets"])
     na, nb = (np.array([len(s) for s in x["sets"]])[:, None] for x in (a, b))
     hit = (100 * both >= percent * (na + nb.T - both)) & (a["label"][:, None] != b["label"][None, :])
@@ -58,16 +58,16 @@ def _linked(a: dict, b: dict, percent: int) -> list[tuple[int, int]]:
 
     out = []
     for i, j in np.argwhere(hit).tolist():
-        x, y = find(int(a["label"][i])), find(int(b["label"][j]))
+        p, q = int(a["label"][i]), int(b["label"][j])
+        x, y = find(p), find(q)
         if x != y:
             up[max(x, y)] = min(x, y)
-            p, q = int(a["id"][i]), int(b["id"][j])
             out.append((min(p, q), max(p, q)))
     return out
 
 
 def cross_links(members: DataFrame, payload: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
-    """Links (a, b) that join the labels of every bucket as far as its members' similarities do.
+    """Links (a, b) between labels that join those of every bucket as far as its members' similarities do.
 
     ``members`` (bucket, id, n, label) has a row a member, n the size of its set; ``payload``
     (id, data) has the data from which ``to_set`` makes it. Every pair of members of a bucket
@@ -90,17 +90,17 @@ def cross_links(members: DataFrame, payload: DataFrame, to_set: Callable[[bytes]
     side = lambda c, s: meet.select("bucket", F.col(c).alias("block"), "x", "y", F.lit(s).alias("side"))
     both = side("x", 0).unionByName(side("y", 1).where("x <> y"))
     placed = at.join(kinds, ["bucket", "class", "main"]).withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)")).select("bucket", key.alias("block"), "id", "label")
-    dealt = placed.join(both, ["bucket", "block"]).select("bucket", "x", "y", "side", "id", "label").join(payload.select("id", "data"), "id")
+    dealt = placed.join(both, ["bucket", "block"]).select("bucket", "x", "y", "side", "id", "label").join(payload.select("id", "data"), "id").drop("id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [{"id": [], "label": [], "sets": []} for _ in range(2)]
+        sides = [{"label": [], "sets": []} for _ in range(2)]
         for batch in batches:
-            for s, i, label, data in zip(*(batch.column(c).to_pylist() for c in ("side", "id", "label", "data")), strict=True):
-                for k, v in (("id", i), ("label", label), ("sets", to_set(data))):
-                    sides[s][k].append(v)
-        held = [{"id": np.array(x["id"], np.int64), "label": np.array(x["label"], np.int64), "sets": x["sets"]} for x in sides]
-        a, b = held if len(sides[1]["id"]) else (held[0], held[0])
-        out = _linked(a, b, percent) if len(a["id"]) else []
+            for s, label, data in zip(*(batch.column(c).to_pylist() for c in ("side", "label", "data")), strict=True):
+                sides[s]["label"].append(label)
+                sides[s]["sets"].append(to_set(data))
+        held = [{"label": np.array(x["label"], np.int64), "sets": x["sets"]} for x in sides]
+        a, b = held if held[1]["sets"] else (held[0], held[0])
+        out = _linked(a, b, percent) if a["sets"] else []
         if out:
             yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], ["a", "b"])
 

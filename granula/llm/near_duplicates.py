@@ -18,8 +18,8 @@ from granula.llm.components import components
 M, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
 #: Registers a band; 32 bands of 4 find a pair of similarity 0.75 with probability 1 - 5e-6.
 ROWS = 4
-#: Buckets of up to so many sets are compared pair by pair where links are still open.
-SMALL = 48
+#: Open buckets of up to so many sets are compared by a join of their pairs, larger ones in blocks; both compare all.
+PAIRWISE = 48
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, M, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, M, dtype=np.uint32)
@@ -109,7 +109,7 @@ def hashes_of(data: bytes) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with 100 * intersection >= ``percent`` * union on the full sets."""
+    """Those of ``pairs`` (a, b, x, y) with 100 * intersection >= ``percent`` * union on the full sets, as (x, y)."""
     side = lambda c: payload.select(F.col("id").alias(c), F.col("registers").alias(f"r{c}"), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
@@ -124,9 +124,9 @@ def _verified(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
                 for i in np.flatnonzero(keep):
                     both = len(np.intersect1d(sa[i], sb[i], assume_unique=True))
                     keep[i] = 100 * both >= percent * (na[i] + nb[i] - both)
-                yield pa.record_batch([s.column("a").filter(pa.array(keep)), s.column("b").filter(pa.array(keep))], ["a", "b"])
+                yield pa.record_batch([s.column(c).filter(pa.array(keep)) for c in ("x", "y")], ["a", "b"])
 
-    return both.select("a", "b", "ra", "sa", "rb", "sb").mapInArrow(rows, "a long, b long")
+    return both.select("x", "y", "ra", "sa", "rb", "sb").mapInArrow(rows, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 75) -> DataFrame:
@@ -137,13 +137,11 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 75) -> DataFr
     doc_id reachable over links and ``kept`` says that it is the document's own.
 
     1. Documents with equal sets become one class, so groups of copies do not meet again.
-    2. A class has a SetSketch; each band's bucket links its members to its least member only.
-       Candidates with plausible likelihood are verified on the full sets.
-    3. Buckets whose members are not all connected by then are looked at again: small ones pair
-       by pair over different components, larger ones against a member of their largest
-       component, until a round finds no new link.
-    4. Larger buckets that are still not connected compare all members of different components
-       block by block, so no pair that shares a bucket is left untested between components.
+    2. A class has a SetSketch; each band's bucket pairs its members with its least member and
+       with that of the least hash. Candidates with plausible likelihood are verified on the full sets.
+    3. Buckets whose members are then in several components compare all their pairs over
+       different components, small ones by a join, larger ones block by block, so no pair that
+       shares a bucket is left untested between components.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with a null
     doc_id are returned with null component_id and kept; rows that repeat a doc_id are all
@@ -155,41 +153,29 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 75) -> DataFr
     reps = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
     classes = known.join(reps, (known.key == reps.key) & (known.doc_id == reps.rep)).select("rep", "n", "bands").dropDuplicates(["rep"])
     buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(buckets.join(leaders, "band").select("band", "rep", "n", "lead", "size"), "members")
+    one = F.struct("rep", "n")
+    leaders = buckets.groupBy("band").agg(F.min(one).alias("lead"), F.min_by(one, F.xxhash64("rep")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    members = materialize(buckets.join(leaders, "band").select("band", "rep", "n", "lead", "pivot", "size"), "members")
     similar_size = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    pairs = members.where(F.col("rep") != F.col("lead.rep")).where(similar_size(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = materialize(pairs, "pairs")
+    met = members.select("rep", "n", F.explode(F.array("lead", "pivot")).alias("o")).where((F.col("rep") != F.col("o.rep")) & similar_size(F.col("n"), F.col("o.n")))
+    tested = materialize(met.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct(), "pairs")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     payload = materialize(_payload(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("doc_id", "text"), n).dropDuplicates(["id"]), "payload")
-    edges = materialize(_verified(tested, payload, percent), "links")
-    labels = components(edges)
-    turn = 0
-    while True:
-        turn += 1
-        at = members.select("band", "rep", "n", "size").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        # Largest component of each bucket with several; its member differs from turn to turn.
-        groups = at.groupBy("band", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n")).alias("one"))
-        mixed = groups.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label", "one.rep", "one.n")).alias("top")).where("labels > 1")
-        open_ = materialize(at.join(mixed, "band"), "open")
-        small = open_.where(F.col("size") <= SMALL).select("band", "rep", "n", "label")
-        right = small.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        cross = small.join(right, "band").where("rep < b and label <> lb").where(similar_size(F.col("n"), F.col("nb"))).select(F.col("rep").alias("a"), "b")
-        large = open_.where((F.col("size") > SMALL) & (F.col("label") != F.col("top.label"))).where(similar_size(F.col("n"), F.col("top.n")))
-        large = large.select(F.least("rep", "top.rep").alias("a"), F.greatest("rep", "top.rep").alias("b"))
-        new = materialize(cross.unionByName(large).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
-        found = materialize(_verified(new, payload, percent), "links")
-        if found.isEmpty():
-            break
-        tested, edges = tested.unionByName(new), edges.unionByName(found)
-        labels = components(edges)
-    rest = open_.where(F.col("size") > SMALL).select(F.col("band").alias("bucket"), F.col("rep").alias("id"), "n", "label")
-    if not rest.isEmpty():
-        found = materialize(cross_links(rest, payload.select("id", F.col("shingles").alias("data")), hashes_of, percent), "links")
-        labels = components(edges.unionByName(found))
-    of_class = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    labels = components(_verified(tested.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), payload, percent))
+    at = members.select("band", "rep", "n", "size").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    several = at.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+    open_ = materialize(at.join(several, "band", "left_semi"), "open")
+    small = open_.where(F.col("size") <= PAIRWISE).select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("x"))
+    right = small.select("band", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("x").alias("y"))
+    cross = small.join(right, "band").where("a < b and x <> y").where(similar_size(F.col("na"), F.col("nb"))).select("a", "b", "x", "y").distinct()
+    found = _verified(cross.join(tested, ["a", "b"], "left_anti"), payload, percent)
+    large = open_.where(F.col("size") > PAIRWISE).select(F.col("band").alias("bucket"), F.col("rep").alias("id"), "n", "label")
+    if not large.isEmpty():
+        found = found.unionByName(cross_links(large, payload.select("id", F.col("shingles").alias("data")), hashes_of, percent))
+    # The links found last join labels, so their graph is small; its components relabel the classes.
+    again = components(found).select(F.col("id").alias("label"), F.col("component").alias("whole"))
+    labels = labels.select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    of_class = reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(again, "label", "left").select("key", F.coalesce("whole", "label").alias("component"))
     # Rows without shingles have a null key and keep their own id.
     out = all_rows.join(of_class, "key", "left")
     component = F.coalesce("component", "doc_id")

@@ -77,6 +77,8 @@ def cross_links(members: DataFrame, payload: DataFrame, to_set: Callable[[bytes]
     """
     labels = members.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     top = labels.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    # Written, so that the join with it knows its size and can split a hot bucket.
+    top = materialize(top, "mains")
     # Sizes of a similar pair differ by at most one class; a little wider, so rounding is safe.
     wide = max(math.log(100 / percent), 0.01) * 1.0001
     at = members.join(top.select("bucket", F.col("top.label").alias("main")), "bucket")

@@ -22,7 +22,6 @@ BANDS, ROWS = 8, 5
 FILTER_BITS = 1 << 24
 _rng = np.random.default_rng(991)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +47,7 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     least = np.empty((len(lines), BANDS * ROWS), np.uint64)
     y = np.empty_like(x)
     for i in range(BANDS * ROWS):
-        np.multiply(x, _A[i], out=y)
-        y += _B[i]
+        np.multiply(x, _A[i], out=y)  # a permutation of the mixed shingles
         least[:, i] = np.minimum.reduceat(y, starts)
     least = least.reshape(len(lines), BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
@@ -58,12 +56,16 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _lines(text: bytes) -> list[tuple[int, bytes]]:
-    return [(i, x) for i, x in enumerate(text.split(b"\n")) if x and not x.isspace()]
+def _lines(text: bytes) -> tuple[list[int], list[bytes]]:
+    """Numbers and bytes of the lines that hold a word."""
+    parts = text.split(b"\n")
+    at = [i for i, x in enumerate(parts) if x and not x.isspace()]
+    return at, parts if len(at) == len(parts) else [parts[i] for i in at]
 
 
-def line_id(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+def line_ids(lines: list[bytes]) -> np.ndarray:
+    """64-bit hash of each line."""
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _table(docs: DataFrame, remembered: int = 200_000) -> DataFrame:
@@ -71,45 +73,57 @@ def _table(docs: DataFrame, remembered: int = 200_000) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for chunk in text_chunks(batches):
-            out, new, which = [], [], []
-            for k, doc, text in zip(chunk.column("k").to_pylist(), chunk.column("id").to_pylist(), utf8(chunk.column("text")), strict=True):
-                for at, line in _lines(text):
-                    h = line_id(line)
-                    if h not in seen:
-                        if len(seen) >= remembered:
-                            seen.clear()
-                        seen.add(h)
-                        new.append(line)
-                        which.append(len(out))
-                    out.append((h, k, doc, at))
-            if not out:
+            lines, at, counts = [], [], []
+            for text in utf8(chunk.column("text")):
+                places, found = _lines(text)
+                at += places
+                lines += found
+                counts.append(len(found))
+            if not lines:
                 continue
-            keys = [None] * len(out)
-            if new:
-                for i, row in zip(which, signatures(new), strict=True):
-                    keys[i] = row
-            yield pa.record_batch([*(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))), pa.array(keys, pa.list_(pa.int64()))], ["line", "k", "id", "at", "keys"])
+            ids = line_ids(lines)
+            new = []
+            for i, h in enumerate(ids.tolist()):
+                if h not in seen:
+                    if len(seen) >= remembered:
+                        seen.clear()
+                    seen.add(h)
+                    new.append(i)
+            known = np.ones(len(lines), bool)
+            known[new] = False
+            ends = np.concatenate([[0], np.cumsum(np.where(known, 0, BANDS))]).astype(np.int32)
+            values = signatures([lines[i] for i in new]).ravel() if new else np.empty(0, np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(known))
+            k, doc = (np.repeat(chunk.column(c).to_numpy(), counts) for c in ("k", "id"))
+            yield pa.record_batch([pa.array(ids), pa.array(k), pa.array(doc), pa.array(np.array(at, np.int32)), keys], ["line", "k", "id", "at", "keys"])
 
     return docs.select("k", "id", "text").mapInArrow(rows, "line long, k long, id long, at int, keys array<long>")
 
 
 def _chains(table: DataFrame) -> DataFrame:
     """(key, lead, last, line, rank): a row a member of a bucket behind its least, ``lead``; ``last``
-    is the member before it."""
+    is the member before it. Buckets come sorted, and what is kept of one is its last row."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = lead = last = None
-        rank = 0
+        key, line, lead, rank = (np.empty(0, np.int64) for _ in range(4))  # the member before the batch
         for b in batches:
-            out = []
-            for key, line in zip(b.column("key").to_pylist(), b.column("line").to_pylist(), strict=True):
-                if key != now:
-                    now, lead, last, rank = key, line, line, 0
-                elif line != last:
-                    rank += 1
-                    out.append((key, lead, last, line, rank))
-                    last = line
-            if out:
-                yield pa.record_batch([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], ["key", "lead", "last", "line", "rank"])
+            if not b.num_rows:
+                continue
+            k, x = (np.concatenate([c, b.column(n).to_numpy()]) for c, n in ((key, "key"), (line, "line")))
+            held = len(key)
+            fresh = np.ones(len(k), bool)  # not the same line in the same bucket again
+            fresh[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+            k, x = k[fresh], x[fresh]
+            first = np.ones(len(k), bool)
+            first[1:] = k[1:] != k[:-1]
+            at = np.arange(len(k))
+            start = np.maximum.accumulate(np.where(first, at, 0))
+            leads, ranks = x[start], at - start
+            if held:
+                leads, ranks = np.where(start == 0, lead, leads), np.where(start == 0, ranks + rank, ranks)
+            some = np.flatnonzero(~first)
+            key, line, lead, rank = k[-1:], x[-1:], leads[-1:], ranks[-1:]
+            if len(some):
+                yield pa.record_batch([pa.array(v) for v in (k[some], leads[some], x[some - 1], x[some], ranks[some])], ["key", "lead", "last", "line", "rank"])
 
     keys = table.where("keys is not null").select("line", F.explode("keys").alias("key"))
     return keys.repartition("key").sortWithinPartitions("key", "line").select("key", "line").mapInArrow(rows, "key long, lead long, last long, line long, rank long")
@@ -149,14 +163,14 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for chunk in text_chunks(batches):
-            lines = {line_id(x): x for t in utf8(chunk.column("text")) for _, x in _lines(t)}
+            lines = list({x for t in utf8(chunk.column("text")) for x in _lines(t)[1]})
             if not lines:
                 continue
-            h = np.fromiter(lines, np.int64, len(lines))
+            h = line_ids(lines)
             bit = np.mod(h, FILTER_BITS)
-            some = ((bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).astype(bool)
-            if some.any():
-                yield pa.record_batch([pa.array(h[some]), pa.array([lines[x] for x in h[some].tolist()], pa.binary())], ["line", "text"])
+            some = np.flatnonzero((bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)
+            if len(some):
+                yield pa.record_batch([pa.array(h[some]), pa.array([lines[i] for i in some.tolist()], pa.binary())], ["line", "text"])
 
     return docs.select("text").mapInArrow(rows, "line long, text binary").join(ids, "line", "left_semi").dropDuplicates(["line"])
 
@@ -174,18 +188,40 @@ def _sizes(texts: DataFrame) -> DataFrame:
 def similar(a: bytes, b: bytes, percent: int) -> bool:
     """Whether the shingle sets of two lines have a Jaccard similarity of ``percent`` or more."""
     x, y = shingle_set(a), shingle_set(b)
-    if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
-        return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def similar_pairs(a: list[bytes], b: list[bytes], percent: int, most: int = 1 << 17) -> list[bool]:
+    """``similar`` for many pairs; shingles are cut for about ``most`` bytes of lines at once, and
+    pairs of longer lines are compared one by one."""
+    out, start = [], 0
+    while start < len(a):
+        if len(a[start]) + len(b[start]) > most:
+            out.append(similar(a[start], b[start], percent))
+            start += 1
+            continue
+        stop, size = start, 0
+        while stop < len(a) and (size := size + len(a[stop]) + len(b[stop])) <= most:
+            stop += 1
+        some = list({*a[start:stop], *b[start:stop]})
+        s, starts = shingles(some)
+        flat, ends = s.tolist(), [*starts.tolist(), len(s)]
+        sets = {x: set(flat[ends[i] : ends[i + 1]]) for i, x in enumerate(some)}
+        for x, y in zip(a[start:stop], b[start:stop], strict=True):
+            x, y = sets[x], sets[y]
+            ok = min(len(x), len(y)) * 100 >= max(len(x), len(y)) * percent
+            out.append(ok and 100 * (both := len(x & y)) >= percent * (len(x) + len(y) - both))
+        start = stop
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     side = lambda c: texts.select(F.col("line").alias(c), F.col("text").alias(f"t{c}"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([similar(x, y, percent) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)], pa.bool_())
+            keep = pa.array(similar_pairs(b.column("ta").to_pylist(), b.column("tb").to_pylist(), percent), pa.bool_())
             yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
@@ -220,14 +256,15 @@ def dedup_lines(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     batch_rows(docs.sparkSession)
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "wanted")
     texts = materialize(_texts(keyed, wanted), "texts")
-    links = materialize(_verified(pairs, texts, percent), "links")
-    groups = components(links).withColumnRenamed("id", "line")
+    groups = components(_verified(pairs, texts, percent)).withColumnRenamed("id", "line")
     rest = materialize(_open(chains, groups), "open")
     if not rest.isEmpty():
         sizes = _sizes(texts.join(rest.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))
-        found = materialize(cross_links(rest.join(sizes, "id"), texts.select(F.col("line").alias("id"), F.col("text").alias("data")), shingle_set, percent), "links")
-        if not found.isEmpty():
-            groups = components(links.unionByName(found)).withColumnRenamed("id", "line")
+        # Links between labels; a label that no link had before is the line itself.
+        again = components(cross_links(rest.join(sizes, "id"), texts.select(F.col("line").alias("id"), F.col("text").alias("data")), shingle_set, percent))
+        whole = again.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        alone = again.withColumnRenamed("id", "line").join(groups, "line", "left_anti")
+        groups = groups.join(whole, "component", "left").select("line", F.coalesce("whole", "component").alias("component")).unionByName(alone)
     placed = table.select("line", "k", "id", "at").join(groups, "line", "left").withColumn("group", F.coalesce("component", "line"))
     firsts = materialize(placed.groupBy("group").agg(F.min(F.struct("id", "at", "k")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "firsts")
     later = placed.join(firsts, "group").where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at")))

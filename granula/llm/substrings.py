@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import WordHashes, batch_rows, gram_hashes, materialize, text_chunks, utf8
+from granula.llm.common import WordHashes, batch_rows, gram_hashes, materialize, mix, text_chunks, utf8
 
 #: Words of an anchor phrase.
 ANCHOR = 5
@@ -21,31 +22,50 @@ SHARD = 4096
 BLOCK = 1 << 22
 
 
-def fragments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, anchor position, first, last) of the runs of windows that share an anchor.
+@dataclass
+class Fragments:
+    """Runs of windows with one anchor, over the texts of a chunk; word places count within a text."""
+
+    text: np.ndarray  # number of the text in the chunk
+    anchor: np.ndarray  # hash of the anchor
+    at: np.ndarray  # its place
+    first: np.ndarray  # first and last start of a window
+    last: np.ndarray
+
+
+def fragments(hashes: np.ndarray, counts: list[int], window: int) -> Fragments:
+    """The fragments of texts with ``counts`` words, whose hashes stand one text after the other.
 
     The anchor of a window is its leftmost ANCHOR-word phrase of least hash, so equal windows have equal
-    anchors at equal places wherever they stand. ``first`` and ``last`` are starts of windows.
+    anchors at equal places wherever they stand.
     """
     parts = []
     span, n = window - ANCHOR + 1, len(hashes) - window + 1
+    begin = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.empty(0, np.int64)
+    of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     for base in range(0, max(n, 0), BLOCK):
-        g = gram_hashes(hashes[base : min(base + BLOCK, n) + window - 1], ANCHOR)
+        stop = min(base + BLOCK, n)
+        g = gram_hashes(hashes[base : stop + window - 1], ANCHOR)
         m = (g & ~np.uint64((1 << 24) - 1)) | np.arange(len(g), dtype=np.uint64)
         width = 1
         while width < span:
             step = min(width, span - width)
             m = np.minimum(m[:-step], m[step:])
             width += step
-        at = (m & np.uint64((1 << 24) - 1)).astype(np.int64)
+        start = np.flatnonzero(of[base:stop] == of[base + window - 1 : stop + window - 1])  # windows within a text
+        if not len(start):
+            continue
+        at = (m[start] & np.uint64((1 << 24) - 1)).astype(np.int64)
         cut = np.flatnonzero(np.diff(at)) + 1
         first = np.concatenate([[0], cut])
         last = np.concatenate([cut - 1, [len(at) - 1]])
-        parts.append((g[at[first]].view(np.int64), at[first] + base, first + base, last + base))
+        text = of[base + start[first]]
+        own = begin[text] - base
+        parts.append((text, g[at[first]].view(np.int64), at[first] - own, start[first] - own, start[last] - own))
     if not parts:
         e = np.empty(0, np.int64)
-        return e, e, e, e
-    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+        return Fragments(e.astype(np.int32), e, e, e, e)
+    return Fragments(*(np.concatenate(p) for p in zip(*parts, strict=True)))
 
 
 def _recurring(docs: DataFrame, window: int, remembered: int = 300_000) -> DataFrame:
@@ -58,18 +78,16 @@ def _recurring(docs: DataFrame, window: int, remembered: int = 300_000) -> DataF
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), {}
         for chunk in text_chunks(batches):
-            found = [fragments(hashes.of(t.split()), window)[:2] for t in utf8(chunk.column("text"))]
-            h = np.concatenate([h for h, _ in found])
-            k = np.repeat(chunk.column("k").to_numpy(), [len(h) for h, _ in found])
+            words = [t.split() for t in utf8(chunk.column("text"))]
+            f = fragments(hashes.of([w for x in words for w in x]), [len(x) for x in words], window)
+            k = chunk.column("k").to_numpy()[f.text]
             if len(seen) > remembered:
                 seen = {}
-            many = np.zeros(len(h), bool)
-            for i, x in enumerate(h.tolist()):
+            many = np.zeros(len(k), bool)
+            for i, x in enumerate(f.anchor.tolist()):
                 seen[x] = n = seen.get(x, 0) + 1
                 many[i] = n > 2
-            yield pa.record_batch([
-                pa.array(np.where(many, k, h)), pa.array(k), pa.array(np.concatenate([p for _, p in found]).astype(np.int32)), pa.array(many),
-            ], ["h", "k", "at", "many"])
+            yield pa.record_batch([pa.array(np.where(many, k, f.anchor)), pa.array(k), pa.array(f.at.astype(np.int32)), pa.array(many)], ["h", "k", "at", "many"])
 
     def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before, (h, k, at, sent)
@@ -94,76 +112,140 @@ def _recurring(docs: DataFrame, window: int, remembered: int = 300_000) -> DataF
     return sent.repartition("h").sortWithinPartitions("many", "h").mapInArrow(sorted_out, "k long, at int")
 
 
-def _candidates(docs: DataFrame, window: int, remembered: int = 40_000) -> DataFrame:
+#: An odd factor of rolling hashes and its inverse modulo 2**64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+def _powers(x: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of words [first, stop), alike wherever it stands."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_FACTOR, len(hashes))[:-1])])
+    return mix((total[stop] - total[first]) * _powers(_INVERSE, len(hashes))[first])
+
+
+def _candidates(docs: DataFrame, window: int, remembered: int = 200_000) -> DataFrame:
     """Fragments with a recurring anchor (h, id, k, start, last, words).
 
-    A task sends a fragment that it has just seen at an earlier place as a span to remove, by its
-    document and without words, so very frequent passages meet themselves about once a task.
+    A fragment that its task has just seen at an earlier place, by two 64-bit hashes and its length,
+    is settled: it goes by its document and without words, in one row with those that follow on it,
+    so very frequent passages meet themselves about once a task.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), {}
         for chunk in text_chunks(batches):
-            out = []
-            for doc, k, text, places in zip(chunk.column("id").to_pylist(), chunk.column("k").to_pylist(), utf8(chunk.column("text")), chunk.column("places").to_pylist(), strict=True):
-                words = text.split()
-                h, at, first, last = fragments(hashes.of(words), window)
-                for i in np.flatnonzero(np.isin(at, places)):
-                    s, e = int(first[i]), int(last[i])
-                    piece = b" ".join(words[s : e + window])
-                    if (place := seen.get(piece)) is not None and place < (doc, s):
-                        out.append((k, doc, k, s, e, None))
-                        continue
-                    if len(seen) >= remembered:
-                        seen.clear()
-                    seen[piece] = (doc, s)
-                    out.append((int(h[i]), doc, k, s, e, piece))
-            if out:
-                yield pa.record_batch([*(pa.array([o[i] for o in out], pa.int64()) for i in range(5)), pa.array([o[5] for o in out], pa.binary())], ["h", "id", "k", "start", "last", "words"])
+            words = [t.split() for t in utf8(chunk.column("text"))]
+            counts = np.array([len(x) for x in words], np.int64)
+            begin = np.cumsum(counts) - counts
+            h = hashes.of([w for x in words for w in x])
+            f = fragments(h, counts.tolist(), window)
+            places = chunk.column("places")
+            wanted = np.zeros(len(h) + 1, bool)
+            wanted[places.values.slice(places.offsets[0].as_py(), places.offsets[-1].as_py() - places.offsets[0].as_py()).to_numpy() + np.repeat(begin, np.diff(places.offsets.to_numpy()))] = True
+            hit = np.flatnonzero(wanted[f.at + begin[f.text]])
+            if not len(hit):
+                continue
+            text, first, last, anchor = f.text[hit], f.first[hit], f.last[hit], f.anchor[hit]
+            whole = run_hashes(h, first + begin[text], last + begin[text] + window)
+            ids, ks = chunk.column("id").to_numpy()[text], chunk.column("k").to_numpy()[text]
+            settled = np.zeros(len(hit), bool)
+            for i, row in enumerate(zip(whole.tolist(), anchor.tolist(), ids.tolist(), first.tolist(), (last - first).tolist(), strict=True)):
+                run, a, doc, s, size = row
+                if (known := seen.get(run)) is not None and known[2:] == (a, size) and known[:2] < (doc, s):
+                    settled[i] = True
+                    continue
+                if len(seen) >= remembered:
+                    seen.clear()
+                seen[run] = (doc, s, a, size)
+            # Settled runs that follow on each other become one.
+            done = np.flatnonzero(settled)
+            if len(done):
+                new = np.ones(len(done), bool)
+                new[1:] = (text[done][1:] != text[done][:-1]) | (first[done][1:] > last[done][:-1] + 1)
+                head, tail = done[new], done[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(done) - 1]])]
+                yield table(ks[head], ids[head], ks[head], first[head], last[tail], [None] * len(head))
+            rest = np.flatnonzero(~settled)
+            pieces = [b" ".join(words[t][s : e + window]) for t, s, e in zip(text[rest].tolist(), first[rest].tolist(), last[rest].tolist(), strict=True)]
+            yield table(anchor[rest], ids[rest], ks[rest], first[rest], last[rest], pieces)
+
+    def table(h, doc, k, first, last, words) -> pa.RecordBatch:
+        return pa.record_batch([*(pa.array(x, pa.int64()) for x in (h, doc, k, first, last)), pa.array(words, pa.binary())], ["h", "id", "k", "start", "last", "words"])
 
     return docs.select("id", "k", "text", "places").mapInArrow(rows, "h long, id long, k long, start long, last long, words binary")
 
 
 class Shard:
-    """An automaton over the recurring windows of a run of fragments, in order of place."""
+    """An automaton over the recurring windows of a run of fragments, which come in order of place.
 
-    def __init__(self, window: int):
-        self.window, self.number, self.first, self.rows = window, {}, {}, []
+    Window hashes say which passages recur; these are compiled by their words, and the fragments are
+    streamed through the automaton, whose first hit of a passage is the one to keep. Hits at one
+    place, in rows that share a doc_id, are one.
+    """
 
-    def add(self, doc: int, k: int, start: int, words: bytes) -> None:
+    def __init__(self, window: int):
+        self.window, self.rows = window, []
+        self.number: dict[bytes, int] = {}
+        self.known: dict[bytes, tuple[int, int]] = {}  # whole fragments and where they stand first
+        self.before: dict[tuple, tuple[int, int]] = {}  # windows of an anchor that goes on
+
+    def add(self, doc: int, k: int, start: int, last: int, words: bytes) -> tuple[int, int, int] | None:
+        """Take a fragment; the span of all its windows if it stands earlier as a whole."""
+        if self.known.setdefault(words, (doc, start)) != (doc, start):
+            return k, start, last
         number = self.number
-        self.rows.append((doc, k, start, tuple([number.setdefault(w, len(number) + 1) for w in words.split()])))
+        self.rows.append((doc, k, start, [number.setdefault(w, len(number) + 1) for w in words.split()]))
+        return None
 
-    def spans(self) -> Iterator[tuple[int, int, int]]:
+    def spans(self, goes_on: bool) -> Iterator[tuple[int, int, int]]:
         """(k, first, last) of the window starts that stand earlier too; the rows are then forgotten."""
-        w, first, again = self.window, self.first, {}
-        for doc, _, start, ids in self.rows:  # confirm which passages recur, and where each stands first
-            for o in range(len(ids) - w + 1):
-                passage = ids[o : o + w]
-                place = first.setdefault(passage, (doc, start + o))
-                if place != (doc, start + o):
-                    again[passage] = place
-        if again:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for passage, place in again.items():
-                automaton.add_word(passage, place)
-            automaton.make_automaton()
-            for doc, k, start, ids in self.rows:
-                lo = hi = -2
-                for end, place in automaton.iter(ids):
-                    s = start + end - w + 1
-                    if place == (doc, s):
-                        continue
-                    if s != hi + 1:
-                        if lo >= 0:
-                            yield k, lo, hi
-                        lo = s
-                    hi = s
-                if lo >= 0:
-                    yield k, lo, hi
+        w, rows = self.window, self.rows
+        if rows:
+            ids = np.concatenate([np.array(r[3], np.uint64) for r in rows])
+            sizes = np.array([len(r[3]) for r in rows])
+            begin = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(rows)), sizes - w + 1)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes - w + 1) - (sizes - w + 1), sizes - w + 1)
+            start = begin[row] + offset
+            _, kind, count = np.unique(run_hashes(mix(ids), start, start + w), return_inverse=True, return_counts=True)
+            passages: dict[tuple, int] = {}
+            for i in np.flatnonzero(count[kind] > 1).tolist():
+                passages.setdefault(tuple(rows[row[i]][3][offset[i] : offset[i] + w]), len(passages))
+            stood: list[tuple[int, int] | None] = [None] * len(passages)
+            for p in (tuple(x[o : o + w]) for *_, x in rows for o in range(len(x) - w + 1)) if self.before else ():
+                if (place := self.before.get(p)) is not None:
+                    if (n := passages.setdefault(p, len(passages))) == len(stood):
+                        stood.append(place)
+                    stood[n] = place
+            if passages:
+                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+                for passage, n in passages.items():
+                    automaton.add_word(passage, n)
+                automaton.make_automaton()
+                for doc, k, begins, x in rows:
+                    lo = hi = -2
+                    for end, n in automaton.iter(tuple(x)):
+                        s = begins + end - w + 1
+                        if stood[n] is None:
+                            stood[n] = (doc, s)
+                        if stood[n] == (doc, s):
+                            continue
+                        if s != hi + 1:
+                            if lo >= 0:
+                                yield k, lo, hi
+                            lo = s
+                        hi = s
+                    if lo >= 0:
+                        yield k, lo, hi
+            if goes_on:
+                for doc, _, begins, x in rows:
+                    for o in range(len(x) - w + 1):
+                        self.before.setdefault(tuple(x[o : o + w]), (doc, begins + o))
         self.rows = []
-
-    def forget(self) -> None:
-        self.number, self.first = {}, {}
+        if not goes_on:
+            self.number, self.known, self.before = {}, {}, {}
 
 
 def _repeats(candidates: DataFrame, window: int) -> DataFrame:
@@ -176,15 +258,14 @@ def _repeats(candidates: DataFrame, window: int) -> DataFrame:
                     out.append((k, start, last))
                     continue
                 if len(shard.rows) >= SHARD:
-                    out.extend(shard.spans())
-                    if h != now:  # else the anchor goes on, and what stands first is still needed
-                        shard.forget()
+                    out.extend(shard.spans(h == now))
                 now = h
-                shard.add(doc, k, start, words)
+                if (span := shard.add(doc, k, start, last, words)) is not None:
+                    out.append(span)
             if len(out) > 4096:
                 yield table(out)
                 out = []
-        out.extend(shard.spans())
+        out.extend(shard.spans(False))
         if out:
             yield table(out)
 
@@ -206,8 +287,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
     2. Every window has an anchor phrase; an anchor that occurs once in the corpus rules out its
        windows. Hashes and places are shuffled, very frequent anchors settled before.
     3. Documents are scanned for fragments around recurring anchors, which go to the shard
-       that owns the anchor. There recurring windows are confirmed by their words, compiled into
-       automata of bounded size, and every fragment is streamed through to locate all occurrences.
+       that owns the anchor. There recurring windows are found by their hashes, compiled by their
+       words into automata of bounded size, and every fragment is streamed through to locate all
+       occurrences. Fragments that recur as a whole are settled by equality.
     4. Spans go back to their documents.
 
     Null and blank texts have no words. Null doc_ids come after all others. Rows that repeat
@@ -220,7 +302,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
     keyed = keyed.select("k", "doc_id", "text")
     place = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id")
     named = keyed.select("k", place, F.md5(F.col("text").cast("binary")).alias("same")).where("same is not null")
-    firsts = named.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # Written, so that the join sees the size of both sides and can split a text with very many copies.
+    firsts = materialize(named.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "firsts")
     copies = materialize(named.join(firsts, "same").where("id > first").select("k").distinct(), "copies")
     places = _recurring(keyed, window).join(copies, "k", "left_anti").groupBy("k").agg(F.collect_list("at").alias("places"))
     whole = copies.select("k", F.lit(0).cast("long").alias("first"), F.lit(1 << 60).cast("long").alias("last"))

@@ -76,13 +76,18 @@ def mix(
     document is passes * size plus what of it lies in those blocks.
 
     Null sources are one source, last in order. Documents of size 0 or null take 0. The same
-    rows give the same result in any order and partitioning; repeated rows are ordered by
-    doc_id only and share its place. An empty table gives no rows. Columns of ``docs`` with the
-    names of new columns are replaced.
+    rows give the same result in any order and partitioning: shards and places go by hashes of
+    whole rows, so rows that share a doc_id, or have none, are told apart, and rows that are
+    equal throughout may change places with each other only. An empty table gives no rows.
+    Columns of ``docs`` with the names of new columns are replaced.
     """
     new = ["size", "source_size", "target", "taken"]
     rows = docs.withColumn("__size", F.coalesce(size.cast("long"), F.lit(0))).drop(*new).withColumnRenamed("__size", "size")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    hashed = [c for c in rows.columns if "map<" not in rows.schema[c].dataType.simpleString()]
+    rows = rows.withColumns({"__h": F.xxhash64(F.lit(seed), *hashed), "__g": F.xxhash64(F.lit(seed + 1), *hashed)})
+    # Written once, so sizes are not counted again for the plan.
+    sized = materialize(rows.select("source", "size", "__g"), "sized")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, share, most, weights)
     whole = Window.partitionBy()
     quotas = sainte_lague(
@@ -100,14 +105,13 @@ def mix(
     plan = materialize(plan, "sources")
     # Null-safe equality on a struct key would not hash; a coalesced key and flag do.
     tag = lambda d: d.withColumns({"__src": F.coalesce("source", F.lit("")), "__nul": F.col("source").isNull()})
-    rows = tag(rows).join(tag(plan).drop("source"), ["__src", "__nul"])
-    mark = F.xxhash64(F.lit(seed), "doc_id")
-    rows = rows.withColumn("__h", mark).withColumn("__shard", F.when(F.col("size") > 0, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("__shards"))).otherwise(F.lit(-1) - F.pmod("doc_id", F.lit(64))))
-    held = rows.where("size > 0").groupBy("__src", "__nul", "__shard", "__rest").agg(F.sum("size").alias("__held"))
+    in_shard = lambda d: tag(d).join(tag(plan).drop("source"), ["__src", "__nul"]).withColumn("__shard", F.when(F.col("size") > 0, F.pmod("__g", F.col("__shards"))).otherwise(F.lit(-1) - F.pmod("__g", F.lit(64))))
+    rows = in_shard(rows)
+    held = in_shard(sized).where("size > 0").groupBy("__src", "__nul", "__shard", "__rest").agg(F.sum("size").alias("__held"))
     shares = sainte_lague(
         held, ["__src", "__nul"], F.floor((F.col("__rest") + block - 1) / block), F.col("__held"), F.col("__shard"),
     ).select("__src", "__nul", "__shard", (F.col("quota") * block).alias("__quota"))
-    line = Window.partitionBy("__src", "__nul", "__shard").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("__src", "__nul", "__shard").orderBy("__h", "__g", "size").rowsBetween(Window.unboundedPreceding, -1)
     # Dealt by the whole key before the join, which would else be content with the source alone.
     rows = rows.repartition("__src", "__nul", "__shard").join(shares, ["__src", "__nul", "__shard"], "left")
     before = F.coalesce(F.sum("size").over(line), F.lit(0))

@@ -27,14 +27,16 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset
-    (tests, one machine) a temporary folder is made and set as checkpoint folder.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset on one machine
+    a temporary folder is made and set as checkpoint folder; a cluster has to name one.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
         base = context.getCheckpointDir()
     if not base:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -49,6 +51,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def make_dir(spark: SparkSession, folder: str) -> None:
+    """See to it that a folder is there, even if no task writes to it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession

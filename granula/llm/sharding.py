@@ -71,18 +71,19 @@ def shard(rows: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
     rows = rows.drop(*new).withColumns({"__h": hash_bits(F.col(key)), "__b": F.coalesce(size.cast("long"), F.lit(0))})
     sizes = rows.groupBy(F.col("__h").alias("h")).agg(F.count("*").alias("n"), F.sum("__b").alias("bytes"))
     leaves = materialize(directory(materialize(sizes, "sizes"), limit), "directory")
+    leaves = leaves.withColumnsRenamed({"depth": "__depth", "prefix": "__prefix"})
     # One equality join for each depth in use, by union: a row's depth is that at which its prefix is a leaf.
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())
+    depths = sorted(r[0] for r in leaves.select("__depth").distinct().collect())
     if not depths:
         return rows.drop("__h", "__b").withColumns({c: F.lit(None).cast("int" if c == "shard_depth" else "long") for c in new})
     paths = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftrightunsigned("__h", DEPTH - d).alias("prefix")) for d in depths])
     # The directory proper: every prefix of the deepest round's length points to its leaf.
     top = depths[-1]
     if top <= BITS + 8:
-        entries = leaves.select("*", F.explode(F.expr(f"sequence(shiftleft(prefix, {top} - depth), shiftleft(prefix + 1, {top} - depth) - 1)")).alias("__e"))
+        entries = leaves.select("*", F.explode(F.expr(f"sequence(shiftleft(__prefix, {top} - __depth), shiftleft(__prefix + 1, {top} - __depth) - 1)")).alias("__e"))
         joined = rows.withColumn("__e", F.shiftrightunsigned("__h", DEPTH - top)).join(entries, "__e").drop("__e")
     else:
         joined = rows.withColumn("__at", F.explode(paths)).join(
-            leaves, (F.col("__at.depth") == leaves.depth) & (F.col("__at.prefix") == leaves.prefix)
+            leaves, (F.col("__at.depth") == F.col("__depth")) & (F.col("__at.prefix") == F.col("__prefix"))
         ).drop("__at")
-    return joined.withColumnsRenamed({"depth": "shard_depth", "prefix": "shard_prefix"}).drop("__h", "__b")
+    return joined.withColumnsRenamed({"__depth": "shard_depth", "__prefix": "shard_prefix"}).drop("__h", "__b")

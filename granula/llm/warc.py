@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granula.llm.common import batch_rows, shared_dir, text_chunks, utf8
+from granula.llm.common import batch_rows, make_dir, shared_dir, text_chunks, utf8
 
 #: Fixed value: the profile that marks a revisit by equal payload (WARC 1.1).
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -85,6 +85,7 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "1970-
             yield pa.record_batch([pa.array([f"{spark_path}/{name.rsplit('/', 1)[1]}"]), pa.array([n])], ["path", "records"])
 
     files = rows.select("page_id", "url", "payload", "digest", "keeper").mapInArrow(write_part, "path string, records long")
+    make_dir(pages.sparkSession, path)
     files.write.parquet(f"{path}-files")
     return pages.sparkSession.read.parquet(f"{path}-files")
 

@@ -9,8 +9,6 @@ from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
 
-import numpy as np
-
 #: Cuts before a space between two characters that are not white space. No pre-tokenizer of
 #: the supported files joins across such a place.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -18,8 +16,15 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MARKS = string.punctuation
 
 
-#: Fixed value: the character by which a byte-level vocabulary writes a space.
-_SPACE = "\u0120"
+def _byte_characters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: printable Latin-1
+    characters stand for themselves, the other bytes for code points from 256 on."""
+    plain = {b for b in range(256) if 33 <= b < 127 or b > 160 and b != 173}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b if b in plain else 256 + rest.index(b)) for b in range(256)}
+
+
+_CHARACTER = _byte_characters()
 
 
 def _pieces(text: str) -> list[str]:
@@ -32,9 +37,6 @@ def _pieces(text: str) -> list[str]:
 class Encoder:
     """Encodes texts by ``tokenizers``; a piece of text that was met lately is not encoded again.
 
-    Special tokens are ordinary text where they stand in a document (``encode_special_tokens``), as
-    the description of the vocabulary files has it, so no document can forge an end.
-
     ``lossy_space`` is for tokenizers that drop white space: pieces are then words. Pieces are
     remembered in two generations of at most ``most`` each; those still in use when the younger
     is full move on with it.
@@ -47,50 +49,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = (lambda text: text.replace("\n", " ").split(" ")) if lossy_space else _pieces
+        self.model = self.tokenizer.model
         self.lower = lossy_space
-        # Tokens that end a word, or start with the character that stands for a space.
-        self.edge = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        suffix = self.tokenizer.model.end_of_word_suffix
-        for token, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = token.endswith(suffix) if lossy_space else token.startswith(_SPACE)
         self.most = most
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def _is_word(self, piece: str) -> bool:
-        """Whether a piece is one run of letters, for a tokenizer that keeps white space after a
-        space: one pre-token, whose ids do not depend on what stands around it."""
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a piece that is one run of letters, after a space or not: one pre-token, which
+        goes straight to the library's model. None for any other piece."""
+        letters = piece[1:] if piece[0] == " " else piece
+        if not letters.isalpha():
+            return None
+        if piece.isascii() and (not self.lower or piece is letters):
+            # ASCII letters stand for themselves; only a space before them is written otherwise.
+            plain = piece.lower() if self.lower else piece.replace(" ", _CHARACTER[32])
+            return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         if self.lower:
-            if piece.isascii():
-                return piece.isalpha()
-            # In this range the normalizer changes nothing but the case of composed letters; a
-            # capital whose small form has a mark of its own is left out.
-            return piece.isalpha() and max(piece) <= "\u024f" and is_normalized("NFC", piece) and piece.lower().isalpha()
-        return piece[0] == " " and piece[1:].isalpha()
-
-    def _words(self, words: list[str]) -> None:
-        """Learn words by one call of the library: they are joined, and their ids part where a
-        token ends a word or, if white space is kept, starts with a space."""
-        text = (" " if self.lower else "").join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        edge = np.flatnonzero(self.edge[ids])
-        ends = edge + 1 if self.lower else np.concatenate([edge[1:], [len(ids)]])
-        if len(edge) != len(words) or not len(edge) or (self.lower and ends[-1] != len(ids)) or (not self.lower and edge[0]):
-            # Not the words that they were taken for: each by itself.
-            for piece, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.young[piece] = array("I", e.ids).tobytes()
-            return
-        data, at = ids.astype("<u4").tobytes(), 0
-        for piece, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.young[piece] = data[at:end]
-            at = end
-
-    def _learn(self, wanted: set[str]) -> None:
-        """See to it that the younger generation has the pieces ``wanted``."""
-        pieces = wanted.difference(self.young)
+            # In this range the normalizer changes nothing but the case of composed letters.
+            if piece[0] == " " or max(piece) > "\u024f" or not is_normalized("NFC", piece):
+                return None
+            piece = piece.lower()
+            if not piece.isalpha():  # a capital whose small form has a mark of its own
+                return None
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARACTER))]).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """See to it that the younger generation has ``words``."""
+        pieces = words.difference(self.young)
         if len(self.young) + 2 * len(pieces) > self.most:
-            self.old, self.young, pieces = self.young, {"": b""}, wanted - {""}
-        young, old, words, new, ends = self.young, self.old, [], [], []
+            self.old, self.young, pieces = self.young, {"": b""}, words - {""}
+        young, old, new, ends = self.young, self.old, [], []
         for p in pieces:
             if (ids := old.get(p)) is not None:
                 young[p] = ids
@@ -103,13 +92,15 @@ class Encoder:
                     if x not in young:
                         if (ids := old.get(x)) is not None:
                             young[x] = ids
+                        elif (ids := self._word(x)) is not None:
+                            young[x] = ids
                         else:
                             young[x] = b""
-                            (words if self._is_word(x) else new).append(x)
+                            new.append(x)
+            elif (ids := self._word(p)) is not None:
+                young[p] = ids
             else:
-                (words if self._is_word(p) else new).append(p)
-        for k in range(0, len(words), 4096):
-            self._words(words[k : k + 4096])
+                new.append(p)
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):

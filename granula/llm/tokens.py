@@ -42,7 +42,7 @@ class Encoder:
     is full move on with it.
     """
 
-    def __init__(self, path: str, lossy_space: bool, most: int = 350_000):
+    def __init__(self, path: str, lossy_space: bool, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

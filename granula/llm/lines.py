@@ -18,6 +18,8 @@ from granula.llm.components import components
 SHINGLE = 8
 #: 8 bands of 5 rows find a pair of similarity 0.85 with probability 0.991, of 0.9 with 0.9993.
 BANDS, ROWS = 8, 5
+#: Open buckets of up to so many lines are compared by a join of their pairs, larger ones in blocks; both compare all.
+PAIRWISE = 48
 #: Bits of the filter that spares the shuffle most lines that are nobody's candidate (2 MB, fixed).
 FILTER_BITS = 1 << 24
 _rng = np.random.default_rng(991)
@@ -130,14 +132,15 @@ def _chains(table: DataFrame) -> DataFrame:
 
 
 def _open(chains: DataFrame, groups: DataFrame) -> DataFrame:
-    """(bucket, id, label) of the members of buckets of four and more, in which not all pairs have
+    """(bucket, id, label, size) of the members of buckets of four and more, in which not all pairs have
     met, that are in several components."""
-    big = chains.where("rank > 2").select("key").distinct()
+    big = chains.groupBy("key").agg(F.max("rank").alias("r")).where("r > 2").select("key")
     rows = chains.join(big, "key", "left_semi")
     members = rows.select("key", "line").unionByName(rows.where("rank = 1").select("key", F.col("lead").alias("line")))
     at = members.join(groups, "line", "left").select(F.col("key").alias("bucket"), F.col("line").alias("id"), F.coalesce("component", "line").alias("label"))
-    several = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    return at.join(several, "bucket", "left_semi")
+    # Written, so that the join with it knows its size and can split a hot bucket.
+    several = materialize(at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("bucket", "size"), "several")
+    return at.join(several, "bucket")
 
 
 def shingle_set(line: bytes) -> np.ndarray:
@@ -192,39 +195,40 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def similar_pairs(a: list[bytes], b: list[bytes], percent: int, most: int = 1 << 17) -> list[bool]:
-    """``similar`` for many pairs; shingles are cut for about ``most`` bytes of lines at once, and
-    pairs of longer lines are compared one by one."""
+def similar_pairs(a: list[bytes], b: list[bytes], percent: int, most: int = 1 << 19) -> np.ndarray:
+    """``similar`` for many pairs, up to 512 pairs or about ``most`` bytes of lines at once: the shingles of
+    all are sorted by pair and 54 bits of hash, repeats within a line go, and those alike on both
+    sides stand next to each other. Counts are off with a chance of some 1e-11 a pair."""
     out, start = [], 0
     while start < len(a):
-        if len(a[start]) + len(b[start]) > most:
-            out.append(similar(a[start], b[start], percent))
-            start += 1
-            continue
         stop, size = start, 0
-        while stop < len(a) and (size := size + len(a[stop]) + len(b[stop])) <= most:
+        while stop < len(a) and stop - start < 512 and (size := size + len(a[stop]) + len(b[stop])) <= most:
             stop += 1
-        some = list({*a[start:stop], *b[start:stop]})
-        s, starts = shingles(some)
-        flat, ends = s.tolist(), [*starts.tolist(), len(s)]
-        sets = {x: set(flat[ends[i] : ends[i + 1]]) for i, x in enumerate(some)}
-        for x, y in zip(a[start:stop], b[start:stop], strict=True):
-            x, y = sets[x], sets[y]
-            ok = min(len(x), len(y)) * 100 >= max(len(x), len(y)) * percent
-            out.append(ok and 100 * (both := len(x & y)) >= percent * (len(x) + len(y) - both))
+        stop = max(stop, start + 1)
+        s, starts = shingles([x for pair in zip(a[start:stop], b[start:stop], strict=True) for x in pair])
+        n = np.diff(np.append(starts, len(s)))
+        row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        key = (row >> np.uint64(1)) << np.uint64(55) | (mix(s) >> np.uint64(10)) << np.uint64(1) | row & np.uint64(1)
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        pair = (key >> np.uint64(55)).astype(np.int64)
+        total = np.bincount(pair, minlength=stop - start)
+        both = np.bincount(pair[1:][key[1:] >> np.uint64(1) == key[:-1] >> np.uint64(1)], minlength=stop - start)
+        out.append(100 * both >= percent * (total - both))
         start = stop
-    return out
+    return np.concatenate(out) if out else np.empty(0, bool)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, x, y) whose lines a and b are similar, as (x, y)."""
     side = lambda c: texts.select(F.col("line").alias(c), F.col("text").alias(f"t{c}"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array(similar_pairs(b.column("ta").to_pylist(), b.column("tb").to_pylist(), percent), pa.bool_())
-            yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+            keep = pa.array(similar_pairs(b.column("ta").to_pylist(), b.column("tb").to_pylist(), percent))
+            yield pa.record_batch([b.column(c).filter(keep) for c in ("x", "y")], ["a", "b"])
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("x", "y", "ta", "tb").mapInArrow(rows, "a long, b long")
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = 85) -> DataFrame:
@@ -239,7 +243,7 @@ def dedup_lines(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     order and link each member to the bucket's least and to its neighbour; candidates are
     verified on their whole texts, fetched past a filter of fixed size; components come from
     star rounds. Buckets whose members are then in several components compare all pairs between
-    them, block by block. The filter and the banding decide which pairs are compared, never what is removed.
+    them, small ones by a join, larger ones block by block. The filter and the banding decide which pairs are compared, never what is removed.
 
     Null and blank texts have no lines and stay. Null doc_ids come last. Rows that repeat doc_id
     and text are one document: its first occurrence of a line is kept in each. An empty table
@@ -256,12 +260,18 @@ def dedup_lines(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     batch_rows(docs.sparkSession)
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "wanted")
     texts = materialize(_texts(keyed, wanted), "texts")
-    groups = components(_verified(pairs, texts, percent)).withColumnRenamed("id", "line")
+    groups = components(_verified(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), texts, percent)).withColumnRenamed("id", "line")
     rest = materialize(_open(chains, groups), "open")
     if not rest.isEmpty():
-        sizes = _sizes(texts.join(rest.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))
+        small = rest.where(F.col("size") <= PAIRWISE).select("bucket", F.col("id").alias("a"), F.col("label").alias("x"))
+        cross = small.join(small.select("bucket", F.col("a").alias("b"), F.col("x").alias("y")), "bucket").where("a < b and x <> y").select("a", "b", "x", "y").distinct()
+        found = _verified(cross.join(pairs, ["a", "b"], "left_anti"), texts, percent)
+        large = rest.where(F.col("size") > PAIRWISE).drop("size")
+        if not large.isEmpty():
+            sizes = _sizes(texts.join(large.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))
+            found = found.unionByName(cross_links(large.join(sizes, "id"), texts.select(F.col("line").alias("id"), F.col("text").alias("data")), shingle_set, percent))
         # Links between labels; a label that no link had before is the line itself.
-        again = components(cross_links(rest.join(sizes, "id"), texts.select(F.col("line").alias("id"), F.col("text").alias("data")), shingle_set, percent))
+        again = components(found)
         whole = again.select(F.col("id").alias("component"), F.col("component").alias("whole"))
         alone = again.withColumnRenamed("id", "line").join(groups, "line", "left_anti")
         groups = groups.join(whole, "component", "left").select("line", F.coalesce("whole", "component").alias("component")).unionByName(alone)

@@ -27,15 +27,14 @@ def grid_pairs(atoms: DataFrame, reach: float, within: Column) -> DataFrame:
     on equality of (frame, cell) and every pair is met once. Box edges need no images as long as
     the buffer around the particle is at least ``reach``.
     """
-    cell = {f"c{a}": F.floor(F.col(a) / reach).cast("int") for a in "xyz"}
-    a = atoms.select("frame", *[F.col(c).alias(f"{c}_a") for c in ("atom_id", "type_id", "surf", "x", "y", "z")], *[v.alias(k) for k, v in cell.items()])
-    b = atoms.select("frame", *[F.col(c).alias(f"{c}_b") for c in ("atom_id", "type_id", "surf", "x", "y", "z")], *[v.alias(f"{k}_b") for k, v in cell.items()])
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", o, strict=True)]) for o in _HALF])
-    b = b.withColumn("o", F.explode(offsets)).select(
-        "*", (F.col("cx_b") - F.col("o.a")).alias("cx"), (F.col("cy_b") - F.col("o.b")).alias("cy"), (F.col("cz_b") - F.col("o.c")).alias("cz"),
-        ((F.col("o.a") == 0) & (F.col("o.b") == 0) & (F.col("o.c") == 0)).alias("same"),
-    )
-    pairs = a.join(b, ["frame", "cx", "cy", "cz"]).where(~F.col("same") | (F.col("atom_id_a") < F.col("atom_id_b")))
+    n = [F.floor(F.col(c) / reach).cast("long") for c in "xyz"]
+    cell = F.shiftleft(n[0], 42) + F.shiftleft(n[1], 21) + n[2]
+    sides = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("atom_id", "type_id", "surf", "x", "y", "z")]
+    a = atoms.select("frame", *sides("a"), cell.alias("cell"))
+    steps = F.array(*[F.lit((i << 42) + (j << 21) + k) for i, j, k in _HALF])
+    b = atoms.select("frame", *sides("b"), cell.alias("own"), F.explode(steps).alias("step")).withColumn("cell", F.col("own") - F.col("step"))
+    # The side that is not expanded is the one to hash; a frame's cell is small.
+    pairs = a.hint("shuffle_hash").join(b, ["frame", "cell"]).where((F.col("step") != 0) | (F.col("atom_id_a") < F.col("atom_id_b")))
     swap = F.col("atom_id_a") > F.col("atom_id_b")
     pick = lambda c, first: F.when(swap == F.lit(not first), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
     out = pairs.select(
@@ -59,3 +58,12 @@ def both_ways(half: DataFrame) -> DataFrame:
         F.struct(*[F.col(b).alias(a) for a, b in (("i", "j"), ("j", "i"), ("ti", "tj"), ("tj", "ti"), ("si", "sj"), ("sj", "si"))], *[(-F.col(c)).alias(c) for c in ("dx", "dy", "dz")]),
     )
     return half.select("frame", "r", F.explode(turn).alias("e")).select("frame", "e.*", "r")
+
+
+def in_local_box(atoms: DataFrame, half: float) -> DataFrame:
+    """(frame, atom_id, n): how many other atoms lie in the cube of edge 2 * ``half`` around each surface
+    atom; surface atoms without any are left out."""
+    near = (F.abs("dx") <= half) & (F.abs("dy") <= half) & (F.abs("dz") <= half)
+    pairs = grid_pairs(atoms, half + 1e-9, near)
+    ends = pairs.select("frame", F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("si").alias("s")), F.struct(F.col("j").alias("a"), F.col("sj").alias("s")))).alias("e"))
+    return ends.where("e.s = 1").groupBy("frame", F.col("e.a").alias("atom_id")).agg(F.count("*").alias("n"))

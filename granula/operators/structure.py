@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +70,35 @@ def atom_bond_lengths(bonds: DataFrame) -> DataFrame:
     return bonds.groupBy("frame", F.col("i").alias("atom_id"), "tj").agg(r6(F.avg("r")).alias("avg_r"), r6(F.max("r")).alias("max_r"), r6(F.min("r")).alias("min_r"), F.count("*").alias("n"))
 
 
-def rdf(pairs: DataFrame, counts: DataFrame, step: float, points: int, density: float) -> DataFrame:
-    """Radial distribution by types: bin = int(r / step + 1.5) from 1; bin 1 is left out."""
-    rows = pairs.select("frame", F.least("ti", "tj").alias("t1"), F.greatest("ti", "tj").alias("t2"), F.floor(r6(F.col("r") / step) + 1.5).alias("bin")).where(f"bin > 1 and bin <= {points}")
-    n = rows.groupingSets([["frame", "bin"], ["frame", "bin", "t1", "t2"]], "frame", "bin", "t1", "t2").agg(F.count("*").alias("n"))
+def distance_histogram(atoms: DataFrame, step: float, points: int, block: int = 512) -> DataFrame:
+    """(frame, t1, t2, bin, n): pairs of a frame by unordered types and distance, bin = int(r / step + 1.5)
+    from 2 to ``points``.
+
+    All pairs within a reach of many cells would cross a join for nothing but their count, so each
+    frame is one Arrow group, its pairs are counted there ``block`` rows at a time, and only bins leave.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        x, kind = np.stack([t.column(c).to_numpy() for c in "xyz"], 1), t.column("type_id").to_numpy()
+        turn = np.argsort(kind, kind="stable")
+        x, kind = x[turn], kind[turn]
+        kinds, of = np.unique(kind, return_inverse=True)
+        n = np.zeros((len(kinds), len(kinds), points + 1), np.int64)
+        for i in range(0, len(x), block):
+            d2 = sum((x[i : i + block, c, None] - x[None, i:, c]) ** 2 for c in range(3))
+            at = np.floor(np.round(np.sqrt(d2) / step, 6) + 1.5).astype(np.int64)
+            rows, columns = np.nonzero((at > 1) & (at <= points) & (np.arange(at.shape[1]) > np.arange(at.shape[0])[:, None]))
+            key = (of[i + rows] * len(kinds) + of[i + columns]) * (points + 1) + at[rows, columns]
+            n += np.bincount(key, minlength=n.size).reshape(n.shape)
+        a, b, bins = np.nonzero(n)
+        yield pa.record_batch([pa.array(np.full(len(a), t.column("frame")[0].as_py())), pa.array(kinds[a].astype(np.int32)), pa.array(kinds[b].astype(np.int32)), pa.array(bins), pa.array(n[a, b, bins])], ["frame", "t1", "t2", "bin", "n"])
+
+    return atoms.select("frame", F.col("type_id").cast("int").alias("type_id"), "x", "y", "z").groupBy("frame").applyInArrow(count, "frame long, t1 int, t2 int, bin long, n long")
+
+
+def rdf(histogram: DataFrame, counts: DataFrame, step: float, density: float) -> DataFrame:
+    """Radial distribution, total (types null) and by unordered types, from ``distance_histogram``."""
+    n = histogram.groupingSets([["frame", "bin"], ["frame", "bin", "t1", "t2"]], "frame", "bin", "t1", "t2").agg(F.sum("n").alias("n"))
     k = (F.col("bin") - 1) * F.lit(step)
     return n.join(counts.select("frame", "natoms"), "frame").select("frame", "t1", "t2", "bin", "n", r6(F.col("n") / (F.lit(2 * math.pi * step * density) * F.col("natoms") * k * k)).alias("g"))
 
@@ -232,17 +260,69 @@ def rmsd_next(atoms: DataFrame) -> DataFrame:
     return atoms.join(nxt, ["conf_id", "frame", "atom_id"]).groupBy("conf_id", "frame").agg(r6(F.sqrt(F.sum(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / (3 * F.count("*")))).alias("rmsd"), F.count("*").alias("n"))
 
 
-def lindemann(atoms: DataFrame, most: int | None = None) -> DataFrame:
-    """Index of each atom over the frames of its trajectory, against all others: mean over partners of the relative
-    fluctuation of their distance. Partners at distance zero throughout have none. With ``most``, of atoms 1 to ``most`` alone."""
-    if most is not None:
-        atoms = atoms.where(F.col("atom_id") <= most)
-    a = atoms.select("conf_id", "frame", F.col("atom_id").alias("i"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    b = atoms.select("conf_id", "frame", F.col("atom_id").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    d = [F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"]
-    p = a.join(b, ["conf_id", "frame"]).where("i <> j").select("conf_id", "i", "j", (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"))
-    pair = p.groupBy("conf_id", "i", "j").agg(F.try_divide(F.sqrt(F.greatest(F.lit(0.0), F.avg("d2") - F.avg(F.sqrt("d2")) * F.avg(F.sqrt("d2")))), F.avg(F.sqrt("d2"))).alias("v"))
-    return pair.groupBy("conf_id", F.col("i").alias("atom_id")).agg(r6(F.avg("v")).alias("lindemann"))
+def lindemann(atoms: DataFrame, window: int | None = None, block: int = 256) -> DataFrame:
+    """Index of each atom against all others of its trajectory: mean over partners of the relative
+    fluctuation of their distance, over all frames, or as ``frame`` over those up to ``window`` before and
+    behind, for the frames that have so many on both sides. A partner counts for the frames that
+    have both; partners at distance zero throughout have none.
+
+    Sums of pairs are kept where they arise: a group has ``block`` atoms of a trajectory and all their
+    partners, so what is shuffled grows with atoms times blocks, not with pairs of atoms.
+    """
+    t = atoms.select("conf_id", "frame", "atom_id", "x", "y", "z")
+    blocks = t.select("conf_id", F.expr(f"atom_id div {block}").alias("block")).distinct()
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = pa.Table.from_batches(list(batches))
+        frame, ids, x = h.column("frame").to_numpy(), h.column("atom_id").to_numpy(), np.stack([h.column(c).to_numpy() for c in "xyz"], 1)
+        known = np.unique(ids)
+        own = np.flatnonzero(known // block == h.column("block")[0].as_py())
+        out_frame, out_id, out = [], [], []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def close(at: int) -> None:
+            n, s, s2 = (sum(z[k] for z in held) for k in range(3))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = s / n
+                v = np.sqrt(np.maximum(0, s2 / n - mean * mean)) / mean
+            v[np.arange(len(own)), own] = np.nan
+            good = np.isfinite(v)
+            some = np.flatnonzero(good.any(1))
+            out_frame.append(np.full(len(some), at))
+            out_id.append(known[own[some]])
+            out.append(np.where(good, v, 0).sum(1)[some] / good.sum(1)[some])
+
+        frames = np.unique(frame)
+        for k, f in enumerate(frames):
+            rows = np.flatnonzero(frame == f)
+            place = np.searchsorted(known, ids[rows])
+            mine = np.isin(place, own)
+            d2 = sum((x[rows[mine], c, None] - x[None, rows, c]) ** 2 for c in range(3))
+            n, s, s2 = (np.zeros((len(own), len(known))) for _ in range(3))
+            cells = np.ix_(np.searchsorted(own, place[mine]), place)
+            n[cells], s[cells], s2[cells] = 1, np.sqrt(d2), d2
+            if window is None:
+                held = [(n, s, s2) if not held else tuple(a + b for a, b in zip(held[0], (n, s, s2), strict=True))]
+            else:
+                held = [*held, (n, s, s2)][-2 * window - 1 :]
+                if len(held) == 2 * window + 1:
+                    close(int(frames[k - window]))
+        if window is None:
+            close(0)
+        conf = h.column("conf_id").take(pa.array(np.zeros(sum(map(len, out)), np.int64)))
+        columns = {"conf_id": conf, "frame": np.concatenate([np.empty(0, np.int64), *out_frame]), "atom_id": np.concatenate([np.empty(0, np.int64), *out_id]), "lindemann": np.round(np.concatenate([np.empty(0), *out]), 6)}
+        yield from pa.table(columns).to_batches()
+
+    kind = t.schema["conf_id"].dataType.simpleString()
+    found = t.join(blocks, "conf_id").groupBy("conf_id", "block").applyInArrow(index, f"conf_id {kind}, frame long, atom_id long, lindemann double")
+    return found if window is not None else found.drop("frame")
+
+
+def lindemann_means(atoms: DataFrame, index: DataFrame) -> DataFrame:
+    """Mean index of a trajectory's atoms, all (type null) and by the type they have in its first frame."""
+    kinds = atoms.groupBy("conf_id", "atom_id").agg(F.min_by("type_id", "frame").alias("type_id"))
+    keys = [c for c in ("conf_id", "frame") if c in index.columns]
+    return index.join(kinds, ["conf_id", "atom_id"]).groupingSets([keys, [*keys, "type_id"]], *keys, "type_id").agg(F.round(F.avg("lindemann"), 5).alias("lindemann"), F.count("*").alias("n"))
 
 
 def surface_sites(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -311,3 +391,118 @@ def calinski_harabasz(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     k = c.join(g, "d").groupBy("label").agg(F.max("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("n") * away * away).alias("b"))
     between, within = F.sum("b") / (F.count("*") - 1), F.sum("w") / (F.sum("n") - F.count("*"))
     return k.agg(F.count("*").alias("clusters"), F.sum("n").alias("n"), r6(F.try_divide(between, within)).alias("calinski_harabasz"))
+
+
+def atom_angles(bonds: DataFrame) -> DataFrame:
+    """Mean, extremes and number of the angles in degrees between an atom's neighbours."""
+    bonds = bonds.where("r > 0")
+    unit = [(F.col(f"d{c}") / F.col("r")) for c in "xyz"]
+    a = bonds.select("frame", "i", "j", *[u.alias(f"a{c}") for u, c in zip(unit, "xyz", strict=True)])
+    b = bonds.select("frame", "i", F.col("j").alias("k"), *[u.alias(f"b{c}") for u, c in zip(unit, "xyz", strict=True)])
+    dot = F.col("ax") * F.col("bx") + F.col("ay") * F.col("by") + F.col("az") * F.col("bz")
+    deg = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    out = a.join(b, ["frame", "i"]).where("j < k").select("frame", F.col("i").alias("atom_id"), deg.alias("d"))
+    return out.groupBy("frame", "atom_id").agg(F.round(F.avg("d"), 4).alias("avg_deg"), F.round(F.max("d"), 4).alias("max_deg"), F.round(F.min("d"), 4).alias("min_deg"), F.count("*").alias("n"))
+
+
+def normalised_angles(angles: DataFrame) -> DataFrame:
+    """Histogram of angles, all and by ordered types, each count over the number of all angles of the frame."""
+    n = angles.groupingSets([["frame", "bin"], ["frame", "ti", "tj", "tk", "bin"]], "frame", "ti", "tj", "tk", "bin").agg(F.count("*").alias("n"))
+    total = F.sum(F.when(F.col("ti").isNull(), F.col("n"))).over(Window.partitionBy("frame"))
+    return n.withColumn("fraction", F.round(F.col("n") / total, 9))
+
+
+def radial_distances(atoms: DataFrame) -> DataFrame:
+    """Distance of each atom from the mid-point of its trajectory's range."""
+    mid = cell_bounds(atoms).select("conf_id", *[((F.col(f"max_{c}") + F.col(f"min_{c}")) / 2).alias(f"m{c}") for c in "xyz"])
+    d = [F.col(c) - F.col(f"m{c}") for c in "xyz"]
+    return atoms.join(mid, "conf_id").select("frame", "atom_id", r6(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).alias("radius"))
+
+
+def bond_order_histogram(atoms: DataFrame, order: DataFrame, most: int = 20) -> DataFrame:
+    """Atoms by their number of like-oriented neighbours (over ``most``: one more), all and by surface flag."""
+    t = atoms.select("frame", "atom_id", "surf").join(order, ["frame", "atom_id"]).select("frame", "surf", F.least("q6q6", F.lit(most + 1)).cast("int").alias("bin"))
+    return t.groupingSets([["frame", "bin"], ["frame", "surf", "bin"]], "frame", "surf", "bin").agg(F.count("*").alias("n"))
+
+
+#: Avogadro's number, cubic angstroms in a cubic centimetre.
+_AVOGADRO, _A3 = 6.02214076e23, 1e24
+
+
+def volumes(atoms: DataFrame, materials: dict[int, tuple[float, float]]) -> DataFrame:
+    """Volume of each frame in cubic angstroms: packed as in bulk, from (molar mass, density) by type, and as
+    a sphere of the mean surface radius (3/4 pi r^3: the published features have it so)."""
+    n = atoms.groupBy("frame").agg(*[F.count_if(F.col("type_id") == t).alias(f"n{t}") for t in materials])
+    packed = sum((F.col(f"n{t}") * F.lit(m / _AVOGADRO) / F.lit(rho / _A3) for t, (m, rho) in materials.items()), F.lit(0.0))
+    centre = atoms.groupBy("frame").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    d = [F.col(c) - F.col(f"m{c}") for c in "xyz"]
+    r = atoms.where("surf = 1").join(centre, "frame").groupBy("frame").agg(F.avg(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).alias("r"))
+    return n.join(r, "frame").select("frame", F.round(packed, 4).alias("vol_bulk_pack"), F.round(F.lit(3 / 4 * math.pi) * F.pow("r", F.lit(3.0)), 4).alias("vol_sphere"))
+
+
+def surface_sites_by_type(atoms: DataFrame, bonds: DataFrame, volume: DataFrame) -> DataFrame:
+    """Defect, micro and facet sites of each type, over the frame's atoms and over ``volume`` (frame, volume)."""
+    scn = bonds.where("si = 1 and sj = 1").groupBy("frame", F.col("i").alias("atom_id")).agg(F.count("*").alias("scn"))
+    sites = {"defects": (1, 3), "micros": (4, 7), "facets": (9, 11)}
+    t = atoms.select("frame", "atom_id", "type_id").join(scn, ["frame", "atom_id"], "left")
+    n = t.groupBy("frame", "type_id").agg(*[F.count_if(F.col("scn").between(*ends)).alias(k) for k, ends in sites.items()])
+    total = atoms.groupBy("frame").agg(F.count("*").alias("natoms")).join(volume, "frame")
+    out = n.join(total, "frame")
+    return out.select("frame", "type_id", *[x for k in sites for x in (F.col(k), r6(F.col(k) / F.col("natoms")).alias(f"{k}_ratio"), F.round(F.col(k) / F.col("volume"), 9).alias(f"{k}_conc"))])
+
+
+def formation_energy(rows: DataFrame, energy: str, counts: dict[str, float]) -> DataFrame:
+    """``rows`` with formation_energy: ``energy`` less each count column times its bulk energy an atom."""
+    bulk = sum((F.col(c) * F.lit(e) for c, e in counts.items()), F.lit(0.0))
+    return rows.withColumn("formation_energy", F.col(energy) - bulk)
+
+
+def bond_length_information(bonds: DataFrame, width: float) -> DataFrame:
+    """Mutual information in nats between the mean bond lengths of a frame's atoms and the next frame's,
+    in bins of ``width``; atoms matched by id."""
+    l = bonds.groupBy("frame", F.col("i").alias("atom_id")).agg(F.floor(F.avg("r") / width).alias("a"))  # noqa: E741
+    n = l.join(l.select((F.col("frame") - 1).alias("frame"), "atom_id", F.col("a").alias("b")), ["frame", "atom_id"]).groupBy("frame", "a", "b").agg(F.count("*").alias("n"))
+    w = lambda *c: F.sum("n").over(Window.partitionBy("frame", *c)).cast("double")
+    t = n.withColumns({"t": w(), "na": w("a"), "nb": w("b")})
+    return t.groupBy("frame").agg(F.round(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))), 5).alias("mi"))
+
+
+def coordination_divergence(cn: DataFrame) -> DataFrame:
+    """Distances between the coordination histograms of types 1 and 2, each scaled to sum 1: Euclidean,
+    Hellinger and Kullback-Leibler with the least positive share added to the second."""
+    w = Window.partitionBy("frame")
+    n = cn.groupBy("frame", "cn").agg(*[F.count_if(F.col("type_id") == t).alias(f"n{t}") for t in (1, 2)])
+    h = n.withColumns({"p": F.try_divide(F.col("n1"), F.sum("n1").over(w)), "q": F.try_divide(F.col("n2"), F.sum("n2").over(w))})
+    h = h.withColumn("e", F.min(F.when(F.col("q") > 0, F.col("q"))).over(w))
+    root = F.sqrt("p") - F.sqrt("q")
+    return h.groupBy("frame").agg(
+        r6(F.sqrt(F.sum((F.col("p") - F.col("q")) * (F.col("p") - F.col("q"))))).alias("euclid"), r6(F.sqrt(F.sum(root * root)) / math.sqrt(2)).alias("hellinger"),
+        r6(F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln(F.col("p") / (F.col("q") + F.col("e")))).otherwise(0.0))).alias("kl"),
+    )
+
+
+def feature_row(cn: DataFrame, half: DataFrame, most: int = 20) -> DataFrame:
+    """A wide row a frame: numbers of atoms, atoms by coordination number 0 to ``most`` (all and by type),
+    its mean, and mean bond lengths (all and by unordered types). Two aggregations and a join on the frame."""
+    t = lambda k: F.lit(True) if not k else F.col("type_id") == k
+    name = lambda k: f"ele{k}" if k else "t"
+    w = cn.groupBy("frame").agg(
+        F.count("*").alias("n_atom_total"), *[F.count_if(t(k)).alias(f"n_ele{k}") for k in (1, 2)],
+        *[F.count_if(t(k) & (F.col("cn") == n)).alias(f"{name(k)}_cn_{n}") for k in (0, 1, 2) for n in range(most + 1)], r6(F.avg("cn")).alias("avg_cn"),
+    )
+    low, high = F.least("ti", "tj"), F.greatest("ti", "tj")
+    b = half.groupBy("frame").agg(r6(F.avg("r")).alias("bond_avg"), *[r6(F.avg(F.when((low == x) & (high == y), F.col("r")))).alias(f"bond_avg_{x}{y}") for x, y in ((1, 1), (1, 2), (2, 2))])
+    return w.join(b, "frame", "left")
+
+
+def merge_measured(measured: DataFrame, features: DataFrame, key: str = "conf_id", last: tuple[str, ...] = ()) -> DataFrame:
+    """Measured values and features of the same configuration as one row, the columns in ``last`` at the end."""
+    out = measured.join(features, key)
+    return out.select(*[c for c in out.columns if c not in last], *last)
+
+
+def exposed_faces(tetrahedra: DataFrame) -> DataFrame:
+    """(frame, a, b, c): triangles that are a face of exactly one of the tetrahedra (frame, p0, p1, p2, p3)."""
+    corners = [("p0", "p1", "p2"), ("p0", "p1", "p3"), ("p0", "p2", "p3"), ("p1", "p2", "p3")]
+    faces = tetrahedra.select("frame", F.explode(F.array(*[F.array_sort(F.array(*f)) for f in corners])).alias("f"))
+    return faces.groupBy("frame", "f").agg(F.count("*").alias("n")).where("n = 1").select("frame", *[F.col("f")[k].alias(x) for k, x in enumerate("abc")])

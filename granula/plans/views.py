@@ -24,3 +24,9 @@ def atoms(spark: SparkSession, sf: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet")
+
+
+def series_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A series a user: conf_id, line_no from 1, event_type, value."""
+    sql = "SELECT user_id AS conf_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, event_type, value FROM {events}"
+    return spark.sql(sql, events=events(spark, sf))

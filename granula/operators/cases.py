@@ -75,7 +75,7 @@ def spread_labels(points: DataFrame, case: str, ident: str, columns: list[str])
         left[0] = False
         while left.any():
             d = np.sqrt(((x - x[now]) ** 2).sum(1))
-            better = d < best
+            better = (d < best) & left
             best[better], by[better] = d[better], now
             now = int(np.flatnonzero(left)[np.argmin(best[left])])
             left[now] = False

@@ -154,15 +154,15 @@ def bin_rules(df: DataFrame, by: str, value: str) -> DataFrame:
 def normality(df: DataFrame, by: str, value: str) -> DataFrame:
     """D'Agostino's K2 of each group with eight rows or more: skewness and kurtosis, each made normal,
     squared and added; p is that of two degrees of freedom."""
-    s = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.skewness(value).alias("g"), (F.kurtosis(value) + 3).alias("b2")).where("n >= 8 and g is not null and not isnan(g)")
+    s = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.skewness(value).alias("__g"), (F.kurtosis(value) + 3).alias("__b2")).where("n >= 8 and __g is not null and not isnan(__g)")
     n = F.col("n").cast("double")
-    y = F.col("g") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    y = F.col("__g") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = F.sqrt(2 * (beta - 1)) - 1
     delta, alpha = 1 / F.sqrt(0.5 * F.ln(w2)), F.sqrt(2 / (w2 - 1))
     zs = delta * F.asinh(y / alpha)
     e, v = 3 * (n - 1) / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (F.col("b2") - e) / F.sqrt(v)
+    x = (F.col("__b2") - e) / F.sqrt(v)
     root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
     a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
     base = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))

@@ -91,8 +91,8 @@ def decahedron(spark: SparkSession, edge: int, lattice: float) -> DataFrame:
     r = spark.range(edge).select(F.col("id").cast("int").alias("r"))
     col = r.select("r", F.explode(F.when(F.col("r") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), 5 * F.col("r") - 1))).alias("m"))
     t = col.select("r", "m", F.explode(F.sequence(F.lit(0), edge - 1 - F.col("r"))).alias("k"))
-    side = F.coalesce(F.expr("try_divide(m - pmod(m, r), r)"), F.lit(0.0))
-    part = F.coalesce(F.expr("try_divide(cast(pmod(m, r) as double), r)"), F.lit(0.0))
+    side = F.expr("(m - pmod(m, greatest(r, 1))) / greatest(r, 1)")
+    part = F.expr("pmod(m, greatest(r, 1)) / greatest(r, 1)")
     at = lambda f: (1 - part) * f(side * (2 * math.pi / 5)) + part * f((side + 1) * (2 * math.pi / 5))
     radius = F.col("r") * (b * math.sqrt(3) / 2)
     return t.select((radius * at(F.cos)).alias("x"), (radius * at(F.sin)).alias("y"), ((F.col("k") - (edge - 1 - F.col("r")) / 2) * b).alias("z"))

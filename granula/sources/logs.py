@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, line_no, line) of text files, lines counted from 1."""
-    whole = spark.read.option("wholetext", "true").text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("l"))
+    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("l"))
     return whole.select("path", F.posexplode("l").alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), "line")
 
 

@@ -11,7 +11,8 @@ from granula.sources.logs import numbered_lines
 def data_headers(lines: DataFrame) -> DataFrame:
     """(path, atoms, types, xlo, xhi, ylo, yhi, zlo, zhi) of data files."""
     n = lambda p: F.max(F.regexp_extract("line", p, 1).try_cast("double"))
-    ends = [n(rf"^\s*{'(\S+)\s+\S+' if k == 'lo' else '\S+\s+(\S+)'}\s+{c}lo {c}hi").alias(f"{c}{k}") for c in "xyz" for k in ("lo", "hi")]
+    two = {"lo": r"(\S+)\s+\S+", "hi": r"\S+\s+(\S+)"}
+    ends = [n(rf"^\s*{two[k]}\s+{c}lo {c}hi").alias(f"{c}{k}") for c in "xyz" for k in ("lo", "hi")]
     return lines.groupBy("path").agg(n(r"^\s*(\d+)\s+atoms").cast("long").alias("atoms"), n(r"^\s*(\d+)\s+atom types").cast("int").alias("types"), *ends)
 
 

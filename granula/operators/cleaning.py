@@ -195,3 +195,28 @@ def explained_variance(df: DataFrame, columns: list[str]) -> DataFrame:
     shares = PCA(k=len(columns), inputCol="v", outputCol="p").fit(v).explainedVariance.toArray().tolist()
     rows = [(i + 1, x, math.fsum(shares[: i + 1])) for i, x in enumerate(shares)]  # as many as there are columns
     return df.sparkSession.createDataFrame(rows, "component int, share double, cumulative double")
+
+
+def remaining(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``todo`` that ``done`` has no row for; null keys match nothing and stay."""
+    return todo.join(done.select(*keys), keys, "left_anti")
+
+
+def concatenated(parts: dict[str, DataFrame], name: str = "source") -> DataFrame:
+    """Tables of the same columns as one, each row with its table's name."""
+    tables = [d.withColumn(name, F.lit(n)) for n, d in parts.items()]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def group_means(df: DataFrame, by: str, means: dict[str, str], digits: int = 6) -> DataFrame:
+    """Means of columns (name returned: column) and the number of rows of each group."""
+    return df.groupBy(by).agg(*[F.round(F.avg(c), digits).alias(n) for n, c in means.items()], F.count("*").alias("n"))
+
+
+def resources(counts: DataFrame, atoms: str = "natoms") -> DataFrame:
+    """Processors (48 for each begun 64,000 atoms) and seconds (36 an atom over the processors) of a run."""
+    cpus = F.expr(f"(({atoms} - 1) div 64000 + 1) * 48")
+    return counts.withColumn("ncpus", cpus.cast("long")).withColumn("seconds", F.expr(f"36 * {atoms} div ncpus").cast("long"))

@@ -195,3 +195,35 @@ def early_stop(frames: DataFrame, key: str, order: str, redundant: str, most: in
     streak = F.sum((~F.col(redundant)).cast("int")).over(Window.partitionBy(key, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("__over", (F.coalesce(streak, F.lit(0)) > most).cast("int"))
     return s.withColumn("seen", F.max("__over").over(w) == 0).drop("__run", "__over")
+
+
+def steps(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Each row of a series with the number of the next (null for the last) and the change of ``value`` to it."""
+    w = _w(key, order)
+    return rows.select(key, order, F.lead(order).over(w).alias("next_no"), F.round(F.lead(value).over(w) - F.col(value), 6).alias("step"))
+
+
+def welch_halves(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Welch's t and degrees of freedom between the first and the second half of each series."""
+    half = F.ntile(2).over(_w(key, order))
+    side = lambda f, h: f(F.when(F.col("__h") == h, F.col(value)))
+    g = rows.withColumn("__h", half).groupBy(key).agg(*[side(f, h).alias(f"__{n}{h}") for h in (1, 2) for n, f in (("m", F.avg), ("v", F.var_samp))], *[F.count_if(F.col("__h") == h).alias(f"__n{h}") for h in (1, 2)])
+    g = g.where("__n1 > 1 and __n2 > 1").withColumns({f"__s{h}": F.col(f"__v{h}") / F.col(f"__n{h}") for h in (1, 2)}).where("__s1 + __s2 > 0")
+    s1, s2 = F.col("__s1"), F.col("__s2")
+    df = (s1 + s2) * (s1 + s2) / (s1 * s1 / (F.col("__n1") - 1) + s2 * s2 / (F.col("__n2") - 1))
+    return g.select(key, F.round((F.col("__m1") - F.col("__m2")) / F.sqrt(s1 + s2), 6).alias("t"), F.round(df, 4).alias("df"))
+
+
+def density_overlap(rows: DataFrame, by: str, value: str, width: float, points: int = 100) -> DataFrame:
+    """Bhattacharyya coefficient of each two groups' Gaussian kernel densities of ``width``, on a grid of
+    ``points`` over the range of all values. Values are counted by tenths first, so the grid meets
+    distinct values and not rows; groups meet on a grid point."""
+    h = rows.where(F.col(value).isNotNull()).groupBy(by, F.round(value, 1).alias("v")).agg(F.count("*").alias("n"))
+    ends = h.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / (points - 1)).alias("w"))
+    total = h.groupBy(by).agg(F.sum("n").alias("total"))
+    g = h.join(F.broadcast(ends)).select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    z = (F.col("lo") + F.col("w") * F.col("i") - F.col("v")) / width
+    k = g.groupBy(by, "i").agg(F.max("w").alias("w"), (F.sum(F.col("n") * F.exp(-z * z / 2)) / (width * (2 * np.pi) ** 0.5)).alias("s"))
+    d = k.join(total, by).select(by, "i", "w", (F.col("s") / F.col("total")).alias("p"))
+    a, b = (d.select("i", "w", F.col(by).alias(f"type_{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    return a.join(b.drop("w"), "i").where("type_a < type_b").groupBy("type_a", "type_b").agg(F.round(F.sum(F.sqrt(F.col("pa") * F.col("pb")) * F.col("w")), 6).alias("bhattacharyya"))

@@ -407,49 +407,57 @@ def _shared(name: str, tables: str, sql: str, duck: str | None = None) -> None:
     query(text)(run)
 
 
+def _oracle(name: str, tables: str, sql: str, duck: str | None = None) -> None:
+    """The SQL of a query whose Spark side is a library function, in ``more``."""
+    text = duck or sql
+    for t in tables.split():
+        text = text.replace("{" + t + "}", t)
+    ORACLES[name] = text
+
+
 _EV = "SELECT user_id AS conf_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, event_type, value FROM {events}"
 
-_shared("depad", "events", f"""WITH e AS ({_EV}), d AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY conf_id ORDER BY line_no) THEN line_no END AS again FROM e),
+_oracle("depad", "events", f"""WITH e AS ({_EV}), d AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY conf_id ORDER BY line_no) THEN line_no END AS again FROM e),
     m AS (SELECT *, min(again) OVER (PARTITION BY conf_id) AS cut FROM d) SELECT conf_id, line_no, event_type, value FROM m WHERE cut IS NULL OR line_no <= cut - 2""")
-_shared("log_scan", "events", f"""WITH e AS ({_EV}), s AS (SELECT *, lag(value) OVER (PARTITION BY conf_id ORDER BY line_no) AS last_value,
+_oracle("log_scan", "events", f"""WITH e AS ({_EV}), s AS (SELECT *, lag(value) OVER (PARTITION BY conf_id ORDER BY line_no) AS last_value,
     sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY conf_id ORDER BY line_no) AS run FROM e),
     f AS (SELECT *, row_number() OVER (PARTITION BY conf_id, run ORDER BY line_no) AS k FROM s WHERE event_type = 'purchase' AND run > 0)
     SELECT conf_id, CAST(run AS BIGINT) AS run, line_no, round(last_value, 6) AS energy FROM f WHERE k = 1""")
-_shared("rolling_mean", "events", f"""WITH e AS ({_EV}), r AS (SELECT conf_id, line_no, avg(value) OVER (PARTITION BY conf_id ORDER BY line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM e)
+_oracle("rolling_mean", "events", f"""WITH e AS ({_EV}), r AS (SELECT conf_id, line_no, avg(value) OVER (PARTITION BY conf_id ORDER BY line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM e)
     SELECT conf_id, line_no, round(m, 6) AS mean5 FROM r WHERE line_no >= 5""")
-_shared("block_mean", "events", f"WITH e AS ({_EV}) SELECT conf_id, CAST(floor((line_no - 1) / 10) AS BIGINT) AS block, round(avg(value), 6) AS mean, count(*) AS n FROM e GROUP BY conf_id, CAST(floor((line_no - 1) / 10) AS BIGINT)")
-_shared("local_maxima", "events", f"""WITH e AS ({_EV}), w AS (SELECT *, lag(value) OVER (PARTITION BY conf_id ORDER BY line_no) AS a, lead(value) OVER (PARTITION BY conf_id ORDER BY line_no) AS b FROM e)
+_oracle("block_mean", "events", f"WITH e AS ({_EV}) SELECT conf_id, CAST(floor((line_no - 1) / 10) AS BIGINT) AS block, round(avg(value), 6) AS mean, count(*) AS n FROM e GROUP BY conf_id, CAST(floor((line_no - 1) / 10) AS BIGINT)")
+_oracle("local_maxima", "events", f"""WITH e AS ({_EV}), w AS (SELECT *, lag(value) OVER (PARTITION BY conf_id ORDER BY line_no) AS a, lead(value) OVER (PARTITION BY conf_id ORDER BY line_no) AS b FROM e)
     SELECT conf_id, line_no, round(value, 6) AS peak FROM w WHERE value > a AND value > b""")
 _shared("zscore_peaks", "events", f"""WITH e AS ({_EV}), w AS (SELECT *, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s, count(*) OVER p AS n FROM e
     WINDOW p AS (PARTITION BY conf_id ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
     SELECT conf_id, line_no, CASE WHEN value > m THEN 1 ELSE -1 END AS signal FROM w WHERE n = 10 AND abs(value - m) > 2 * s""")
-_shared("welch_t", "events", f"""WITH e AS ({_EV}), c AS (SELECT *, ntile(2) OVER (PARTITION BY conf_id ORDER BY line_no) AS h FROM e),
+_oracle("welch_t", "events", f"""WITH e AS ({_EV}), c AS (SELECT *, ntile(2) OVER (PARTITION BY conf_id ORDER BY line_no) AS h FROM e),
     a AS (SELECT conf_id, avg(CASE WHEN h = 1 THEN value END) AS m1, avg(CASE WHEN h = 2 THEN value END) AS m2, var_samp(CASE WHEN h = 1 THEN value END) AS v1, var_samp(CASE WHEN h = 2 THEN value END) AS v2,
     count(CASE WHEN h = 1 THEN 1 END) AS n1, count(CASE WHEN h = 2 THEN 1 END) AS n2 FROM c GROUP BY conf_id)
     SELECT conf_id, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round(power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)), 4) AS df
     FROM a WHERE n1 > 1 AND n2 > 1 AND v1 / n1 + v2 / n2 > 0""")
 _shared("last_frame", "lineitem", "SELECT l_suppkey AS conf_id, max(l_shipdate) AS last_step, count(*) AS n FROM {lineitem} GROUP BY l_suppkey")
-_shared("dedup_clean", "lineitem", "SELECT DISTINCT l_orderkey, l_linenumber, round(l_quantity, 4) AS quantity FROM {lineitem}")
-_shared("onehot", "lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS is_a, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS is_n, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_r FROM {lineitem}")
-_shared("scale_minmax", "lineitem", """SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - min(l_quantity) OVER w) / nullif(max(l_quantity) OVER w - min(l_quantity) OVER w, 0), 6) AS scaled
+_oracle("dedup_clean", "lineitem", "SELECT DISTINCT l_orderkey, l_linenumber, round(l_quantity, 4) AS quantity FROM {lineitem}")
+_oracle("onehot", "lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS is_a, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS is_n, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_r FROM {lineitem}")
+_oracle("scale_minmax", "lineitem", """SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - min(l_quantity) OVER w) / nullif(max(l_quantity) OVER w - min(l_quantity) OVER w, 0), 6) AS scaled
     FROM {lineitem} WINDOW w AS (PARTITION BY l_suppkey)""")
-_shared("variance_filter", "lineitem", """SELECT name, round(v, 6) AS variance FROM (SELECT 'quantity' AS name, var_pop(l_quantity) AS v FROM {lineitem} UNION ALL SELECT 'discount', var_pop(l_discount) FROM {lineitem}
+_oracle("variance_filter", "lineitem", """SELECT name, round(v, 6) AS variance FROM (SELECT 'quantity' AS name, var_pop(l_quantity) AS v FROM {lineitem} UNION ALL SELECT 'discount', var_pop(l_discount) FROM {lineitem}
     UNION ALL SELECT 'tax', var_pop(l_tax) FROM {lineitem}) WHERE v > 0.0009""")
-_shared("anti_join_remaining", "orders lineitem", "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
+_oracle("anti_join_remaining", "orders lineitem", "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
 _shared("reindex", "supplier", "SELECT s_suppkey, lpad(CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS {string}), 6, '0') AS conf_id FROM {supplier}".replace("{string}", "STRING"),
         "SELECT s_suppkey, lpad(CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS VARCHAR), 6, '0') AS conf_id FROM {supplier}")
-_shared("name_parse", "part", "SELECT p_partkey, regexp_extract(p_brand, '([A-Za-z]+)', 1) AS letters, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, substring(p_type, 1, 2) AS shape FROM {part}")
+_oracle("name_parse", "part", "SELECT p_partkey, regexp_extract(p_brand, '([A-Za-z]+)', 1) AS letters, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, substring(p_type, 1, 2) AS shape FROM {part}")
 _shared("param_sweep", "nation", """SELECT a.n_nationkey AS e1, b.n_nationkey AS e2, s.size1, t.size2 FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey
     JOIN (SELECT DISTINCT n_regionkey * 10 + 20 AS size1 FROM {nation}) s ON s.size1 > 20 JOIN (SELECT DISTINCT n_regionkey * 10 + 20 AS size2 FROM {nation}) t ON t.size2 < s.size1""")
-_shared("lead_frame_pairs", "events", f"WITH e AS ({_EV}) SELECT conf_id, line_no, lead(line_no) OVER (PARTITION BY conf_id ORDER BY line_no) AS next_no, round(lead(value) OVER (PARTITION BY conf_id ORDER BY line_no) - value, 6) AS step FROM e")
+_oracle("lead_frame_pairs", "events", f"WITH e AS ({_EV}) SELECT conf_id, line_no, lead(line_no) OVER (PARTITION BY conf_id ORDER BY line_no) AS next_no, round(lead(value) OVER (PARTITION BY conf_id ORDER BY line_no) - value, 6) AS step FROM e")
 _shared("hist_bin_rules", "events", """SELECT event_type, count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS bins_sqrt, CAST(ceil(log2(count(*))) AS BIGINT) + 1 AS bins_sturges,
     CAST(ceil(2 * power(count(*), 1 / 3.0)) AS BIGINT) AS bins_rice, round(3.49 * stddev_samp(value) / power(count(*), 1 / 3.0), 2) AS width_scott FROM {events} GROUP BY event_type""")
-_shared("config_union", "customer supplier", "SELECT 'customer' AS source, c_nationkey AS nation, count(*) AS n FROM {customer} GROUP BY c_nationkey UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM {supplier} GROUP BY s_nationkey")
-_shared("formation_energy", "lineitem", "SELECT l_suppkey AS frame, round(sum(l_extendedprice) - sum(CASE WHEN l_returnflag = 'A' THEN 3.81 ELSE 4.39 END), 4) AS energy FROM {lineitem} GROUP BY l_suppkey")
-_shared("group_mean_sorted", "part", "SELECT substring(p_type, 1, 2) AS shape, round(avg(p_retailprice), 4) AS mean_price, round(avg(p_size), 6) AS mean_size, count(*) AS n FROM {part} GROUP BY substring(p_type, 1, 2) ORDER BY shape")
-_shared("resource_estimate", "lineitem", """WITH n AS (SELECT l_suppkey AS frame, count(*) AS natoms FROM {lineitem} GROUP BY l_suppkey), c AS (SELECT *, CAST((floor((natoms - 1) / 64000) + 1) * 48 AS BIGINT) AS ncpus FROM n)
+_oracle("config_union", "customer supplier", "SELECT 'customer' AS source, c_nationkey AS nation, count(*) AS n FROM {customer} GROUP BY c_nationkey UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM {supplier} GROUP BY s_nationkey")
+_oracle("formation_energy", "lineitem", "SELECT l_suppkey AS frame, round(sum(l_extendedprice) - sum(CASE WHEN l_returnflag = 'A' THEN 3.81 ELSE 4.39 END), 4) AS energy FROM {lineitem} GROUP BY l_suppkey")
+_oracle("group_mean_sorted", "part", "SELECT substring(p_type, 1, 2) AS shape, round(avg(p_retailprice), 4) AS mean_price, round(avg(p_size), 6) AS mean_size, count(*) AS n FROM {part} GROUP BY substring(p_type, 1, 2) ORDER BY shape")
+_oracle("resource_estimate", "lineitem", """WITH n AS (SELECT l_suppkey AS frame, count(*) AS natoms FROM {lineitem} GROUP BY l_suppkey), c AS (SELECT *, CAST((floor((natoms - 1) / 64000) + 1) * 48 AS BIGINT) AS ncpus FROM n)
     SELECT frame, natoms, ncpus, CAST(floor(36 * natoms / ncpus) AS BIGINT) AS seconds FROM c""")
-_shared("density_overlap", "events", """WITH h AS (SELECT event_type, round(value, 1) AS v, count(*) AS n FROM {events} WHERE value IS NOT NULL GROUP BY event_type, round(value, 1)),
+_oracle("density_overlap", "events", """WITH h AS (SELECT event_type, round(value, 1) AS v, count(*) AS n FROM {events} WHERE value IS NOT NULL GROUP BY event_type, round(value, 1)),
     t AS (SELECT event_type, sum(n) AS total FROM h GROUP BY event_type), g AS (SELECT *, (SELECT min(v) FROM h) AS lo, (SELECT (max(v) - min(v)) / 99 FROM h) AS w, explode(sequence(0, 99)) AS i FROM h),
     k AS (SELECT event_type, i, max(w) AS w, sum(n * exp(-power((lo + w * i - v) / 5, 2) / 2)) / (5 * sqrt(2 * pi())) AS s FROM g GROUP BY event_type, i),
     d AS (SELECT k.event_type, k.i, k.w, k.s / t.total AS p FROM k JOIN t ON t.event_type = k.event_type)

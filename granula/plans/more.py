@@ -22,6 +22,47 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # ---- series
 
+@query(ORACLES["depad"])
+def depad(spark, sf):
+    return series.depad(series_rows(spark, sf), "conf_id", "line_no", "event_type").select("conf_id", "line_no", "event_type", "value")
+
+
+@query(ORACLES["log_scan"])
+def log_scan(spark, sf):
+    kind = F.col("event_type")
+    return series.after_markers(series_rows(spark, sf), "conf_id", "line_no", kind == "signup", kind == "purchase", "value", "energy")
+
+
+@query(ORACLES["rolling_mean"])
+def rolling_mean(spark, sf):
+    return series.rolling_mean(series_rows(spark, sf), "conf_id", "line_no", "value", 5, "mean5")
+
+
+@query(ORACLES["block_mean"])
+def block_mean(spark, sf):
+    return series.block_mean(series_rows(spark, sf), "conf_id", "line_no", "value", 10)
+
+
+@query(ORACLES["local_maxima"])
+def local_maxima(spark, sf):
+    return series.extrema(series_rows(spark, sf), "conf_id", "line_no", "value").where("kind = 1").drop("kind")
+
+
+@query(ORACLES["lead_frame_pairs"])
+def lead_frame_pairs(spark, sf):
+    return series.steps(series_rows(spark, sf), "conf_id", "line_no", "value")
+
+
+@query(ORACLES["welch_t"])
+def welch_t(spark, sf):
+    return series.welch_halves(series_rows(spark, sf), "conf_id", "line_no", "value")
+
+
+@query(ORACLES["density_overlap"])
+def density_overlap(spark, sf):
+    return series.density_overlap(_table(spark, sf, "events"), "event_type", "value", 5.0)
+
+
 @query(f"{_E}, w AS (SELECT *, lag(value) OVER s AS a, lead(value) OVER s AS b FROM e WINDOW s AS (PARTITION BY conf_id ORDER BY line_no)) SELECT conf_id, line_no, CASE WHEN value > a THEN 1 ELSE -1 END AS kind, round(value, 6) AS peak FROM w WHERE (value > a AND value > b) OR (value < a AND value < b)")
 def local_extrema(spark, sf):
     return series.extrema(series_rows(spark, sf), "conf_id", "line_no", "value")
@@ -73,6 +114,65 @@ def spread_peaks(spark, sf):
 
 # ---- cleaning
 
+@query(ORACLES["dedup_clean"])
+def dedup_clean(spark, sf):
+    t = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"))
+    return cleaning.round_all(t).dropDuplicates()
+
+
+@query(ORACLES["onehot"])
+def onehot(spark, sf):
+    t = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return cleaning.one_hot(t, "l_returnflag", ["A", "N", "R"]).drop("l_returnflag")
+
+
+@query(ORACLES["scale_minmax"])
+def scale_minmax(spark, sf):
+    t = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("scaled"))
+    return cleaning.scale_minmax(t, ["scaled"], ["l_suppkey"]).drop("l_suppkey").withColumn("scaled", F.round("scaled", 6))
+
+
+@query(ORACLES["variance_filter"])
+def variance_filter(spark, sf):
+    t = _table(spark, sf, "lineitem").select(*[F.col(f"l_{c}").alias(c) for c in ("quantity", "discount", "tax")])
+    return cleaning.low_variance(t, t.columns, 0.0009).withColumn("variance", F.round("variance", 6))
+
+
+@query(ORACLES["anti_join_remaining"])
+def anti_join_remaining(spark, sf):
+    done = _table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return cleaning.remaining(_table(spark, sf, "orders").select("o_orderkey"), done, ["o_orderkey"])
+
+
+@query(ORACLES["name_parse"])
+def name_parse(spark, sf):
+    t = _table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
+    return cleaning.name_parts(t, "p_brand").select("p_partkey", "letters", "digits", F.substring("p_type", 1, 2).alias("shape"))
+
+
+@query(ORACLES["formation_energy"])
+def formation_energy(spark, sf):
+    t = _table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("frame")).agg(F.sum("l_extendedprice").alias("total"), F.count_if(F.col("l_returnflag") == "A").alias("n1"), F.count_if(F.col("l_returnflag") != "A").alias("n2"))
+    return st.formation_energy(t, "total", {"n1": 3.81, "n2": 4.39}).select("frame", F.round("formation_energy", 4).alias("energy"))
+
+
+@query(ORACLES["group_mean_sorted"])
+def group_mean_sorted(spark, sf):
+    t = _table(spark, sf, "part").withColumn("shape", F.substring("p_type", 1, 2))
+    return cleaning.group_means(t, "shape", {"mean_price": "p_retailprice", "mean_size": "p_size"}).withColumn("mean_price", F.round("mean_price", 4)).orderBy("shape")
+
+
+@query(ORACLES["resource_estimate"])
+def resource_estimate(spark, sf):
+    return cleaning.resources(_table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("frame")).agg(F.count("*").alias("natoms")))
+
+
+@query(ORACLES["config_union"])
+def config_union(spark, sf):
+    n = lambda t, c: _table(spark, sf, t).groupBy(F.col(c).alias("nation")).agg(F.count("*").alias("n"))
+    return cleaning.concatenated({"customer": n("customer", "c_nationkey"), "supplier": n("supplier", "s_nationkey")})
+
+
 @query("SELECT s_suppkey, lpad(CAST(row_number() OVER (ORDER BY s_suppkey) AS VARCHAR), 6, '0') AS conf_id FROM supplier")
 def dense_reindex(spark, sf):
     return ranges.dense_index(_table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], "conf_id", 6)

@@ -39,15 +39,18 @@ class Encoder:
 
     ``lossy_space`` is for tokenizers that drop white space: pieces are then words. Pieces are
     remembered in two generations of at most ``most`` each; those still in use when the younger
-    is full move on with it.
+    is full move on with it. A special token's string in a text is that token, as the library
+    takes it; with ``plain`` it is ordinary text.
     """
 
-    def __init__(self, path: str, lossy_space: bool, most: int = 500_000):
+    def __init__(self, path: str, lossy_space: bool, most: int = 500_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        special = [] if plain else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) if special else "(?!)", re.IGNORECASE).search
         self.cut = (lambda text: text.replace("\n", " ").split(" ")) if lossy_space else _pieces
         self.model = self.tokenizer.model
         self.lower = lossy_space
@@ -83,6 +86,8 @@ class Encoder:
         for p in pieces:
             if (ids := old.get(p)) is not None:
                 young[p] = ids
+            elif self.special(p):
+                new.append(p)
             elif (tail := len(p) - len(p.rstrip(_MARKS))) and p[:-tail][-1:].lower().isalpha():
                 # A letter and the marks after it never share a pre-token, so both are encoded apart,
                 # but for a capital whose small form ends with a mark of its own.
@@ -117,6 +122,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, lossy_space: bool) -> Encoder:
+def encoder(path: str, lossy_space: bool, plain: bool = False) -> Encoder:
     """One encoder a Python worker; its cache lasts over tasks."""
-    return Encoder(path, lossy_space)
+    return Encoder(path, lossy_space, plain=plain)

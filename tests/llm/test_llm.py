@@ -145,7 +145,6 @@ def test_packing(docs, rows):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in packing.pack(docs, path).collect():
         got[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
@@ -171,7 +170,6 @@ def test_token_files(spark, docs, rows):
     path, out = P.path("word_bpe_49k.json"), common.shared_dir(spark, "t")
     token_files.write(docs, out, path)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.digest(token_files.read(spark, out)).collect()}
     start = 0
     for i, text, *_ in rows:
@@ -265,14 +263,22 @@ def test_empty_tables(spark, docs):
         assert f().count() == 0
 
 
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize(("name", "lossy"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
-def test_encoder_equals_library(name, lossy):
+def test_encoder_equals_library(name, lossy, plain):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path(name))
+    if plain:
+        library.encode_special_tokens = True
     r = random.Random(7)
     letters = "aBé ßΣς'.,!%_-<|>1२½\n\t ʼńİǅ中。\u0307"
     texts = ["".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(4000)]
     texts += ["don't.", "x's!!", "'s.'", "a_b__", "it's.&&&", "we'll'll", "é.,", "İ'", "İ!%", "be%%% be%%%", "<|endoftext|>!"]
-    encode = tokens.Encoder(P.path(name), lossy, most=500)
+    parts = ["a", " b", "<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "!!", "\n", " ", "é.", "<|"]
+    texts += ["".join(r.choices(parts, k=r.randint(1, 7))) for _ in range(3000)]
+    encode = tokens.Encoder(P.path(name), lossy, most=500, plain=plain)
     for k in range(0, len(texts), 200):
         some = texts[k : k + 200]
-        whole = encode.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        whole = library.encode_batch_fast(some, add_special_tokens=False)
         assert encode(some) == [np.array(x.ids, "<u4").tobytes() for x in whole]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granula.llm import common, lines, mixing, near_duplicates, packing, quality, runs, sharding, substrings, token_files, tokenizer_alignment, topk, warc
+from granula.llm import common, lines, mixing, near_duplicates, packing, pii, quality, runs, sharding, substrings, token_files, tokenizer_alignment, topk, warc
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 1 << 20
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs, F.col("words")).drop("words", "source")
 
 
+def op11_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf, "documents")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(_table(spark, sf, "documents"), plant=True))
 
@@ -72,7 +76,7 @@ def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_extendible_sharding, op3_quality_rules, op4_near_duplicates, op5_packing,
     op6_topk_search, op7_warc, op8_token_files, op9_line_dedup, op10_mixing,
-    op12_periodic_runs, op13_tokenizer_alignment,
+    op11_personal_data, op12_periodic_runs, op13_tokenizer_alignment,
 )}
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"

@@ -43,6 +43,8 @@ CUES = {
     "phone": "phone|tel|call|fax|mobile|cell", "secret": "token|secret|passw|pwd|api|auth|key",
 }
 FEATURES = ("kind_no", "size", "digits", "letters", "marks", "groups", "longest", "luhn", "octets", "hex", "turns", "brackets", "ending", "cue", "assigned")
+#: Features that are 0 for all kinds but one.
+ONLY = {"luhn": "card", "octets": "ip", "ending": "email", "brackets": "email", "hex": "secret", "turns": "secret"}
 #: Code points of the text kept on either side of a candidate.
 CONTEXT = 24
 #: Bounds of the sample that the trees are fitted on: documents that are looked into, and examples.
@@ -160,6 +162,8 @@ def _features(x: Column) -> Column:
         "brackets": hit.rlike(r"[\[({<]"), "ending": F.char_length(F.regexp_extract(hit, r"([A-Za-z]+)$", 1)), "cue": cue,
         "assigned": x["before"].rlike("[=:]\\s*[\"']?$"),
     }
+    for f, k in ONLY.items():  # a feature that means nothing for other kinds must not tell them apart
+        values[f] = F.when(kind == k, values[f].cast("double"))
     return F.struct(*(x[c].alias(c) for c in ("kind", "start", "end")), *(F.coalesce(values[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
 
 
@@ -178,13 +182,15 @@ def _rewritten() -> Column:
     last = F.concat(F.expr("left(regexp_replace(s.hit, '[^0-9]', ''), length(regexp_replace(s.hit, '[^0-9]', '')) - 1)"), ((F.right(bare, F.lit(1)).cast("int") + 1) % 10).cast("string"))
     local = F.regexp_replace(hit, r"^\+[0-9]{1,3}[\x20.-]*", "")
     dashed = F.regexp_replace(F.right(bare, F.lit(10)), "^([0-9]{3})([0-9]{3})([0-9]{4})$", "$1-$2-$3")
-    worded = F.concat(F.translate(hit, "0123456789", "ghijklmnop"), F.lit("-1"))
+    cut = F.expr("16 + cast(pmod(xxhash64(s.hit), 25) AS int)")  # of any length, so that length alone tells nothing
+    letters = F.left(F.translate(hit, "0123456789", "ghijklmnop"), cut)
+    worded = F.concat(F.regexp_replace(letters, "([a-z]{1,5})", "$1-"), F.lit("1"))
     return (
         F.when(truth & (kind == "email"), F.array(like(hit, 1), like(marked, 1), like(F.regexp_replace(hit, "[A-Za-z]+$", "7"), 0)))
         .when(truth & (kind == "ip"), F.array(like(hit, 1), like(F.regexp_replace(hit, r"\.", "[.]"), 1), like(F.regexp_replace(hit, r"\.[0-9]+$", ""), 0), like(F.concat(hit, F.lit(".7")), 0), like(F.concat(F.lit("9"), F.lpad(hit, F.char_length(hit) + 2, "9")), 0)))
         .when(truth & (kind == "card"), F.array(like(hit, 1), like(spaced, 1), like(last, 0)))
         .when(truth & (kind == "phone"), F.array(like(local, 1), like(dashed, 1), like(F.right(bare, F.lit(8)), 0), like(F.concat(bare, F.lit("1")), 0), like(F.regexp_replace(dashed, "-", "."), 1)))
-        .when(kind == "secret", F.when(truth, F.array(like(hit, 1), like(hit, 1, F.lit("")), like(worded, 0, F.lit("")))))
+        .when(kind == "secret", F.when(truth, F.array(like(hit, 1), like(hit, 1, F.lit("")), like(F.left(hit, F.greatest(cut, F.lit(20))), 1, F.lit("")), like(F.concat(letters, F.lit("7")), 0, F.lit("")), like(worded, 0, F.lit("")), like(F.concat(F.lit("1-"), F.regexp_replace(worded, "-1$", "")), 0, F.lit("")))))
         .when(kind == "card", F.array(like(hit, _luhn(hit).cast("int"))))
     )
 
@@ -194,7 +200,7 @@ def examples(found: DataFrame, docs: int = SAMPLE_DOCS, rows: int = SAMPLE_ROWS)
 
     Labels come from the rules and not from people: base spans are personal data, and so are
     long strings that a word such as token or password assigns; other spellings of them keep the
-    label, broken ones (a wrong check digit, five numbers, no country) lose it. Half of the
+    label, broken ones (a wrong check digit, five numbers, letters and hyphens) lose it. Half of the
     documents, by hash, is held out to set thresholds.
     """
     sample = found.where(F.size("base") + F.size("wide") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)

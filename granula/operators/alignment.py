@@ -55,22 +55,27 @@ def aligned_rmsd(atoms: DataFrame) -> DataFrame:
     return s.select("conf_id", "frame", F.round(F.sqrt(F.greatest(F.lit(0.0), square) / (3 * n)), 5).alias("rmsd"), "n")
 
 
-def is_redundant(columns: list[str]) -> Column:
-    """Whether a frame repeats the next by every measure among ``columns`` that has a limit; a missing
-    value or NaN is no repetition. Spark takes NaN for more than any number, hence the guards."""
+def is_redundant(measures: list[str]) -> Column:
+    """Whether a frame repeats the next by every one of ``measures``; a missing value or NaN is no
+    repetition. Spark takes NaN for more than any number, hence the guards."""
     out = F.lit(True)
-    for c in columns:
+    for c in measures:
         x = F.col(c).cast("double")
-        if c in REDUNDANT_BELOW:
-            out = out & F.coalesce(~F.isnan(x) & (x < REDUNDANT_BELOW[c]), F.lit(False))
-        elif c in REDUNDANT_ABOVE:
-            out = out & F.coalesce(~F.isnan(x) & (x > REDUNDANT_ABOVE[c]), F.lit(False))
+        holds = x < REDUNDANT_BELOW[c] if c in REDUNDANT_BELOW else x > REDUNDANT_ABOVE[c]
+        out = out & F.coalesce(~F.isnan(x) & holds, F.lit(False))
     return out
 
 
-def redundant_frames(measures: DataFrame) -> DataFrame:
-    """``measures`` with ``redundant``."""
-    return measures.withColumn("redundant", is_redundant(measures.columns))
+def redundant_frames(rows: DataFrame, measures: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``redundant``, by all ten measures that have a limit, or by those named.
+
+    A measure without a column or without a limit is an error, as leaving it out would make more
+    frames redundant without a word.
+    """
+    measures = [*REDUNDANT_BELOW, *REDUNDANT_ABOVE] if measures is None else measures
+    if missing := [c for c in measures if c not in rows.columns or c not in REDUNDANT_BELOW | REDUNDANT_ABOVE]:
+        raise ValueError(f"no column or no limit for {', '.join(missing)}")
+    return rows.withColumn("redundant", is_redundant(measures))
 
 
 def drop_redundant(rows: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -341,25 +341,6 @@ def rebin(histogram: DataFrame, width: int = 10) -> DataFrame:
     return histogram.groupBy("frame", F.floor((F.col("bin") - 1) / width).alias("part")).agg(F.sum("n").alias("n"))
 
 
-def distribution_distances(g: DataFrame, step: float) -> DataFrame:
-    """Distances between the total radial distributions of each frame and the next, both scaled to
-    sum 1: Hellinger, Jensen-Shannon, Kolmogorov-Smirnov and Wasserstein. Frames of which the next
-    is missing are left out. Each row goes to its two pairs, so frames do not meet in a join."""
-    share = F.col("g") / F.sum("g").over(Window.partitionBy("frame"))
-    one = g.where("t1 is null").select("frame", "bin", share.alias("s")).where("s is not null")
-    sides = F.array(F.struct(F.col("frame").alias("pair"), F.col("s").alias("p"), F.lit(0.0).alias("q")), F.struct((F.col("frame") - 1).alias("pair"), F.lit(0.0).alias("p"), F.col("s").alias("q")))
-    both = one.select("bin", F.inline(sides)).groupBy("pair", "bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    w = Window.partitionBy("pair").orderBy("bin")
-    both = both.withColumns({"cum": F.abs(F.sum(F.col("p") - F.col("q")).over(w)), "gap": F.lead("bin").over(w) - F.col("bin")})
-    m = (F.col("p") + F.col("q")) / 2
-    part = lambda c: F.coalesce(F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / m)), F.lit(0.0))
-    out = both.groupBy(F.col("pair").alias("frame")).agg(
-        r6(F.sqrt(F.greatest(F.lit(0.0), 1 - F.sum(F.sqrt(F.col("p") * F.col("q")))))).alias("hellinger"), r6(F.sum(part("p") + part("q")) / 2).alias("js"),
-        r6(F.max("cum")).alias("ks"), r6(F.sum(F.col("cum") * F.col("gap")) * step).alias("w1"), F.sum("p").alias("sp"), F.sum("q").alias("sq"),
-    )
-    return out.where("sp > 0.5 and sq > 0.5").drop("sp", "sq")
-
-
 def mean_bonds(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Mean bond length (null without bonds) and number of bonds of each atom."""
     n = bonds.groupBy("frame", F.col("i").alias("atom_id")).agg(r6(F.avg("r")).alias("avg_r"), F.count("*").alias("cn"))

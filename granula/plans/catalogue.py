@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granula.operators import graph
+from granula.operators import graph, rank_tests
 from granula.operators import neighbours as nb
 from granula.operators import structure as st
 from granula.plans.views import ATOMS_SQL, atoms
@@ -353,14 +353,44 @@ def curve_rebins(spark, sf):
     return st.rebin(angle_g3(spark, sf))
 
 
-@query(f"""{_G}, t AS (SELECT frame, bin, g / sum(g) OVER (PARTITION BY frame) AS s FROM g WHERE t1 IS NULL),
-    pq AS (SELECT coalesce(a.frame, b.frame - 1) AS frame, coalesce(a.bin, b.bin) AS bin, coalesce(a.s, 0) AS p, coalesce(b.s, 0) AS q FROM t a FULL JOIN t b ON b.frame = a.frame + 1 AND b.bin = a.bin),
-    cd AS (SELECT *, abs(sum(p - q) OVER w) AS cum, lead(bin) OVER w - bin AS gap FROM pq WINDOW w AS (PARTITION BY frame ORDER BY bin))
-    SELECT frame, round(sqrt(greatest(0, 1 - sum(sqrt(p * q)))), 6) AS hellinger,
-    round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 6) AS js,
-    round(max(cum), 6) AS ks, round(sum(cum * gap) * {_STEP}::DOUBLE, 6) AS w1 FROM cd GROUP BY frame HAVING sum(p) > 0.5 AND sum(q) > 0.5 ORDER BY frame""")
+_TWO = f"""{_G}, f AS (SELECT d.frame, b.bin, coalesce(g.g, 0) AS v FROM (SELECT DISTINCT frame FROM g) d, (SELECT unnest(range(2, {_POINTS + 1})) AS bin) b
+    LEFT JOIN (SELECT * FROM g WHERE t1 IS NULL) g ON g.frame = d.frame AND g.bin = b.bin),
+    pr AS (SELECT a.frame, a.bin, a.v AS v1, b.v AS v2, a.v / sum(a.v) OVER w AS p, b.v / sum(b.v) OVER w AS q FROM f a JOIN f b ON b.frame = a.frame + 1 AND b.bin = a.bin WINDOW w AS (PARTITION BY a.frame))"""
+
+
+@query(f"""{_TWO}, r AS (SELECT frame, p, row_number() OVER (PARTITION BY frame ORDER BY p) AS k FROM pr), t AS (SELECT frame, q, row_number() OVER (PARTITION BY frame ORDER BY q) AS k FROM pr),
+    w AS (SELECT frame, avg(abs(p - q)) AS w1 FROM r JOIN t USING (frame, k) GROUP BY frame), e AS (SELECT frame, p, q, p + 1e-127::DOUBLE AS a, q + 1e-127::DOUBLE AS b, (p + q) / 2 + 1e-127::DOUBLE AS m FROM pr)
+    SELECT frame, round(any_value(w1), 8) AS w1, round(sqrt(sum(power(sqrt(p) - sqrt(q), 2)) / 2), 6) AS hellinger, round(sum(a * ln(a / b)), 6) AS kl, round(sum(a * ln(a / m) + b * ln(b / m)) / 2, 6) AS js
+    FROM e JOIN w USING (frame) GROUP BY frame""")
 def rdf_divergence(spark, sf):
-    return st.distribution_distances(_rdf(spark, sf), _STEP)
+    pairs = rank_tests.next_pairs(rank_tests.curve_samples(_rdf(spark, sf).where("t1 is null"), range(2, _POINTS + 1)))
+    return rank_tests.curve_distances(pairs).withColumnRenamed("pair", "frame")
+
+
+_N = _POINTS - 1
+
+
+@query(f"""{_TWO}, z AS (SELECT frame, 1 AS side, v1 AS v FROM pr UNION ALL SELECT frame, 2, v2 FROM pr),
+    cc AS (SELECT frame, v, count(*) AS t, count(*) FILTER (side = 1) AS c1, count(*) FILTER (side = 2) AS c2 FROM z GROUP BY 1, 2),
+    mm AS (SELECT *, sum(t) OVER w - t + t / 2.0::DOUBLE AS b, sum(c1) OVER w - c1 / 2.0::DOUBLE AS m1, sum(c2) OVER w - c2 / 2.0::DOUBLE AS m2, abs(sum(c1) OVER w - sum(c2) OVER w) / {_N}.0::DOUBLE AS d FROM cc WINDOW w AS (PARTITION BY frame ORDER BY v)),
+    hg AS (SELECT sum(1.0::DOUBLE / i) AS h FROM range(1, {2 * _N}) x(i)), gg AS (SELECT sum(1.0::DOUBLE / (({2 * _N} - i) * j)) AS g FROM range(1, {2 * _N - 1}) x(i), range(2, {2 * _N}) y(j) WHERE j > i),
+    co AS (SELECT {2.0 / _N!r}::DOUBLE AS r, h, g, {2 * _N}.0::DOUBLE AS n FROM hg, gg),
+    sg AS (SELECT sqrt((((4 * g - 6) + (10 - 6 * g) * r) * n * n * n + ((2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * r - 8 * h + 4 * g - 6) * n * n
+        + ((6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * r + 4 * h) * n + (2 * h + 6) * 4 - 8 * h) / ((n - 1) * (n - 2) * (n - 3))) AS sigma, n FROM co),
+    s AS (SELECT frame, ((n - 1) / n * sum(t / n * (power(n * m1 - b * {_N}, 2) + power(n * m2 - b * {_N}, 2)) / (b * (n - b) - n * t / 4) / {_N}) - 1) / any_value(sigma) AS ad, max(d) AS ks FROM mm, sg GROUP BY frame, n),
+    rk AS (SELECT frame, side, rank() OVER (PARTITION BY frame ORDER BY v) + (count(*) OVER (PARTITION BY frame, v) - 1) / 2.0::DOUBLE - row_number() OVER (PARTITION BY frame, side ORDER BY v) AS o FROM z),
+    cv AS (SELECT frame, {_N} * sum(o * o) / ({_N}.0::DOUBLE * {_N} * {2 * _N}) - (4.0::DOUBLE * {_N * _N} - 1) / {12 * _N} AS cvm FROM rk GROUP BY frame),
+    x AS (SELECT s.*, cvm, 1 / 6.0::DOUBLE + (cvm - (1 + 1 / {2 * _N}.0::DOUBLE) / 6) / sqrt(45 * {(2 * _N + 1) * (4 * _N * _N * 2 * _N - 6 * _N * _N - 2 * _N * _N) / (45 * 4 * _N * _N * 4 * _N * _N)!r}::DOUBLE) AS x FROM s JOIN cv USING (frame)),
+    kn AS (SELECT k, (4.0::DOUBLE * k + 1) AS y, exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE) - lgamma(0.5::DOUBLE)) AS a FROM range(0, 21) r(k)),
+    pc AS (SELECT frame, sum(a * sqrt(y) / (pi() * sqrt(x)) * CASE WHEN i = 0 THEN 0.5::DOUBLE ELSE 1 END * 0.08::DOUBLE * exp(-y * y / (16 * x) * (1 + (exp(i * 0.08::DOUBLE) + exp(-i * 0.08::DOUBLE)) / 2)) * (exp(i * 0.02::DOUBLE) + exp(-i * 0.02::DOUBLE)) / 2) AS cdf
+           FROM x, kn, range(0, 190) r(i) WHERE x >= 0.003 GROUP BY frame),
+    pk AS (SELECT frame, least(1, greatest(0, 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(2 * lgamma({_N + 1}.0::DOUBLE) - lgamma({_N + 1}.0::DOUBLE - k * h) - lgamma({_N + 1}.0::DOUBLE + k * h))))) AS p_ks
+           FROM (SELECT frame, round(ks * {_N})::BIGINT AS h FROM s), range(1, {_N + 1}) r(k) WHERE h > 0 AND k * h <= {_N} GROUP BY frame)
+    SELECT frame, round(ad, 6) AS ad, round(CASE WHEN ad < {min(rank_tests.AD_POINTS)!r}::DOUBLE THEN 0.25 WHEN ad > {max(rank_tests.AD_POINTS)!r}::DOUBLE THEN 0.001 ELSE exp({rank_tests.AD_FIT[0]!r}::DOUBLE * ad * ad + {rank_tests.AD_FIT[1]!r}::DOUBLE * ad + {rank_tests.AD_FIT[2]!r}::DOUBLE) END, 6) AS p_ad,
+    round(ks, 6) AS ks, round(coalesce(p_ks, 1), 6) AS p_ks, round(cvm, 6) AS cvm, round(CASE WHEN x < 0.003 THEN 1 ELSE greatest(0, 1 - cdf) END, 6) AS p_cvm FROM x LEFT JOIN pc USING (frame) LEFT JOIN pk USING (frame)""")
+def rdf_rank_tests(spark, sf):
+    pairs = rank_tests.next_pairs(rank_tests.curve_samples(_rdf(spark, sf).where("t1 is null"), range(2, _POINTS + 1)))
+    return rank_tests.two_sample_tests(pairs).withColumnRenamed("pair", "frame")
 
 
 for _name in ("rdf_total", "rdf_partial", "structure_factor", "rdf_divergence"):

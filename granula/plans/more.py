@@ -7,10 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granula.operators import alignment, boxes, cases, cleaning, graph, ranges, series, surface
+from granula.operators import alignment, boxes, cases, cleaning, graph, information, ranges, rank_tests, series, surface
 from granula.operators import neighbours as nb
 from granula.operators import structure as st
-from granula.plans.catalogue import _A, _B, _D2, _G3, _G32, _H, _bonds, _rdf, _STEP, ORACLES, QUERIES, query
+from granula.plans.catalogue import _A, _B, _D2, _G3, _G32, _H, _bonds, _POINTS, _RHO, _STEP, ORACLES, QUERIES, query
 from granula.plans.views import atoms, series_rows
 
 _E = "WITH e AS (SELECT user_id AS conf_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, event_type, value FROM events)"
@@ -343,14 +343,44 @@ def bond_length_mi(spark, sf):
     return st.bond_length_information(_bonds(spark, sf), 0.05)
 
 
+def _twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Each frame of the view and a moved copy behind it: even ones by less than a thousandth, odd ones by up to 0.8."""
+    k = F.when(F.col("frame") % 2 == 0, 0.0004).otherwise(0.8)
+    rows = atoms(spark, sf).withColumn("k", k).withColumn("u", F.explode(F.array(F.lit(0), F.lit(1))))
+    moved = [(F.col(c) + F.col("u") * F.col("k") * F.sin(F.lit(w) * F.col("atom_id"))).alias(c) for c, w in (("x", 1.7), ("y", 2.9), ("z", 4.3))]
+    return rows.select("conf_id", (2 * F.col("frame") + F.col("u")).alias("frame"), "atom_id", "type_id", "surf", *moved)
+
+
+def _bond_pairs(a: DataFrame) -> DataFrame:
+    """(frame, atom_id, a, b): an atom's mean bond length in a frame and in the next, for atoms with bonds in both."""
+    mean = nb.both_ways(nb.half_bonds(a)).groupBy("frame", F.col("i").alias("atom_id")).agg(F.avg("r").alias("a"))
+    sides = F.array(F.struct(F.col("frame").alias("frame"), F.col("a").alias("a"), F.lit(None).cast("double").alias("b")), F.struct((F.col("frame") - 1).alias("frame"), F.lit(None).cast("double").alias("a"), F.col("a").alias("b")))
+    return mean.select("atom_id", F.inline(sides)).groupBy("frame", "atom_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+
+
+@query(f"""{_B}, l AS (SELECT frame, i, avg(r) AS r FROM bonds GROUP BY 1, 2), p AS (SELECT a.frame, a.i, a.r AS a, b.r AS b FROM l a JOIN l b ON b.frame = a.frame + 1 AND b.i = a.i),
+    q AS (SELECT frame, i, a / sa AS a, b / sb AS b, n FROM p JOIN (SELECT frame, stddev_pop(a) AS sa, stddev_pop(b) AS sb, count(*) AS n FROM p GROUP BY 1) USING (frame)),
+    d AS (SELECT x.frame, x.i, x.n, abs(x.a - y.a) AS da, abs(x.b - y.b) AS db FROM q x JOIN q y ON x.frame = y.frame), r AS (SELECT frame, i, min(greatest(da, db), 4)[4] AS r FROM d GROUP BY 1, 2),
+    k AS (SELECT frame, i, n, count(*) FILTER (da < r OR da = 0) AS na, count(*) FILTER (db < r OR db = 0) AS nb FROM d JOIN r USING (frame, i) GROUP BY 1, 2, 3),
+    h AS (SELECT k, sum(1.0::DOUBLE / k) OVER (ORDER BY k) - 1.0::DOUBLE / k - 0.5772156649015329::DOUBLE AS psi FROM range(1, 10000) s(k))
+    SELECT frame, n, round(greatest(0, any_value(hn.psi) + 0.9227843350984671::DOUBLE - avg(ha.psi + hb.psi)), 5) AS mi FROM k JOIN h hn ON hn.k = n JOIN h ha ON ha.k = na JOIN h hb ON hb.k = nb GROUP BY frame, n""")
+def bond_length_mi_nearest(spark, sf):
+    """Mutual information of the atoms' mean bond lengths in a frame and the next, by three nearest neighbours."""
+    return information.nearest_neighbour_information(_bond_pairs(atoms(spark, sf)), ["frame"], "a", "b").withColumn("mi", F.round("mi", 5))
+
+
 @query(None)
 def redundant_frames(spark, sf):
-    """Frames that repeat the next by alignment, box dimension, bond lengths and g(r)."""
-    a = atoms(spark, sf)
+    """Frames that repeat the next by all ten measures: alignment, box dimension, bond lengths, and g(r) by distances
+    and rank tests; over the trajectory with moved copies, so that some do."""
+    a = _twice(spark, sf)
     d = st.box_dimension(st.box_counts(a, [2.0, 4.0, 8.0, 16.0])).select("frame", "dimension")
     change = d.join(d.select((F.col("frame") - 1).alias("frame"), F.col("dimension").alias("next")), "frame").select("frame", F.abs(F.col("dimension") - F.col("next")).alias("dimension_change"))
-    g = st.distribution_distances(_rdf(spark, sf), _STEP)
-    m = alignment.aligned_rmsd(a).join(change, "frame").join(st.bond_length_information(nb.both_ways(nb.half_bonds(a)), 0.05), "frame").join(g, "frame")
+    g = st.rdf(st.distance_histogram(a, _STEP, _POINTS), st.atom_counts(a), _STEP, _RHO).where("t1 is null")
+    pairs = ranges.fixed(rank_tests.next_pairs(rank_tests.curve_samples(g, range(2, _POINTS + 1))))
+    curves = rank_tests.curve_distances(pairs).join(rank_tests.two_sample_tests(pairs), "pair").withColumnRenamed("pair", "frame")
+    mi = information.nearest_neighbour_information(_bond_pairs(a), ["frame"], "a", "b").select("frame", "mi")
+    m = alignment.aligned_rmsd(a).join(change, "frame").join(mi, "frame").join(curves, "frame")
     return series.early_stop(alignment.redundant_frames(m), "conf_id", "frame", "redundant")
 
 

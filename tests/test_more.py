@@ -162,7 +162,7 @@ def test_aligned_rmsd(spark):
 
 def test_redundancy_takes_no_nan(spark):
     df = spark.createDataFrame([(0, 0.01, 0.01), (1, float("nan"), 0.01), (2, 0.01, 0.3), (3, None, 0.01)], "frame long, rmsd double, hellinger double")
-    assert [r.redundant for r in alignment.redundant_frames(df).orderBy("frame").collect()] == [True, False, False, False]
+    assert [r.redundant for r in alignment.redundant_frames(df, ["rmsd", "hellinger"]).orderBy("frame").collect()] == [True, False, False, False]
 
 
 def block(n=3, a=4.0):

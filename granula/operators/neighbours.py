@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,50 @@ def grid_pairs(atoms: DataFrame, reach: float, within: Column) -> DataFrame:
     return out.where(within)
 
 
-def half_bonds(atoms: DataFrame, scale2: float = 1.0) -> DataFrame:
-    """Each bond once: distance at most the pair's cut-off, its square scaled by ``scale2``."""
+def _wrap(at: Column, n: Column, size: Column) -> Callable[[Column], Column]:
+    return lambda k: F.when(size.isNull(), at + k).otherwise(F.pmod(at + k, n))
+
+
+def periodic_pairs(atoms: DataFrame, boxes: DataFrame, reach: float, within: Column) -> DataFrame:
+    """As :func:`grid_pairs`, between each atom and the nearest image of the other.
+
+    ``boxes`` has a row a frame: frame, lx, ly, lz, the lengths of its cell from 0 on; a null length
+    is no period. Atoms lie in their cell. A length is cut into whole cells, none narrower than
+    ``reach``, whose numbers wrap around; where there are fewer than three, a cell's two neighbours
+    are one and the same, or itself, so the cells to look in are made distinct and no pair is met
+    twice. A difference of half a length and more goes to the image on the other side. Frames
+    without a row in ``boxes`` have no pairs.
+    """
+    # A row a frame: Spark broadcasts it while it is small and shuffles it once it is not.
+    placed = atoms.join(boxes.select("frame", *[F.col(f"l{c}").cast("double").alias(f"l{c}") for c in "xyz"]), "frame")
+    own, around = [], []
+    for c in "xyz":
+        size = F.col(f"l{c}")
+        n = F.greatest(F.lit(1), F.floor(size / reach)).cast("long")
+        at = F.when(size.isNull(), F.floor(F.col(c) / reach)).otherwise(F.least(n - 1, F.greatest(F.lit(0), F.floor(F.col(c) / size * n)))).cast("long")
+        wrapped = F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), _wrap(at, n, size))
+        own.append(at.alias(f"k{c}"))
+        around.append(F.array_distinct(wrapped).alias(f"n{c}"))
+    sides = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("atom_id", "type_id", "surf", "x", "y", "z")]
+    a = placed.select("frame", *sides("a"), *own)
+    b = placed.select("frame", *sides("b"), "lx", "ly", "lz", *around)
+    for c in "xyz":
+        b = b.withColumn(f"k{c}", F.explode(f"n{c}"))
+    pairs = a.hint("shuffle_hash").join(b, ["frame", "kx", "ky", "kz"]).where("atom_id_a < atom_id_b")
+    ends = {"i": "atom_id_a", "j": "atom_id_b", "ti": "type_id_a", "tj": "type_id_b", "si": "surf_a", "sj": "surf_b"}
+    d = [F.col(f"{c}_b") - F.col(f"{c}_a") for c in "xyz"]
+    near = [F.when(F.col(f"l{c}").isNull(), x).otherwise(x - F.expr(f"cast(2 * ({c}_b - {c}_a) / l{c} AS long)") * F.col(f"l{c}")).alias(f"d{c}") for c, x in zip("xyz", d, strict=True)]
+    out = pairs.select("frame", *[F.col(c).alias(name) for name, c in ends.items()], *near)
+    return out.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(within)
+
+
+def half_bonds(atoms: DataFrame, scale2: float = 1.0, boxes: DataFrame | None = None) -> DataFrame:
+    """Each bond once: distance at most the pair's cut-off, its square scaled by ``scale2``; with ``boxes``
+    (:func:`periodic_pairs`) to the nearest image."""
     c = cutoff(F.col("ti"), F.col("tj"))
-    reach = max(CUTOFFS.values()) * scale2**0.5
-    return grid_pairs(atoms, reach + 1e-9, F.col("d2") <= c * c * scale2).withColumn("r", F.sqrt("d2"))
+    reach, within = max(CUTOFFS.values()) * scale2**0.5 + 1e-9, F.col("d2") <= c * c * scale2
+    pairs = grid_pairs(atoms, reach, within) if boxes is None else periodic_pairs(atoms, boxes, reach, within)
+    return pairs.withColumn("r", F.sqrt("d2"))
 
 
 def both_ways(half: DataFrame) -> DataFrame:

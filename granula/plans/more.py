@@ -369,6 +369,21 @@ def bond_length_mi_nearest(spark, sf):
     return information.nearest_neighbour_information(_bond_pairs(atoms(spark, sf)), ["frame"], "a", "b").withColumn("mi", F.round("mi", 5))
 
 
+_NEAR = "CAST(trunc(2 * (b.{0} - a.{0}) / 25.0::DOUBLE) AS DOUBLE) * 25.0::DOUBLE"
+_DP = " + ".join("power(b.{0} - a.{0} - {1}, 2)".format(c, _NEAR.format(c)) for c in "xyz")
+
+
+@query(f"""{_A}, p AS (SELECT a.frame, a.type_id AS ti, b.type_id AS tj, {_DP} AS d2 FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom_id < b.atom_id)
+    SELECT frame, least(ti, tj) AS t1, greatest(ti, tj) AS t2, count(*) AS n, round(avg(sqrt(d2)), 6) AS avg_r, round(max(sqrt(d2)), 6) AS max_r
+    FROM p WHERE d2 <= power(CASE WHEN ti = 1 AND tj = 1 THEN 3.5 WHEN ti = 2 AND tj = 2 THEN 3.3 ELSE 3.4 END, 2) GROUP BY 1, 2, 3""")
+def bonds_periodic(spark, sf):
+    """Bonds over the faces of the view's cell, which is 25 wide, by types."""
+    a = atoms(spark, sf)
+    boxes_ = a.select("frame").distinct().select("frame", *[F.lit(25.0).alias(f"l{c}") for c in "xyz"])
+    t = {"t1": F.least("ti", "tj"), "t2": F.greatest("ti", "tj")}
+    return nb.half_bonds(a, boxes=boxes_).groupBy("frame", *[c.alias(k) for k, c in t.items()]).agg(F.count("*").alias("n"), st.r6(F.avg("r")).alias("avg_r"), st.r6(F.max("r")).alias("max_r"))
+
+
 @query(None)
 def redundant_frames(spark, sf):
     """Frames that repeat the next by all ten measures: alignment, box dimension, bond lengths, and g(r) by distances

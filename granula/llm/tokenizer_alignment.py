@@ -1,14 +1,15 @@
 """Two tokenizers side by side: windows between shared ends, and how often ids end together.
 
-Texts are tokenised as a whole by both. A place where both have an end and both go on with a
-token that begins with a space is an anchor; what lies between two anchors is a window, a
-pair of tuples of ids. Inside a window the alignment depends on its ids alone, so it is
-remembered.
+Whole texts are tokenised by both. A place where both have an end and both go on with a token that
+begins with a space (or a line ends) is an anchor; what lies between two anchors is a window,
+a pair of tuples of ids. Inside a window the alignment depends on its ids alone, so it is
+remembered by them.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,19 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granula.llm.common import batch_rows, materialize, text_chunks
-from granula.llm.tokens import _CHARACTER, encoder
+from granula.llm.tokens import BYTE_CHARACTERS, encoder, pieces
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<long>"
 #: A pair of ids as one number: a * PAIR + b.
 PAIR = 1 << 24
-_NONE = np.empty(0, np.int64)
+_EMPTY = (), b"", 0, 0
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 _BLOCK = {"block": pa.int64(), "doc_ids": _LONGS, "n_a": _LONGS, "n_b": _LONGS, "n_links": _LONGS, "sha": pa.list_(pa.string()), "n_pairs": _INTS, "places": _INTS, "numbers": _INTS, "pairs": _LONGS, "totals": _LONGS}
 
 
 def _byte_level(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
-    back = {ord(c): b for b, c in _CHARACTER.items()}
+    back = {ord(c): b for b, c in BYTE_CHARACTERS.items()}
     tokenizer = encoder(path, False, True).tokenizer
     out = []
     for i in range(tokenizer.get_vocab_size()):
@@ -40,7 +41,7 @@ def _byte_level(path: str) -> list[bytes]:
     return out
 
 
-def _pieces(model) -> list[bytes]:
+def _piece_bytes(model) -> list[bytes]:
     """The bytes of each id of a vocabulary of pieces."""
     return [
         bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode()
@@ -49,71 +50,114 @@ def _pieces(model) -> list[bytes]:
 
 
 class Aligner:
-    """Both tokenizers, the bytes of their ids, and the windows met lately with their groups.
-
-    A window's memory has its groups as text and its links; it is emptied at ``most`` windows.
+    """Both tokenizers, with two memories: pieces of text to their ids, and windows of ids to their groups.
+
+    Neither tokenizer joins over a place before a single space or at a line's end, so a text is
+    tokenised piece by piece and each piece is a window between anchors: both tokenizers end
+    there, which equal bytes verify, and go on with a token of a space. A window is a pair of tuples
+    of ids (as bytes); its groups and links depend on these alone. Pieces are remembered in two
+    generations of at most ``most`` each, as in :class:`granula.llm.tokens.Encoder`; windows go with
+    the elder. What is new in a chunk is tokenised and aligned together.
     """
 
-    def __init__(self, path_a: str, path_b: str, most: int = 400_000):
+    def __init__(self, path_a: str, path_b: str, most: int = 300_000):
         import sentencepiece
 
         self.encode_a = encoder(path_a, False, True)
         self.model_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a, self.bytes_b = _byte_level(path_a), _pieces(self.model_b)
+        self.bytes_a, self.bytes_b = _byte_level(path_a), _piece_bytes(self.model_b)
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.long_a, self.long_b = self.size_a.tolist(), self.size_b.tolist()
-        self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
+        each = range(max(len(self.bytes_a), len(self.bytes_b)))
+        self.told = {c: np.array([f"{i}{c}" for i in each], object) for c in ",|;"}
+        self.digits = np.array([len(str(i)) + 1 for i in each], np.int64)
         self.most = most
-        self.known: dict[tuple[bytes, bytes], tuple[str, tuple[int, ...]]] = {}
-
-    def window(self, key: tuple[bytes, bytes]) -> tuple[str, tuple[int, ...]]:
-        """The groups of a window as text, and the pairs of ids that end its groups."""
-        a, b = (memoryview(x).cast("I").tolist() for x in key)
-        size_a, size_b = self.long_a, self.long_b
-        groups, pairs, p, q, ahead, y = [], [], 0, 0, 0, 0
-        for x, i in enumerate(a, 1):
-            ahead += size_a[i]  # bytes of a that b has not reached
-            while ahead > 0 and y < len(b):
-                ahead -= size_b[b[y]]
-                y += 1
-            if not ahead:
-                groups.append(f"{','.join(map(str, a[p:x]))}|{','.join(map(str, b[q:y]))}")
-                pairs.append(i * PAIR + b[y - 1])
-                p, q = x, y
-        found = ";".join(groups), tuple(pairs)
-        if len(self.known) >= self.most:
-            self.known.clear()
-        self.known[key] = found
-        return found
-
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both tokenizers; None for a text of which they don't keep all bytes."""
-        a = self.encode_a([" " + x for x in texts])
-        b = self.model_b.encode(texts, num_threads=1)
-        out = []
-        for text, x, y in zip(texts, a, b, strict=True):
-            x, y, raw = np.frombuffer(x, "<u4"), np.array(y, "<u4"), b" " + text.encode()
-            whole = text and all(b"".join(map(t.__getitem__, ids.tolist())) == raw for t, ids in ((self.bytes_a, x), (self.bytes_b, y)))
-            out.append((x, y) if whole else None)
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+        self.windows: dict[tuple[bytes, bytes], tuple[str, bytes, int, int]] = {}
+
+    def _align(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Groups and links of many windows at once: their ids are laid end to end, so that shared
+        ends of bytes are found by marks, and no group reaches over a window's end."""
+        a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in zip(*keys, strict=True))
+        n_a, n_b = (np.array([len(x) // 4 for x in side], np.int64) for side in zip(*keys, strict=True))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        marked = np.zeros(int(ends_a[-1]) + 1, bool)
+        marked[ends_a] = True
+        last_b = marked[ends_b]
+        marked[:] = False
+        marked[ends_b] = True
+        last_a = marked[ends_a]
+        i, j = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        pairs = (a[i] * PAIR + b[j]).tobytes()
+        # A group is told as its A ids, then its B ids: places of all ids in that order.
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        at_a = np.arange(len(a)) + np.r_[0, j + 1][group_a]
+        at_b = np.arange(len(b)) + (i + 1)[group_b]
+        words = np.empty(len(a) + len(b), object)
+        words[at_a] = np.where(last_a, self.told["|"][a], self.told[","][a])
+        words[at_b] = np.where(last_b, self.told[";"][b], self.told[","][b])
+        told = "".join(words.tolist())
+        length = np.empty(len(words), np.int64)
+        length[at_a], length[at_b] = self.digits[a], self.digits[b]
+        cut = np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(n_a + n_b)]].tolist()
+        groups = (8 * np.r_[0, np.cumsum(last_a)][np.r_[0, np.cumsum(n_a)]]).tolist()
+        for k, (key, x, y) in enumerate(zip(keys, n_a.tolist(), n_b.tolist(), strict=True)):
+            self.windows[key] = told[cut[k] : cut[k + 1] - 1], pairs[groups[k] : groups[k + 1]], x, y
+
+    def _keeps(self, table: list[bytes], ids: list[bytes], new: list[bytes]) -> list[bool]:
+        """Whether the bytes of each piece's ids are the piece; all are compared at once first."""
+        text = table.__getitem__
+        if b"".join(map(text, memoryview(b"".join(ids)).cast("I"))) == b"".join(new) and all(ids):
+            return [True] * len(new)
+        return [b"".join(map(text, memoryview(x).cast("I"))) == p for x, p in zip(ids, new, strict=True)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """See to it that the windows of all pieces are known; a piece of which a tokenizer loses a byte gets None."""
+        wanted = pieces.difference(self.young)
+        if len(self.young) + len(wanted) > self.most:
+            self.old, self.young, self.windows, wanted = self.young, {}, {}, pieces
+        young, old, new = self.young, self.old, []
+        for p in wanted:
+            if p in old:
+                young[p] = old[p]
+            else:
+                new.append(p)
+        if not new:
+            return
+        ids_a = self.encode_a.of_pieces(new)
+        # The model adds a space; where the piece has none, a line's end keeps the two apart.
+        ids_b = self.model_b.encode([p[1:] if p[0] == " " else "\n" + p for p in new], num_threads=1)
+        for k, p in enumerate(new):
+            if p[0] != " ":
+                if b"".join(map(self.bytes_b.__getitem__, ids_b[k][:2])) != b" \n":
+                    raise ValueError("the second tokenizer joins over a line's end")
+                ids_b[k] = ids_b[k][2:]
+        ids_b = [array("I", y).tobytes() for y in ids_b]
+        raw = [p.encode() for p in new]
+        whole = [x and y for x, y in zip(self._keeps(self.bytes_a, ids_a, raw), self._keeps(self.bytes_b, ids_b, raw), strict=True)]
+        keys = [key if good else None for key, good in zip(zip(ids_a, ids_b, strict=True), whole, strict=True)]
+        fresh = [k for k in dict.fromkeys(keys) if k is not None and k not in self.windows]
+        for k in range(0, len(fresh), 50_000):
+            self._align(fresh[k : k + 50_000])
+        windows = self.windows.get
+        for p, key in zip(new, keys, strict=True):
+            young[p] = windows(key)
+
+    def __call__(self, texts: list[str]) -> list[tuple[tuple[str, ...], bytes, int, int] | None]:
+        """Of each text the groups of its windows, the linked pairs, and the numbers of ids of both
+        tokenizers; None for an empty text and one of which they don't keep all bytes."""
+        parts = [[p for p in pieces(" " + x) if p] if x else [] for x in texts]
+        self._learn(set().union(*parts))
+        out, window = [], self.young.__getitem__
+        for p in parts:
+            found = list(map(window, p))
+            if found and None not in found:
+                told, pairs, n_a, n_b = zip(*found, strict=True)
+                out.append((told, b"".join(pairs), sum(n_a), sum(n_b)))
+            else:
+                out.append(None)
         return out
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
-        """The groups as text, and the linked pair of each group."""
-        starts_a, starts_b = (np.cumsum(s[x]) - s[x] for s, x in ((self.size_a, a), (self.size_b, b)))
-        marked_a, marked_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
-        _, i, j = np.intersect1d(starts_a[marked_a], starts_b[marked_b], assume_unique=True, return_indices=True)
-        cut_a = [*(4 * marked_a[i]).tolist(), 4 * len(a)]
-        cut_b = [*(4 * marked_b[j]).tolist(), 4 * len(b)]
-        raw_a, raw_b, known, groups, links, p, q = a.tobytes(), b.tobytes(), self.known, [], [], 0, 0
-        for x, y in zip(cut_a, cut_b, strict=True):
-            if x:  # the text's first token is no window's end
-                key = raw_a[p:x], raw_b[q:y]
-                told, pairs = known.get(key) or self.window(key)
-                groups.append(told)
-                links.extend(pairs)
-                p, q = x, y
-        return ";".join(groups), np.array(links, np.int64)
-
 
 @lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -139,7 +183,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for chunk in text_chunks(batches):
-            out = [(*map(len, found), *both.align(*found)) if found else (0, 0, "", _NONE) for found in both.tokens([x or "" for x in chunk.column("text").to_pylist()])]
+            out = [(n_a, n_b, ";".join(told), np.frombuffer(pairs, np.int64)) for told, pairs, n_a, n_b in (found or _EMPTY for found in both([x or "" for x in chunk.column("text").to_pylist()]))]
             n_a, n_b, groups, links = zip(*out, strict=True)
             n = pa.array([len(x) for x in links], pa.int64())
             yield pa.record_batch([chunk.column("doc_id"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), n, n, pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))], [c.split()[0] for c in SCHEMA.split(", ")])
@@ -168,12 +212,10 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int) -> Data
 
         for chunk in text_chunks(batches):
             texts = [x or "" for x in chunk.column("text").to_pylist()]
-            for doc, text, found in zip(chunk.column("doc_id").to_pylist(), texts, both.tokens(texts), strict=True):
-                if found:
-                    groups, links = both.align(*found)
-                    held.append((doc, len(found[0]), len(found[1]), len(links), hashlib.sha256(groups.encode()).hexdigest(), *np.unique(links, return_counts=True)))
-                else:
-                    held.append((doc, 0, 0, 0, "", _NONE, _NONE))
+            for doc, text, found in zip(chunk.column("doc_id").to_pylist(), texts, both(texts), strict=True):
+                told, pairs, n_a, n_b = found or _EMPTY
+                links = np.frombuffer(pairs, np.int64)
+                held.append((doc, n_a, n_b, len(links), hashlib.sha256(";".join(told).encode()).hexdigest() if told else "", *np.unique(links, return_counts=True)))
                 size += len(text)
                 if size >= block_bytes:
                     yield row()

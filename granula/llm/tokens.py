@@ -24,10 +24,10 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b if b in plain else 256 + rest.index(b)) for b in range(256)}
 
 
-_CHARACTER = _byte_characters()
+BYTE_CHARACTERS = _byte_characters()
 
 
-def _pieces(text: str) -> list[str]:
+def pieces(text: str) -> list[str]:
     """Parts that the tokenizer encodes independently of each other; joined, they are the text."""
     if "\x00" in text or " ".join(text.split()) != text.replace("\n", " "):
         return _CUT.split(text)
@@ -51,7 +51,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         special = [] if plain else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) if special else "(?!)", re.IGNORECASE).search
-        self.cut = (lambda text: text.replace("\n", " ").split(" ")) if lossy_space else _pieces
+        self.cut = (lambda text: text.replace("\n", " ").split(" ")) if lossy_space else pieces
         self.model = self.tokenizer.model
         self.lower = lossy_space
         self.most = most
@@ -66,7 +66,7 @@ class Encoder:
             return None
         if piece.isascii() and (not self.lower or piece is letters):
             # ASCII letters stand for themselves; only a space before them is written otherwise.
-            plain = piece.lower() if self.lower else piece.replace(" ", _CHARACTER[32])
+            plain = piece.lower() if self.lower else piece.replace(" ", BYTE_CHARACTERS[32])
             return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         if self.lower:
             # In this range the normalizer changes nothing but the case of composed letters.
@@ -75,15 +75,15 @@ class Encoder:
             piece = piece.lower()
             if not piece.isalpha():  # a capital whose small form has a mark of its own
                 return None
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARACTER))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))]).tobytes()
 
     def _learn(self, words: set[str]) -> None:
         """See to it that the younger generation has ``words``."""
-        pieces = words.difference(self.young)
-        if len(self.young) + 2 * len(pieces) > self.most:
-            self.old, self.young, pieces = self.young, {"": b""}, words - {""}
+        wanted = words.difference(self.young)
+        if len(self.young) + 2 * len(wanted) > self.most:
+            self.old, self.young, wanted = self.young, {"": b""}, words - {""}
         young, old, new, ends = self.young, self.old, [], []
-        for p in pieces:
+        for p in wanted:
             if (ids := old.get(p)) is not None:
                 young[p] = ids
             elif self.special(p):
@@ -113,6 +113,11 @@ class Encoder:
         for p, stem, marks in ends:
             young[p] = young[stem] + young[marks]
 
+    def of_pieces(self, some: list[str]) -> list[bytes]:
+        """Ids of texts that are one piece each, so need no cut."""
+        self._learn(set(some))
+        return list(map(self.young.__getitem__, some))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.cut(x) for x in texts]

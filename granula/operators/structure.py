@@ -155,17 +155,17 @@ def _cross(a: str, b: str) -> list[Column]:
     return [c("y", "z"), c("z", "x"), c("x", "y")]
 
 
-def torsions(bonds: DataFrame) -> DataFrame:
-    """Histogram of dihedral angles over directed paths i-j-k-l; 0 and 180 count in both halves.
+def _dihedrals(bonds: DataFrame) -> DataFrame:
+    """(frame, ti, tj, tk, tl, b, n): directed paths i-j-k-l by the types along them and their angle in whole degrees.
 
-    The path table is the largest there is, so only unit vectors and ends are kept on it and
+    The path table is the largest there is, so only unit vectors, ends and types are kept on it and
     it is counted at once, before any shuffle by bin.
     """
     bonds = bonds.where("r > 0")
     unit = [(F.col(f"d{c}") / F.col("r")) for c in "xyz"]
     u = lambda p: [x.alias(f"{p}{c}") for x, c in zip(unit, "xyz", strict=True)]
-    a = bonds.select("frame", "i", "j", *u("a"))
-    b = bonds.select("frame", F.col("i").alias("j"), F.col("j").alias("k"), *u("b"))
+    a = bonds.select("frame", "i", "j", "ti", "tj", *u("a"))
+    b = bonds.select("frame", F.col("i").alias("j"), F.col("j").alias("k"), F.col("tj").alias("tk"), *u("b"))
     ab = a.join(b, ["frame", "j"]).where("k <> i")
     for n, v in zip("xyz", _cross("a", "b"), strict=True):
         ab = ab.withColumn(f"n{n}", v)
@@ -173,8 +173,8 @@ def torsions(bonds: DataFrame) -> DataFrame:
     ab = ab.where(~flat("n"))
     for n, v in zip("xyz", _cross("n", "b"), strict=True):
         ab = ab.withColumn(f"m{n}", v)
-    ab = ab.select("frame", "i", "j", "k", *[f"{p}{c}" for p in "bnm" for c in "xyz"])
-    d = bonds.select("frame", F.col("i").alias("k"), F.col("j").alias("l"), *u("d"))
+    ab = ab.select("frame", "i", "j", "k", "ti", "tj", "tk", *[f"{p}{c}" for p in "bnm" for c in "xyz"])
+    d = bonds.select("frame", F.col("i").alias("k"), F.col("j").alias("l"), F.col("tj").alias("tl"), *u("d"))
     p = ab.join(d, ["frame", "k"]).where("l <> i and l <> j")
     for n, v in zip("xyz", _cross("b", "d"), strict=True):
         p = p.withColumn(f"q{n}", v)
@@ -182,7 +182,25 @@ def torsions(bonds: DataFrame) -> DataFrame:
     dot = lambda s, t: F.col(f"{s}x") * F.col(f"{t}x") + F.col(f"{s}y") * F.col(f"{t}y") + F.col(f"{s}z") * F.col(f"{t}z")
     deg = r6(F.degrees(F.atan2(dot("m", "q"), dot("n", "q"))))
     bin_ = F.when(deg < 0, F.ceil(deg - 0.5)).otherwise(F.floor(deg + 0.5)).cast("int")
-    return p.select("frame", bin_.alias("b")).groupBy("frame", "b").agg(F.count("*").alias("n")).select("frame", "n", F.explode(_halves(F.col("b"))).alias("e")).groupBy("frame", "e.half", "e.bin").agg(F.sum("n").alias("n"))
+    return p.select("frame", "ti", "tj", "tk", "tl", bin_.alias("b")).groupBy("frame", "ti", "tj", "tk", "tl", "b").agg(F.count("*").alias("n"))
+
+
+def torsions(bonds: DataFrame) -> DataFrame:
+    """Histogram of dihedral angles over directed paths i-j-k-l; 0 and 180 count in both halves."""
+    n = _dihedrals(bonds).groupBy("frame", "b").agg(F.sum("n").alias("n"))
+    return n.select("frame", "n", F.explode(_halves(F.col("b"))).alias("e")).groupBy("frame", "e.half", "e.bin").agg(F.sum("n").alias("n"))
+
+
+def torsion_statistics(bonds: DataFrame) -> DataFrame:
+    """Mean, population deviation, extremes and number of the dihedral angles of each half, in whole
+    degrees; all, and by the four types along the path. From counts by angle, so no path is shuffled for it."""
+    types = ["ti", "tj", "tk", "tl"]
+    n = _dihedrals(bonds).select("frame", *types, "n", F.inline(_halves(F.col("b"))))
+    x = F.col("bin").cast("double")
+    s = n.groupingSets([["frame", "half"], ["frame", *types, "half"]], "frame", *types, "half").agg(F.sum("n").alias("n"), F.sum(F.col("n") * x).alias("s1"), F.sum(F.col("n") * x * x).alias("s2"), F.max("bin").alias("max_deg"), F.min("bin").alias("min_deg"))
+    mean = F.col("s1") / F.col("n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean))
+    return s.select("frame", *types, "half", r6(mean).alias("avg_deg"), r6(spread).alias("std_deg"), "max_deg", "min_deg", "n")
 
 
 def _halves(b: Column) -> Column:

@@ -245,20 +245,28 @@ def _x(a: str, b: str, out: str) -> str:
 _FLAT = "NOT (abs({0}x) < 0.1 AND abs({0}y) <= 0.1 AND abs({0}z) <= 0.1)"
 
 
-@query(f"""{_B}, u AS (SELECT frame, i, j, dx / r AS x, dy / r AS y, dz / r AS z FROM bonds WHERE r > 0),
-    ab AS (SELECT a.frame, a.i, a.j, b.j AS k, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz FROM u a JOIN u b ON a.frame = b.frame AND a.j = b.i AND b.j <> a.i),
+_TORSION = f"""{_B}, u AS (SELECT frame, i, j, ti, tj, dx / r AS x, dy / r AS y, dz / r AS z FROM bonds WHERE r > 0),
+    ab AS (SELECT a.frame, a.i, a.j, b.j AS k, a.ti, a.tj, b.tj AS tk, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz FROM u a JOIN u b ON a.frame = b.frame AND a.j = b.i AND b.j <> a.i),
     n AS (SELECT *, {_x("a", "b", "n").replace("by", '"by"')} FROM ab), m AS (SELECT *, {_x("n", "b", "m").replace("by", '"by"')} FROM n WHERE {_FLAT.format("n")}),
-    p AS (SELECT m.*, d.j AS l, d.x AS dx, d.y AS dy, d.z AS dz FROM m JOIN u d ON d.frame = m.frame AND d.i = m.k AND d.j <> m.i AND d.j <> m.j),
+    p AS (SELECT m.*, d.j AS l, d.tj AS tl, d.x AS dx, d.y AS dy, d.z AS dz FROM m JOIN u d ON d.frame = m.frame AND d.i = m.k AND d.j <> m.i AND d.j <> m.j),
     q AS (SELECT *, {_x("b", "d", "q").replace("by", '"by"')} FROM p),
-    t AS (SELECT frame, round(degrees(atan2(mx * qx + my * qy + mz * qz, nx * qx + ny * qy + nz * qz)), 6) AS deg FROM q WHERE {_FLAT.format("q")}),
-    b AS (SELECT frame, (CASE WHEN deg < 0 THEN ceil(deg - 0.5) ELSE floor(deg + 0.5) END)::INTEGER AS b FROM t),
-    h AS (SELECT frame, 'neg' AS half, CASE WHEN abs(b) = 180 THEN -180 ELSE b END AS bin FROM b WHERE b <= 0 OR b = 180
-          UNION ALL SELECT frame, 'pos', CASE WHEN abs(b) = 180 THEN 180 ELSE b END FROM b WHERE b >= 0 OR b = -180)
-    SELECT frame, half, bin::INTEGER AS bin, count(*) AS n FROM h GROUP BY 1, 2, 3""")
+    t AS (SELECT frame, ti, tj, tk, tl, round(degrees(atan2(mx * qx + my * qy + mz * qz, nx * qx + ny * qy + nz * qz)), 6) AS deg FROM q WHERE {_FLAT.format("q")}),
+    b AS (SELECT frame, ti, tj, tk, tl, (CASE WHEN deg < 0 THEN ceil(deg - 0.5) ELSE floor(deg + 0.5) END)::INTEGER AS b FROM t),
+    h AS (SELECT frame, ti, tj, tk, tl, 'neg' AS half, CASE WHEN abs(b) = 180 THEN -180 ELSE b END AS bin FROM b WHERE b <= 0 OR b = 180
+          UNION ALL SELECT frame, ti, tj, tk, tl, 'pos', CASE WHEN abs(b) = 180 THEN 180 ELSE b END FROM b WHERE b >= 0 OR b = -180)"""
+
+
+@query(f"{_TORSION} SELECT frame, half, bin::INTEGER AS bin, count(*) AS n FROM h GROUP BY 1, 2, 3")
 def torsion(spark, sf):
     return st.torsions(_bonds(spark, sf))
 
 
+@query(f"""{_TORSION} SELECT frame, ti, tj, tk, tl, half, round(avg(bin), 6) AS avg_deg, round(stddev_pop(bin), 6) AS std_deg, max(bin)::INTEGER AS max_deg, min(bin)::INTEGER AS min_deg, count(*) AS n
+    FROM h GROUP BY GROUPING SETS ((frame, half), (frame, ti, tj, tk, tl, half))""")
+def torsion_partials(spark, sf):
+    return st.torsion_statistics(_bonds(spark, sf))
+
+
 @query(f"""{_B.replace("WITH", "WITH RECURSIVE", 1)}, two AS (SELECT frame, i FROM bonds GROUP BY 1, 2 HAVING count(*) = 2),
     e AS (SELECT b.frame, b.i, b.j FROM bonds b JOIN two x ON x.frame = b.frame AND x.i = b.i JOIN two y ON y.frame = b.frame AND y.i = b.j),
     reach AS (SELECT frame, i, i AS j FROM two UNION SELECT reach.frame, reach.i, e.j FROM reach JOIN e ON e.frame = reach.frame AND e.i = reach.j),

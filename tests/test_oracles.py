@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from granula.plans import catalogue, more  # noqa: F401 - more adds to the catalogue
+from granula.plans import catalogue, features, more  # noqa: F401 - both add to the catalogue
 
 SF = "/root/testdata/sf0.001"
 

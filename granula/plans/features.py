@@ -63,7 +63,7 @@ def dataset_long(spark, sf):
 
 
 def _column(c: str) -> str:
-    v = f"max(value) FILTER (feature = '{c}')"
+    v = f"v['{c}']"
     if c.startswith(_NO_SQL):
         return f'CAST(NULL AS DOUBLE) AS "{c}"'
     return f'{f"coalesce({v}, 0)" if dataset.is_count(c) else v} AS "{c}"'
@@ -93,7 +93,8 @@ def _published(spark: SparkSession, sf: str, surfaces: bool) -> DataFrame:
     return rows.select("frame", *[F.round(F.col(f"`{c}`"), 9 if c.endswith("conc") else 6).alias(c) for c in dataset.names()])
 
 
-@query(f"""WITH l AS ({_LONG}), m AS (SELECT frame, {", ".join(map(_column, dataset.measured_names()))} FROM l GROUP BY frame), d AS (SELECT m.*, {_derived()} FROM m), s AS ({_SIMULATED.format("lineitem")}),
+@query(f"""WITH l AS ({_LONG}), v AS MATERIALIZED (SELECT frame, map(list(feature), list(value)) AS v FROM l GROUP BY frame),
+    m AS MATERIALIZED (SELECT frame, {", ".join(map(_column, dataset.measured_names()))} FROM v), d AS (SELECT m.*, {_derived()} FROM m), s AS ({_SIMULATED.format("lineitem")}),
     p AS (SELECT d.*, s.* EXCLUDE (frame), Total_E - ({_BULK}) AS "Formation_E" FROM d JOIN s USING (frame))
     SELECT frame, {", ".join(f'round("{c}", {9 if c.endswith("conc") else 6}) AS "{c}"' for c in dataset.names())} FROM p""")
 def dataset_wide(spark, sf):

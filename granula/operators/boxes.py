@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granula.operators.series import two_sided_p
+
 #: Fixed value: space around a particle on each side.
 MARGIN = 5.0
-#: Two-sided 95 % points of Student's distribution by degrees of freedom.
-T95 = {3: 3.182446, 4: 2.776445, 5: 2.570582, 6: 2.446912, 7: 2.364624, 8: 2.306004}
+
+
+def student_95(df: int) -> float:
+    """Two-sided 95 % point of Student's distribution, by halving."""
+    low, high = 1.0, 13.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if two_sided_p(np.array([mid]), np.array([float(df)]))[0] > 0.05 else (low, mid)
+    return low
 
 
 def box_sizes(longest: float, shortest: float, n: int = 10) -> list[float]:
@@ -61,8 +71,9 @@ def ball_volume(atoms: DataFrame, radius: Column, reach: float, lengths: list[fl
     return box.groupBy("frame", "size", "magnification").agg(F.count_if(F.expr("s and not b")).alias("surf"), F.count_if(F.expr("b and not s")).alias("bulk"), F.count_if(F.expr("s and b")).alias("overlap"))
 
 
-def trimmed_slope(counts: DataFrame, x: Column, y: Column, order: Column, least: int = 5) -> DataFrame:
-    """(frame, dimension, r2, points): the slope of y over x after trimming, points taken in ``order``.
+def trimmed_slope(counts: DataFrame, x: Column, y: Column, order: Column, least: int = 5, most: int = 64) -> DataFrame:
+    """(frame, dimension, r2, points, low, high): the slope of y over x after trimming, points taken in
+    ``order``, with its 95 % interval (null with ``most`` points and more).
 
     The last point goes until R2, to three digits, falls, and once more then; after that the first
     goes until it falls again, and the fit before that counts; so does the last fit when ``least``
@@ -82,4 +93,10 @@ def trimmed_slope(counts: DataFrame, x: Column, y: Column, order: Column, least:
         when s.tail then named_struct('lo', s.lo, 'hi', s.hi - 1, 'tail', not ({get}.r3 < s.r3), 'done', false, 'slope', {get}.slope, 'r3', {get}.r3, 'r2', {get}.r2, 'n', s.hi - s.lo + 1)
         else named_struct('lo', s.lo + 1, 'hi', s.hi, 'tail', false, 'done', false, 'slope', {get}.slope, 'r3', {get}.r3, 'r2', {get}.r2, 'n', s.hi - s.lo + 1) end"""
     out = table.withColumn("s", F.expr(f"aggregate(sequence(1, 2 * total), {zero}, (s, i) -> {step})"))
-    return out.select("frame", F.round("s.slope", 6).alias("dimension"), F.round("s.r2", 6).alias("r2"), F.col("s.n").alias("points"))
+    points = F.create_map(*[F.lit(x) for df in range(1, most - 1) for x in (df, student_95(df))])
+    df = F.col("s.n") - 2
+    half = F.try_element_at(points, df) * F.abs("s.slope") * F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.lit(1.0), F.col("s.r2")) - 1) / df)
+    return out.select(
+        "frame", F.round("s.slope", 6).alias("dimension"), F.round("s.r2", 6).alias("r2"), F.col("s.n").alias("points"),
+        F.round(F.col("s.slope") - half, 6).alias("low"), F.round(F.col("s.slope") + half, 6).alias("high"),
+    )

@@ -160,14 +160,15 @@ def separation(rows: DataFrame, key: str, order: str, value: str, low: float, hi
     return s.groupBy(key).agg(F.max_by(order, F.struct(F.col(value), -F.col(order))).alias("split"))
 
 
-def spread_peaks(rows: DataFrame, key: str, order: str, value: str, k: int, h: float, kind: int = 2) -> DataFrame:
+def spread_peaks(rows: DataFrame, key: str, order: str, value: str, k: int, h: float, kind: int = 2, similar: float = 0.01) -> DataFrame:
     """Peaks (key, order, s) by how far a row stands out of the ``k`` rows before and ``k`` - 1 behind.
 
     S1 is half the sum of the largest rises over each side, S2 of the rises' sums over ``k``, S3 of
     the rises over the sums of the sides' values over ``k``; the first and last row have 0. A peak has S
     above mean + ``h`` deviations of the positive S or, where a peak dominates (S that are not
-    positive have a mean above -0.02 and a deviation below 0.02), above ``h`` / 20 of the highest.
-    Of peaks closer than ``k`` to the one before the higher stays: a fold over a series' peaks.
+    positive have a mean above -0.02 and a deviation below 0.02), above ``h`` / 20 of the highest. Where
+    one dominates, every peak but a series' first goes if another S among the ``k`` rows before it
+    and the ``k`` - 1 behind is within ``similar`` of its own. Of peaks closer than ``k`` to the one before the higher stays: a fold over a series' peaks.
     """
     w, x = _w(key, order), F.col(value)
     left, right = w.rowsBetween(-k, -1), w.rowsBetween(1, k - 1)
@@ -179,8 +180,13 @@ def spread_peaks(rows: DataFrame, key: str, order: str, value: str, k: int, h: f
     s = rows.select(key, order, F.coalesce((rise(left) + rise(right)) / 2, F.lit(0.0)).alias("s"))
     every, other = Window.partitionBy(key), F.when(F.col("s") <= 0, F.col("s"))
     up = F.when(F.col("s") > 0, F.col("s"))
-    limit = F.when((F.avg(other).over(every) > -0.02) & (F.stddev_pop(other).over(every) < 0.02), F.max(up).over(every) * h / 20).otherwise(F.avg(up).over(every) + h * F.stddev_pop(up).over(every))
-    peaks = s.withColumn("__t", limit).where(F.col("s") > F.col("__t")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), "s"))).alias("p"))
+    dominated = F.coalesce((F.avg(other).over(every) > -0.02) & (F.stddev_pop(other).over(every) < 0.02), F.lit(False))
+    limit = F.when(dominated, F.max(up).over(every) * h / 20).otherwise(F.avg(up).over(every) + h * F.stddev_pop(up).over(every))
+    near = F.collect_list("s").over(w.rowsBetween(-k, k - 1))
+    s = s.withColumns({"__t": limit, "__d": dominated, "__near": near}).where(F.col("s") > F.col("__t"))
+    alike = F.size(F.filter("__near", lambda v: (v >= F.col("s") - similar) & (v <= F.col("s") + similar))) > 1
+    s = s.withColumn("__first", F.row_number().over(w) == 1).where(F.col("__first") | ~F.col("__d") | ~alike)
+    peaks = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), "s"))).alias("p"))
     fold = F.expr(f"""aggregate(p, slice(p, 1, 0), (a, x) -> case when size(a) = 0 or x.at - element_at(a, -1).at >= {k} then concat(a, array(x))
         when x.s > element_at(a, -1).s then concat(slice(a, 1, size(a) - 1), array(x)) else a end)""")
     return peaks.select(key, F.explode(fold).alias("p")).select(key, F.col("p.at").alias(order), F.round("p.s", 6).alias("s"))

@@ -1,8 +1,10 @@
 """Series, cleaning, alignment, surfaces, boxes, cases, generators and readers against plain versions."""
 
+import functools
 import itertools
 import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -33,16 +35,23 @@ def of(rows, key):
 
 
 def zscore(y, lag, threshold, influence):
-    out, f = [], y.copy()
-    if len(y) <= lag:
-        return out
-    m, s = y[:lag].mean(), y[:lag].std()
-    for i in range(lag, len(y) - 1):
-        if abs(y[i] - m) > threshold * s:
-            out.append((i + 1, 1 if y[i] > m else -1))
-            f[i] = influence * y[i] + (1 - influence) * f[i - 1]
-        m, s = f[i - lag : i].mean(), f[i - lag : i].std()
-    return out
+    """Signals from the definition: what each row's mean, deviation and filtered value are, by name."""
+    filtered, signals = {}, {}
+
+    def window(i):
+        first = 0 if i == lag else i - 1 - lag
+        return [filtered[j] for j in range(first, first + lag)]
+
+    for i, v in enumerate(y):
+        filtered[i] = v
+        if lag <= i < len(y) - 1:
+            held = window(i)
+            mean = math.fsum(held) / lag
+            deviation = math.sqrt(math.fsum((x - mean) ** 2 for x in held) / lag)
+            if abs(v - mean) > threshold * deviation:
+                signals[i + 1] = 1 if v > mean else -1
+                filtered[i] = filtered[i - 1] + influence * (v - filtered[i - 1])
+    return list(signals.items())
 
 
 @pytest.mark.parametrize("influence", [1.0, 0.4])
@@ -53,29 +62,40 @@ def test_zscore_signals(walks, influence):
     assert got
 
 
-def spread(y, k, h, kind):
-    s = np.zeros(len(y))
-    for i in range(1, len(y) - 1):
-        left, right = y[max(0, i - k) : i], y[i + 1 : i + k]
-        s[i] = {1: (y[i] - left.min() + y[i] - right.min()) / 2, 2: ((y[i] - left).sum() + (y[i] - right).sum()) / k / 2, 3: (2 * y[i] - left.sum() / k - right.sum() / k) / 2}[kind]
-    up, rest = s[s > 0], s[s <= 0]
-    limit = up.max() * h / 20 if len(rest) and rest.mean() > -0.02 and rest.std() < 0.02 else up.mean() + h * up.std()
-    out = []
-    for i, v in enumerate(s):
-        if v > limit:
-            if out and i - out[-1] < k:
-                if v <= s[out[-1]]:
-                    continue
-                out.pop()
-            out.append(i)
-    return [i + 1 for i in out]
+def spread(y, k, h, kind, similar):
+    """Peaks by filters over all rows: heights, the limit, likeness, and closeness to the peak before."""
+    n = len(y)
+
+    def height(i):
+        sides = [[y[j] for j in range(n) if i - k <= j < i], [y[j] for j in range(n) if i < j < i + k]]
+        part = {1: lambda s: max(y[i] - x for x in s), 2: lambda s: math.fsum(y[i] - x for x in s) / k, 3: lambda s: y[i] - math.fsum(s) / k}[kind]
+        return math.fsum(map(part, sides)) / 2 if 0 < i < n - 1 else 0.0
+
+    s = [height(i) for i in range(n)]
+    up, rest = [v for v in s if v > 0], [v for v in s if v <= 0]
+    dominated = statistics.fmean(rest) > -0.02 and statistics.pstdev(rest) < 0.02
+    limit = max(up) * h / 20 if dominated else statistics.fmean(up) + h * statistics.pstdev(up)
+    high = [i for i in range(n) if s[i] > limit]
+    alone = [i for i in high if not dominated or i == high[0] or not any(abs(s[j] - s[i]) <= similar for j in range(n) if j != i and i - k <= j < i + k)]
+    # The peak that stands after any number of candidates: the last kept, or the candidate that replaces it.
+    kept = functools.reduce(lambda out, i: [*out, i] if not out or i >= out[-1] + k else [*out[:-1], i] if s[i] > s[out[-1]] else out, alone, [])
+    return [i + 1 for i in kept]
 
 
 @pytest.mark.parametrize("kind", [1, 2, 3])
 def test_spread_peaks(walks, kind):
     rows, df = walks
     got = sorted((r.k, r.n) for r in series.spread_peaks(df, "k", "n", "v", 5, 1.0, kind).collect())
-    assert got == sorted((k, i) for k in range(3) for i in spread(of(rows, k), 5, 1.0, kind))
+    assert got == sorted((k, i) for k in range(3) for i in spread(of(rows, k), 5, 1.0, kind, 0.01))
+
+
+@pytest.mark.parametrize("similar", [0.01, 2.0])
+def test_spread_peaks_where_one_dominates(spark, similar):
+    r = random.Random(12)
+    rows = [(c, i, 9.0 * (i == 30) + 4.0 * (i in (33, 50, 52)) + 0.001 * r.random()) for c in range(3) for i in range(80)]
+    df = spark.createDataFrame(rows, "k long, n long, v double")
+    got = sorted((x.k, x.n + 1) for x in series.spread_peaks(df, "k", "n", "v", 5, 1.0, 1, similar).collect())
+    assert got == sorted((k, i) for k in range(3) for i in spread(of(rows, k), 5, 1.0, 1, similar))
 
 
 def test_welch(walks):
@@ -142,12 +162,14 @@ def rotation(r):
     return q * np.sign(np.linalg.det(q))
 
 
-def kabsch(p, q):
-    pc, qc = p - p.mean(0), q - q.mean(0)
-    v, s, w = np.linalg.svd(pc.T @ qc)
-    if np.linalg.det(v) * np.linalg.det(w) < 0:
-        v[:, -1] = -v[:, -1]
-    return math.sqrt((((pc @ v @ w + p.mean(0)) - q) ** 2).mean())
+def aligned_rmsd(p, q):
+    """The least deviation over all turns of p about its centre, by the largest eigenvalue of the quaternion matrix."""
+    a, b = p - p.mean(0), q - q.mean(0)
+    s = a.T @ b
+    axial = np.array([s[1, 2] - s[2, 1], s[2, 0] - s[0, 2], s[0, 1] - s[1, 0]])
+    k = np.block([[np.trace(s), axial], [axial[:, None], s + s.T - np.trace(s) * np.eye(3)]])
+    moved = len(p) * ((p.mean(0) - q.mean(0)) ** 2).sum()
+    return math.sqrt(max(0.0, (a * a).sum() + (b * b).sum() - 2 * np.linalg.eigvalsh(k)[-1] + moved) / (3 * len(p)))
 
 
 def test_aligned_rmsd(spark):
@@ -156,7 +178,7 @@ def test_aligned_rmsd(spark):
     frames = [x, (x - x.mean(0)) @ rotation(r) + x.mean(0), x * [1, 1, -1], np.array([[r.uniform(0, 9) for _ in range(3)] for _ in range(30)])]
     rows = [("np", f, i, 1, 0, *map(float, p)) for f, y in enumerate(frames) for i, p in enumerate(y)]
     got = {g.frame: g.rmsd for g in alignment.aligned_rmsd(spark.createDataFrame(rows, ATOMS)).collect()}
-    assert got == {f: pytest.approx(kabsch(frames[f + 1], frames[f]), abs=2e-5) for f in range(3)}
+    assert got == {f: pytest.approx(aligned_rmsd(frames[f + 1], frames[f]), abs=2e-5) for f in range(3)}
     assert got[0] < 1e-4
 
 
@@ -191,30 +213,42 @@ def test_facets_of_flat_faces(spark):
     assert got[0] == (0.0, 1) and len(got) == 5 and got[1][1] == 0
 
 
-def slope(x, y, least=5):
-    lo, hi, tail, before, fit = 0, len(x), True, (0.0, 0.0), (0.0, 0.0)
-    while hi - lo > least:
-        a = np.polyfit(x[lo:hi], y[lo:hi], 1)
-        r2 = np.corrcoef(x[lo:hi], y[lo:hi])[0, 1] ** 2
-        fit = (a[0], r2)
-        if tail:
-            tail = not round(r2, 3) < round(before[1], 3)
-            hi -= 1
-        else:
-            if round(r2, 3) < round(before[1], 3):
-                return before
-            lo += 1
-        before = fit
-    return fit
+def fits(x, y):
+    """Slope, R2 and the 95 % interval's half of every sub-range of at least six points."""
+    out = {}
+    for lo, hi in itertools.combinations(range(len(x) + 1), 2):
+        if hi - lo > 5:
+            u, v = x[lo:hi] - x[lo:hi].mean(), y[lo:hi] - y[lo:hi].mean()
+            slope = u @ v / (u @ u)
+            left = ((v - slope * u) ** 2).sum()
+            t = {4: 2.776445, 5: 2.570582, 6: 2.446912, 7: 2.364624, 8: 2.306004}[hi - lo - 2]
+            out[lo, hi] = slope, 1 - left / (v @ v), t * math.sqrt(left / (hi - lo - 2) / (u @ u))
+    return out
+
+
+def trimmed(table, n):
+    """Read off the table: the last point goes up to and with the first fall of R2 (three digits), then the
+    first until it falls; the fit before that fall counts."""
+    score = lambda r: round(table[r][1], 3)
+    tails = [(0, hi) for hi in range(n, 5, -1)]
+    fall = next((k for k in range(1, len(tails)) if score(tails[k]) < score(tails[k - 1])), len(tails) - 1)
+    path = tails[: fall + 1]
+    heads = [(lo, path[-1][1] - 1) for lo in range(n) if path[-1][1] - 1 - lo > 5]
+    for r in heads:
+        if score(r) < score(path[-1]):
+            break
+        path.append(r)
+    return table[path[-1]]
 
 
 def test_trimmed_slope(spark):
     r = random.Random(8)
     rows = [(f, float(k), 2.2 * k + r.gauss(0, 0.3) + (f == 2) * (k > 6) * 3) for f in range(5) for k in range(10)]
-    got = {g.frame: (g.dimension, g.r2) for g in boxes.trimmed_slope(spark.createDataFrame(rows, "frame long, u double, v double"), F.col("u"), F.col("v"), F.col("u")).collect()}
+    got = {g.frame: g for g in boxes.trimmed_slope(spark.createDataFrame(rows, "frame long, u double, v double"), F.col("u"), F.col("v"), F.col("u")).collect()}
     for f in range(5):
         x, y = (np.array([z[k] for z in rows if z[0] == f]) for k in (1, 2))
-        assert got[f] == pytest.approx(slope(x, y), abs=1e-5)
+        slope, r2, half = trimmed(fits(x, y), 10)
+        assert (got[f].dimension, got[f].r2, got[f].low, got[f].high) == pytest.approx((slope, r2, slope - half, slope + half), abs=1e-5)
 
 
 @pytest.fixture(scope="module")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granula.operators import dataset, ranges, surface
+from granula.operators import consensus, dataset, ranges, selection, selectivity, surface
 from granula.operators import neighbours as nb
+from granula.operators import structure as st
 from granula.plans import catalogue, more  # noqa: F401 - more adds to the catalogue
-from granula.plans.catalogue import ORACLES, query
+from granula.plans.catalogue import _C, ORACLES, query
 from granula.plans.views import atoms
 
 _ELEMENTS = ("Au", "Pt")
@@ -106,3 +107,47 @@ def dataset_wide(spark, sf):
 def dataset_published(spark, sf):
     """The dataset's 972 columns with facets and curvature; lattice classes are null."""
     return _published(spark, sf, True)
+
+
+#: Lines (slope, intercept) of an activity curve.
+_LINES = [(0.063, -0.35), (0.29, -1.6), (-0.27, 1.75), (0.055, -0.42), (-0.055, 0.42)]
+_N = selectivity.grid_points()
+
+
+@query(f"""{_C}, g0 AS (SELECT k, 1.0::DOUBLE + k * 0.001::DOUBLE AS x, CASE WHEN k = 0 OR k = {_N - 1} THEN 1.0::DOUBLE WHEN k % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END * 0.001::DOUBLE / 3 AS w FROM range(0, {_N}) r(k)),
+    g1 AS (SELECT *, least({", ".join(f"{a}::DOUBLE * x + ({b}::DOUBLE)" for a, b in _LINES)}) AS v FROM g0), g2 AS (SELECT *, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS u FROM g1), cu AS (SELECT k, x, w, u / sum(u * w) OVER () AS q FROM g2),
+    val AS (SELECT frame, gcn AS v FROM gc), st AS (SELECT frame, count(*) AS n, least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.3489795003921634::DOUBLE) * power(count(*) * 3 / 4.0::DOUBLE, -0.2::DOUBLE) AS h FROM val GROUP BY 1),
+    dv AS (SELECT frame, v, count(*) AS m FROM val GROUP BY 1, 2), de AS (SELECT frame, k, sum(m * exp(-power((x - v) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS p FROM dv JOIN st USING (frame), cu GROUP BY 1, 2),
+    bo AS (SELECT frame, k, x, w, p, q, CASE WHEN p <> 0 AND q <> 0 THEN least(p, q) END AS o FROM de JOIN cu USING (k)), mx AS (SELECT *, max(o) OVER (PARTITION BY frame) AS mo, max(q) OVER (PARTITION BY frame) AS mq FROM bo),
+    s AS (SELECT frame, arg_max(x, (p, -k)) AS xp, arg_max(x, (q, -k)) AS xq, min(x) FILTER (o > mo / 2) AS ol, max(x) FILTER (o > mo / 2) AS oh, min(x) FILTER (q > mq / 2) AS ql, max(x) FILTER (q > mq / 2) AS qh, sum(p * q * w) AS sen FROM mx GROUP BY 1)
+    SELECT frame, round(1 - abs(xp - xq) / 13, 4) AS selectivity, round(CASE WHEN ol > ql AND oh < qh THEN 1 - (oh - ol) / (qh - ql) / 2 ELSE (oh - ol) / (qh - ql) / 2 END, 4) AS specificity, round(sen, 6) AS sensitivity FROM s""")
+def reaction_selectivity(spark, sf):
+    """How well each frame's generalised coordination numbers fit an activity curve."""
+    a = atoms(spark, sf)
+    g = st.generalised(a, nb.both_ways(nb.half_bonds(a)))
+    s = selectivity.selectivity(selectivity.densities(g, "frame", "gcn"), selectivity.activity_curve(spark, _LINES), "frame")
+    return s.select("frame", F.round("selectivity", 4).alias("selectivity"), F.round("specificity", 4).alias("specificity"), F.round("sensitivity", 6).alias("sensitivity"))
+
+
+_COLUMNS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, round(sum(n / t * ln(n * t / (nx * ny))), 9) AS mi FROM (SELECT *, sum(n) OVER ()::DOUBLE AS t, sum(n) OVER (PARTITION BY x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY y)::DOUBLE AS ny
+    FROM (SELECT {a} AS x, {b} AS y, count(*) AS n FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2))""" for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :]))
+def pairwise_information(spark, sf):
+    return selection.pairwise_information(spark.read.parquet(f"{sf}/lineitem.parquet"), _COLUMNS)
+
+
+@query(None)
+def select_features(spark, sf):
+    """Columns picked for what they tell about the line status and not about each other."""
+    return selection.forward_selection(spark.read.parquet(f"{sf}/lineitem.parquet"), [c for c in _COLUMNS if c != "l_linestatus"], "l_linestatus")
+
+
+@query(None)
+def consensus_clusters(spark, sf):
+    """Orders of each customer's nation clustered by how often five simple labellings agree."""
+    t = spark.read.parquet(f"{sf}/orders.parquet").join(spark.read.parquet(f"{sf}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"))
+    runs = {"status": F.col("o_orderstatus"), "priority": F.substring("o_orderpriority", 1, 1), "segment": F.substring("c_mktsegment", 1, 2), "price": F.floor(F.col("o_totalprice") / 50000), "year": F.year("o_orderdate")}
+    rows = t.select(F.col("c_nationkey").alias("nation"), "o_orderkey", F.inline(F.array(*[F.struct(F.lit(k).alias("run"), v.cast("string").alias("label")) for k, v in runs.items()])))
+    return consensus.consensus(rows, "nation", "o_orderkey", "run", "label", 6)

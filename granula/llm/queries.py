@@ -26,7 +26,9 @@ def op2_extendible_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+    rows = quality.quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rows.select(*first, *(c for c in rows.columns if c not in first))
 
 
 def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,25 +17,46 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood-ratio threshold."""
+    """Documents that pass the base rules and the likelihood-ratio thresholds.
+
+    Null, empty and short texts go (fewer than 50 words); repeated rows and null doc_ids are judged
+    each; ties with a threshold stay. An empty table stays empty; further columns go.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality(docs, labels, carry=tuple(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; documents of which no line is left go."""
+    """Texts without repeated lines; documents of which no line is left go.
+
+    Null and blank texts have no line to lose and stay. Of equal lines that in the smallest doc_id
+    stays, there the first; null doc_ids come last; rows that repeat doc_id and text are one
+    document. An empty table stays empty; further columns go.
+    """
     rows = lines.dedup_lines(docs.select(*COLUMNS)).where("n_removed = 0 or n_removed < n_lines")
     return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that with the smallest doc_id."""
+    """One document of each near-duplicate component, that with the smallest doc_id.
+
+    Rows that repeat a doc_id and text are one document; those with a null doc_id all stay, and so
+    do texts without words. An empty table stays empty; further columns go.
+    """
     gone = near_duplicates.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    # Few doc_ids repeat, so only their texts are shuffled.
+    once = kept.join(repeated, "doc_id", "left_anti")
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; of one taken in part, its first words."""
+    """Documents as often as the mix takes them; of one taken in part, its first words.
+
+    Null, empty and blank texts have no words and go. Null sources are one source; repeated rows
+    and null doc_ids count each. An empty table stays empty; further columns go.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS), common.word_count(F.col("text")))
     rest = (F.col("taken") - F.col("passes") * F.col("size")).cast("int")
     words = F.filter(F.split("text", common.SPACE), lambda w: w != "")
@@ -46,14 +67,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with a checksum of their ids."""
+    """The pieces of the packed sequences, with a checksum of their ids.
+
+    Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives
+    no pieces.
+    """
     return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix_sources), ("pack", pack)]
 
-#: None: hashed likelihood ratios, MinHash components and tokenizers have no SQL form; the tests
-#: hold each stage against a plain version.
+#: None: hashed likelihood ratios, MinHash components and tokenizers have no SQL form;
+#: tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -1,16 +1,12 @@
-"""Readers of simulation logs and analysis output: a file is read whole by one task and split into
-numbered lines, from which blocks and columns are cut by column functions."""
+"""Readers of simulation logs and analysis output: numbered lines, read by splits, from which blocks and
+columns are cut by column functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, line_no, line) of text files, lines counted from 1."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("l"))
-    return whole.select("path", F.posexplode("l").alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), "line")
+from granula.sources.lines import numbered_lines
 
 
 def _words(line: Column | str) -> Column:

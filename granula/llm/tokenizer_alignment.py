@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granula.llm.common import batch_rows, materialize, text_chunks
-from granula.llm.tokens import BYTE_CHARACTERS, encoder, pieces
+from granula.llm.tokens import BYTE_CHARACTERS, Encoder, pieces
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<long>"
 #: A pair of ids as one number: a * PAIR + b.
@@ -30,10 +30,9 @@ _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 _BLOCK = {"block": pa.int64(), "doc_ids": _LONGS, "n_a": _LONGS, "n_b": _LONGS, "n_links": _LONGS, "sha": pa.list_(pa.string()), "n_pairs": _INTS, "places": _INTS, "numbers": _INTS, "pairs": _LONGS, "totals": _LONGS}
 
 
-def _byte_level(path: str) -> list[bytes]:
+def _byte_level(tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
     back = {ord(c): b for b, c in BYTE_CHARACTERS.items()}
-    tokenizer = encoder(path, False, True).tokenizer
     out = []
     for i in range(tokenizer.get_vocab_size()):
         token = tokenizer.id_to_token(i) or ""
@@ -63,9 +62,10 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, most: int = 300_000):
         import sentencepiece
 
-        self.encode_a = encoder(path_a, False, True)
+        # Pieces are remembered here, so the encoder's own memory need only hold stems of words met lately.
+        self.encode_a = Encoder(path_a, False, most=100_000, plain=True)
         self.model_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a, self.bytes_b = _byte_level(path_a), _piece_bytes(self.model_b)
+        self.bytes_a, self.bytes_b = _byte_level(self.encode_a.tokenizer), _piece_bytes(self.model_b)
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         each = range(max(len(self.bytes_a), len(self.bytes_b)))
         self.told = {c: np.array([f"{i}{c}" for i in each], object) for c in ",|;"}

@@ -222,9 +222,9 @@ def welch_halves(rows: DataFrame, key: str, order: str, value: str) -> DataFrame
 
 def density_overlap(rows: DataFrame, by: str, value: str, width: float, points: int = 100) -> DataFrame:
     """Bhattacharyya coefficient of each two groups' Gaussian kernel densities of ``width``, on a grid of
-    ``points`` over the range of all values. Values are counted by tenths first, so the grid meets
+    ``points`` over the range of all values. Values are counted first, so the grid meets
     distinct values and not rows; groups meet on a grid point."""
-    h = rows.where(F.col(value).isNotNull()).groupBy(by, F.round(value, 1).alias("v")).agg(F.count("*").alias("n"))
+    h = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     ends = h.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / (points - 1)).alias("w"))
     total = h.groupBy(by).agg(F.sum("n").alias("total"))
     g = h.join(F.broadcast(ends)).select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))

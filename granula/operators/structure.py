@@ -505,3 +505,58 @@ def exposed_faces(tetrahedra: DataFrame) -> DataFrame:
     corners = [("p0", "p1", "p2"), ("p0", "p1", "p3"), ("p0", "p2", "p3"), ("p1", "p2", "p3")]
     faces = tetrahedra.select("frame", F.explode(F.array(*[F.array_sort(F.array(*f)) for f in corners])).alias("f"))
     return faces.groupBy("frame", "f").agg(F.count("*").alias("n")).where("n = 1").select("frame", *[F.col("f")[k].alias(x) for k, x in enumerate("abc")])
+
+
+def generalised_partial(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Sum of the neighbours' partial coordination numbers over 12, by unordered type pair."""
+    cn = coordination(atoms, bonds).select("frame", F.col("atom_id").alias("j"), "cn11", "cn12", "cn22")
+    g = bonds.select("frame", "i", "j").join(cn, ["frame", "j"]).groupBy("frame", F.col("i").alias("atom_id")).agg(*[(F.sum(f"cn{p}") / 12).alias(f"gcn{p}") for p in ("11", "12", "22")])
+    return atoms.select("frame", "atom_id").join(g, ["frame", "atom_id"], "left").select("frame", "atom_id", *[r6(F.coalesce(f"gcn{p}", F.lit(0.0))).alias(f"gcn{p}") for p in ("11", "12", "22")])
+
+
+def harmonics(l: int) -> list[str]:  # noqa: E741
+    """The real harmonics of order ``l`` of a unit vector x, y, z as SQL, scaled so that their squares sum to 1."""
+    out = []
+    for m in range(l + 1):
+        scale = math.sqrt((2 if m else 1) * math.factorial(l - m) / math.factorial(l + m))
+        poly = np.polynomial.polynomial.polyder(np.polynomial.legendre.leg2poly([0] * l + [1]), m) if m else np.polynomial.legendre.leg2poly([0] * l + [1])
+        in_z = " + ".join(f"({scale * c:.17e}) * power(z, {k})" for k, c in enumerate(poly.tolist()) if c)
+        turn = [(math.comb(m, k) * (-1) ** (k // 2), m - k, k) for k in range(m + 1)]
+        for odd in (0, 1) if m else (0,):
+            out.append(f"({in_z}) * ({' + '.join(f'({c:.6e}) * power(x, {a}) * power(y, {b})' for c, a, b in turn if b % 2 == odd)})")
+    return out
+
+
+def global_order(half: DataFrame, most: int = 12) -> DataFrame:
+    """(frame, l, q): the length of the mean harmonic vector of order l over all bonds of a frame, l from 0 to ``most``.
+
+    A bond counts from both its ends, so odd orders are 0 and even ones come from each bond once;
+    one aggregation a frame. Bonds of length zero have no direction and are left out.
+    """
+    unit = half.where("r > 0").select("frame", *[(F.col(f"d{c}") / F.col("r")).alias(c) for c in "xyz"])
+    terms = {l: harmonics(l) for l in range(0, most + 1, 2)}
+    means = unit.groupBy("frame").agg(*[F.avg(F.expr(t)).alias(f"q{l}_{k}") for l, ts in terms.items() for k, t in enumerate(ts)])
+    length = {l: r6(F.sqrt(sum((F.col(f"q{l}_{k}") * F.col(f"q{l}_{k}") for k in range(len(ts))), F.lit(0.0)))) for l, ts in terms.items()}
+    rows = [F.struct(F.lit(l).alias("l"), length.get(l, F.lit(0.0)).alias("q")) for l in range(most + 1)]
+    return means.select("frame", F.inline(F.array(*rows)))
+
+
+def named_types(atoms: DataFrame, types: DataFrame) -> DataFrame:
+    """``atoms`` with the element of their type; ``types`` (type_id, element) has a row a type. A type without one is null."""
+    return atoms.join(types.select("type_id", "element"), "type_id", "left")
+
+
+def cluster_table(labels: DataFrame, cn: DataFrame, least: int = 1, largest_only: bool = False) -> DataFrame:
+    """(frame, cluster, size, mean_cn) of clusters (frame, atom_id, cluster) of ``least`` atoms and more, or of each
+    frame's largest alone (of equal ones the least label)."""
+    t = labels.join(cn.select("frame", "atom_id", "cn"), ["frame", "atom_id"]).groupBy("frame", "cluster").agg(F.count("*").alias("size"), r6(F.avg("cn")).alias("mean_cn"))
+    t = t.where(F.col("size") >= least)
+    if not largest_only:
+        return t
+    first = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("size"), "cluster"))
+    return t.withColumn("__k", first).where("__k = 1").drop("__k")
+
+
+def labelled(points: DataFrame, scores: DataFrame, key: list[str]) -> DataFrame:
+    """Cluster points with the scores of the same point; a point without scores keeps nulls. Columns that both have come from ``points``."""
+    return points.join(scores.drop(*[c for c in points.columns if c not in key]), key, "left")

@@ -495,7 +495,7 @@ _oracle("formation_energy", "lineitem", "SELECT l_suppkey AS frame, round(sum(l_
 _oracle("group_mean_sorted", "part", "SELECT substring(p_type, 1, 2) AS shape, round(avg(p_retailprice), 4) AS mean_price, round(avg(p_size), 6) AS mean_size, count(*) AS n FROM {part} GROUP BY substring(p_type, 1, 2) ORDER BY shape")
 _oracle("resource_estimate", "lineitem", """WITH n AS (SELECT l_suppkey AS frame, count(*) AS natoms FROM {lineitem} GROUP BY l_suppkey), c AS (SELECT *, CAST((floor((natoms - 1) / 64000) + 1) * 48 AS BIGINT) AS ncpus FROM n)
     SELECT frame, natoms, ncpus, CAST(floor(36 * natoms / ncpus) AS BIGINT) AS seconds FROM c""")
-_oracle("density_overlap", "events", """WITH h AS (SELECT event_type, round(value, 1) AS v, count(*) AS n FROM {events} WHERE value IS NOT NULL GROUP BY event_type, round(value, 1)),
+_oracle("density_overlap", "events", """WITH h AS (SELECT event_type, value AS v, count(*) AS n FROM {events} WHERE value IS NOT NULL GROUP BY event_type, value),
     t AS (SELECT event_type, sum(n) AS total FROM h GROUP BY event_type), g AS (SELECT *, (SELECT min(v) FROM h) AS lo, (SELECT (max(v) - min(v)) / 99 FROM h) AS w, explode(sequence(0, 99)) AS i FROM h),
     k AS (SELECT event_type, i, max(w) AS w, sum(n * exp(-power((lo + w * i - v) / 5, 2) / 2)) / (5 * sqrt(2 * pi())) AS s FROM g GROUP BY event_type, i),
     d AS (SELECT k.event_type, k.i, k.w, k.s / t.total AS p FROM k JOIN t ON t.event_type = k.event_type)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from granula.operators import consensus, dataset, ranges, selection, selectivity, surface
 from granula.operators import neighbours as nb
 from granula.operators import structure as st
+from granula.sources import results
 from granula.plans import catalogue, more  # noqa: F401 - more adds to the catalogue
-from granula.plans.catalogue import _C, ORACLES, query
+from granula.plans.catalogue import _A, _B, _C, _H, ORACLES, query
 from granula.plans.views import atoms
 
 _ELEMENTS = ("Au", "Pt")
@@ -151,3 +152,39 @@ def consensus_clusters(spark, sf):
     runs = {"status": F.col("o_orderstatus"), "priority": F.substring("o_orderpriority", 1, 1), "segment": F.substring("c_mktsegment", 1, 2), "price": F.floor(F.col("o_totalprice") / 50000), "year": F.year("o_orderdate")}
     rows = t.select(F.col("c_nationkey").alias("nation"), "o_orderkey", F.inline(F.array(*[F.struct(F.lit(k).alias("run"), v.cast("string").alias("label")) for k, v in runs.items()])))
     return consensus.consensus(rows, "nation", "o_orderkey", "run", "label", 6)
+
+
+@query(f"""{_B}, c AS (SELECT frame, i, {", ".join(f"count(*) FILTER (least(ti, tj) = {a} AND greatest(ti, tj) = {b}) AS c{a}{b}" for a, b in ((1, 1), (1, 2), (2, 2)))} FROM bonds GROUP BY 1, 2)
+    SELECT a.frame, a.atom_id, {", ".join(f"round(coalesce(sum(c{p}) / 12.0::DOUBLE, 0), 6) AS gcn{p}" for p in ("11", "12", "22"))} FROM atoms a LEFT JOIN bonds b ON b.frame = a.frame AND b.i = a.atom_id LEFT JOIN c ON c.frame = b.frame AND c.i = b.j GROUP BY 1, 2""")
+def gcn_partial(spark, sf):
+    a = atoms(spark, sf)
+    return st.generalised_partial(a, nb.both_ways(nb.half_bonds(a)))
+
+
+_ORDERS = {l: st.harmonics(l) for l in range(0, 13, 2)}
+
+
+@query(f"""{_H}, u AS (SELECT frame, dx / r AS x, dy / r AS y, dz / r AS z FROM half WHERE r > 0),
+    m AS (SELECT frame, {", ".join(f"sqrt({' + '.join(f'power(avg({t}), 2)' for t in ts)}) AS q{l}" for l, ts in _ORDERS.items())} FROM u GROUP BY frame)
+    {" UNION ALL ".join(f"SELECT frame, {l} AS l, {f'round(q{l}, 6)' if l in _ORDERS else '0.0::DOUBLE'} AS q FROM m" for l in range(13))}""")
+def global_order(spark, sf):
+    return st.global_order(nb.half_bonds(atoms(spark, sf)))
+
+
+@query(f"{_A} SELECT frame, CASE type_id WHEN 1 THEN 'Au' ELSE 'Pt' END AS element, count(*) AS n FROM atoms GROUP BY 1, 2")
+def named_elements(spark, sf):
+    types = spark.createDataFrame([(1, "Au"), (2, "Pt")], "type_id int, element string")
+    return st.named_types(atoms(spark, sf), types).groupBy("frame", "element").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(c_mktsegment, 'A') AND contains(c_name, '7')")
+def elements_in_names(spark, sf):
+    t = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    return results.of_elements(t, "c_mktsegment", "c_name", "A", "7")
+
+
+@query("SELECT s.s_suppkey, s.s_nationkey AS cluster, n.spent, n.orders FROM supplier s LEFT JOIN (SELECT l_suppkey, round(sum(l_extendedprice), 4) AS spent, count(*) AS orders FROM lineitem GROUP BY 1) n ON n.l_suppkey = s.s_suppkey")
+def scores_of_clusters(spark, sf):
+    points = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").alias("cluster"))
+    scores = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.round(F.sum("l_extendedprice"), 4).alias("spent"), F.count("*").alias("orders"))
+    return st.labelled(points, scores, ["s_suppkey"])

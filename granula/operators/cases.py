@@ -86,6 +86,71 @@ def spread_labels(points: DataFrame, case: str, ident: str, columns: list[str])
     return _per_case(points, case, ident, columns, f"{ident} long, step int, nearest_labelled long, distance double", f)
 
 
+def _spread(x: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label (place among the seeds), order and distance of each point: always the unlabelled point nearest to a
+    labelled one takes its label; ties go to the first point, and to the source labelled first."""
+    n = len(x)
+    best, label, left, order, far = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool), [], np.zeros(n)
+    queue = list(seeds.tolist())
+    label[seeds], left[seeds] = np.arange(len(seeds)), False
+    while queue or left.any():
+        if queue:
+            now = queue.pop(0)
+        else:
+            now = int(np.flatnonzero(left)[np.argmin(best[left])])
+            left[now], far[now] = False, best[now]
+        order.append(now)
+        d = np.sqrt(((x - x[now]) ** 2).sum(1))
+        better = (d < best) & left
+        best[better], label[better] = d[better], label[now]
+    return label, np.array(order, int), far
+
+
+def settled_clusters(points: DataFrame, case: str, ident: str, columns: list[str], centre: str, least: int) -> DataFrame:
+    """(case, id, cluster): labels spread from the points for which ``centre`` holds, centres of clusters with fewer than
+    ``least`` points given up and labels spread again, until all clusters are large enough.
+
+    Of clusters that are all too small the largest (of equal ones that of the first centre) is left alone. Clusters
+    are numbered from 0 by the order of their centres' ids; -1 everywhere in a case without a centre.
+    Each round loses a centre, so it ends.
+    """
+    def f(ids: np.ndarray, x: np.ndarray) -> dict:
+        x, seeds = x[:, :-1], np.flatnonzero(x[:, -1] > 0)
+        label = np.full(len(ids), -1)
+        while len(seeds):
+            label = _spread(x, seeds)[0]
+            size = np.bincount(label, minlength=len(seeds))
+            keep = size >= least
+            if keep.all() or len(seeds) == 1:
+                break
+            if not keep.any():
+                keep[np.argmax(size)] = True
+            seeds = seeds[keep]
+        return {ident: ids, "cluster": label.astype(np.int32)}
+
+    marked = points.withColumn("__centre", F.coalesce(F.col(centre), F.lit(False)).cast("double"))
+    return _per_case(marked, case, ident, [*columns, "__centre"], f"{ident} long, cluster int", f)
+
+
+def sub_cluster_traces(points: DataFrame, case: str, ident: str, columns: list[str], cluster: str, score: str) -> DataFrame:
+    """(case, cluster, id, step, distance): labels spread inside each cluster by itself from its point of the highest
+    ``score`` (of equal ones the first id); a rise of the distance shows a cluster within the cluster."""
+    def f(ids: np.ndarray, x: np.ndarray) -> dict:
+        x, of, scores = x[:, :-2], x[:, -2], x[:, -1]
+        out: dict[str, list] = {"cluster": [], ident: [], "step": [], "distance": []}
+        for c in np.unique(of):
+            mine = np.flatnonzero(of == c)
+            _, order, far = _spread(x[mine], np.array([np.argmax(scores[mine])]))
+            out["cluster"] += [int(c)] * len(mine)
+            out[ident] += ids[mine[order]].tolist()
+            out["step"] += range(len(mine))
+            out["distance"] += np.round(far[order], 6).tolist()
+        kinds = {"cluster": np.int32, ident: np.int64, "step": np.int32, "distance": float}
+        return {k: np.array(v, kinds[k]) for k, v in out.items()}
+
+    return _per_case(points, case, ident, [*columns, cluster, score], f"cluster int, {ident} long, step int, distance double", f)
+
+
 def kmeans(points: DataFrame, case: str, ident: str, columns: list[str], k: int, rounds: int = 100, least: int = 10) -> DataFrame:
     """(case, id, cluster): k-means seeded by the smallest id and then always the point farthest from all
     seeds; clusters of fewer than ``least`` points are dropped (-1), the others numbered by size from 0."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granula.operators import consensus, dataset, ranges, selection, selectivity, surface
+from granula.operators import cases, consensus, dataset, ranges, selection, selectivity, surface
 from granula.operators import neighbours as nb
 from granula.operators import structure as st
 from granula.sources import results
@@ -188,3 +188,25 @@ def scores_of_clusters(spark, sf):
     points = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").alias("cluster"))
     scores = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.round(F.sum("l_extendedprice"), 4).alias("spent"), F.count("*").alias("orders"))
     return st.labelled(points, scores, ["s_suppkey"])
+
+
+def _settled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    a = atoms(spark, sf).select("frame", "atom_id", "x", "y", "z")
+    peaks = ranges.fixed(cases.density_peaks(a, "frame", "atom_id", ["x", "y", "z"], 3.0).select("frame", "atom_id", "gamma"))
+    rank = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("gamma"), "atom_id"))
+    points = a.join(peaks.withColumn("centre", rank <= 8), ["frame", "atom_id"])
+    return points, cases.settled_clusters(points, "frame", "atom_id", ["x", "y", "z"], "centre", 30)
+
+
+@query(None)
+def settled_clusters(spark, sf):
+    """Atoms of each frame by the nearest of eight density peaks, small clusters given up."""
+    return _settled(spark, sf)[1]
+
+
+@query(None)
+def sub_cluster_traces(spark, sf):
+    """How far labels reach inside each settled cluster, step by step."""
+    points, found = _settled(spark, sf)
+    rows = points.join(found.withColumnRenamed("cluster", "of"), ["frame", "atom_id"])
+    return cases.sub_cluster_traces(rows, "frame", "atom_id", ["x", "y", "z"], "of", "gamma")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granula.operators import cases, consensus, dataset, ranges, selection, selectivity, surface
+from granula.operators import cases, consensus, dataset, ranges, rings, selection, selectivity, surface
 from granula.operators import neighbours as nb
 from granula.operators import structure as st
 from granula.sources import results
@@ -210,3 +210,23 @@ def sub_cluster_traces(spark, sf):
     points, found = _settled(spark, sf)
     rows = points.join(found.withColumnRenamed("cluster", "of"), ["frame", "atom_id"])
     return cases.sub_cluster_traces(rows, "frame", "atom_id", ["x", "y", "z"], "of", "gamma")
+
+
+_E = "SELECT 1 FROM e z WHERE z.frame = {0}.frame AND z.i = {1} AND z.j = {2}"
+_NOT = lambda t, *pairs: " AND ".join(f"NOT EXISTS ({_E.format(t, a, b)})" for a, b in pairs)
+_FAR = lambda t, a, b: f"NOT EXISTS (SELECT 1 FROM near z WHERE z.frame = {t}.frame AND z.i = {a} AND z.j = {b})"
+
+
+@query(f"""{_B}, e AS MATERIALIZED (SELECT DISTINCT frame, i, j FROM bonds), p2 AS (SELECT x.frame, x.i AS a, x.j AS b, y.j AS c FROM e x JOIN e y ON y.frame = x.frame AND y.i = x.j AND y.j <> x.i),
+    two AS MATERIALIZED (SELECT * FROM p2 WHERE {_NOT("p2", ("p2.a", "p2.c"))}), near AS MATERIALIZED (SELECT * FROM e UNION SELECT frame, a, c FROM two),
+    p3 AS (SELECT t.*, y.j AS d FROM two t JOIN e y ON y.frame = t.frame AND y.i = t.c AND y.j NOT IN (t.a, t.b)), three AS MATERIALIZED (SELECT * FROM p3 WHERE a < b AND a < c AND a < d AND {_FAR("p3", "p3.a", "p3.d")}),
+    r3 AS (SELECT x.frame FROM e x JOIN e y ON y.frame = x.frame AND y.i = x.j JOIN e z ON z.frame = x.frame AND z.i = x.i AND z.j = y.j WHERE x.i < x.j AND y.i < y.j),
+    q4 AS (SELECT x.frame, x.b, y.b AS d FROM two x JOIN two y ON y.frame = x.frame AND y.a = x.a AND y.c = x.c WHERE x.a < x.c AND x.a < x.b AND x.b < y.b), r4 AS (SELECT frame FROM q4 WHERE {_NOT("q4", ("q4.b", "q4.d"))}),
+    q5 AS (SELECT x.frame, x.b, x.c, y.b AS f, y.c AS d FROM two x JOIN two y ON y.frame = x.frame AND y.a = x.a JOIN e w ON w.frame = x.frame AND w.i = x.c AND w.j = y.c WHERE x.c < y.c AND x.b <> y.b AND x.a < x.b AND x.a < x.c AND x.a < y.b),
+    r5 AS (SELECT frame FROM q5 WHERE {_NOT("q5", ("q5.b", "q5.f"), ("q5.b", "q5.d"), ("q5.f", "q5.c"))}),
+    q6 AS (SELECT x.frame, x.b, x.c, y.b AS f, y.c AS g FROM three x JOIN three y ON y.frame = x.frame AND y.a = x.a AND y.d = x.d WHERE x.b < y.b AND x.c <> y.c),
+    r6 AS (SELECT frame FROM q6 WHERE {_NOT("q6", ("q6.b", "q6.f"), ("q6.c", "q6.g"))} AND {_FAR("q6", "q6.b", "q6.g")} AND {_FAR("q6", "q6.f", "q6.c")})
+    {" UNION ALL ".join(f"SELECT frame, {k} AS size, count(*) AS n FROM r{k} GROUP BY frame" for k in (3, 4, 5, 6))}""")
+def shortest_rings(spark, sf):
+    """Rings of three to six bonds of each frame."""
+    return rings.rings(ranges.fixed(nb.both_ways(nb.half_bonds(atoms(spark, sf))).select("frame", "i", "j")))

@@ -25,6 +25,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 BYTE_CHARACTERS = _byte_characters()
+_SPACE = BYTE_CHARACTERS[32]
 
 
 def pieces(text: str) -> list[str]:
@@ -49,8 +50,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        special = [] if plain else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) if special else "(?!)", re.IGNORECASE).search
+        special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What the strings of special tokens begin with; a piece that holds it is left to the library.
+        self.mark = os.path.commonprefix(special)
+        if special and not self.mark:
+            raise ValueError("special tokens have to begin alike")
         self.cut = (lambda text: text.replace("\n", " ").split(" ")) if lossy_space else pieces
         self.model = self.tokenizer.model
         self.lower = lossy_space
@@ -61,12 +65,13 @@ class Encoder:
     def _word(self, piece: str) -> bytes | None:
         """Ids of a piece that is one run of letters, after a space or not: one pre-token, which
         goes straight to the library's model. None for any other piece."""
-        letters = piece[1:] if piece[0] == " " else piece
+        spaced = piece[0] == " "
+        letters = piece[1:] if spaced else piece
         if not letters.isalpha():
             return None
-        if piece.isascii() and (not self.lower or piece is letters):
+        if letters.isascii() and not (spaced and self.lower):
             # ASCII letters stand for themselves; only a space before them is written otherwise.
-            plain = piece.lower() if self.lower else piece.replace(" ", BYTE_CHARACTERS[32])
+            plain = letters.lower() if self.lower else _SPACE + letters if spaced else letters
             return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         if self.lower:
             # In this range the normalizer changes nothing but the case of composed letters.
@@ -82,11 +87,11 @@ class Encoder:
         wanted = words.difference(self.young)
         if len(self.young) + 2 * len(wanted) > self.most:
             self.old, self.young, wanted = self.young, {"": b""}, words - {""}
-        young, old, new, ends = self.young, self.old, [], []
+        young, old, new, ends, mark, word = self.young, self.old, [], [], self.mark, self._word
         for p in wanted:
             if (ids := old.get(p)) is not None:
                 young[p] = ids
-            elif self.special(p):
+            elif mark and mark in p:
                 new.append(p)
             elif (tail := len(p) - len(p.rstrip(_MARKS))) and p[:-tail][-1:].lower().isalpha():
                 # A letter and the marks after it never share a pre-token, so both are encoded apart,
@@ -97,12 +102,12 @@ class Encoder:
                     if x not in young:
                         if (ids := old.get(x)) is not None:
                             young[x] = ids
-                        elif (ids := self._word(x)) is not None:
+                        elif (ids := word(x)) is not None:
                             young[x] = ids
                         else:
                             young[x] = b""
                             new.append(x)
-            elif (ids := self._word(p)) is not None:
+            elif (ids := word(p)) is not None:
                 young[p] = ids
             else:
                 new.append(p)

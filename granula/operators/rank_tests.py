@@ -130,8 +130,10 @@ def two_sample_tests(pairs: DataFrame) -> DataFrame:
     ).where("n1 > 0 and n2 > 0").withColumn("n", c("n1") + c("n2"))
     k = c("n1") * c("n2")
     sums = sums.withColumns({"cvm": c("u") / (k * c("n")) - (4 * k - 1) / (6 * c("n")), "ad": ((c("n") - 1) / c("n") * c("ad") - 1) / _ad_scale(c("n"), c("n1"), c("n2"))})
-    out = {"ad": c("ad"), "p_ad": ad_p(c("ad")), "ks": c("ks"), "p_ks": ks_p(c("ks"), c("n1"), c("n2")), "cvm": c("cvm"), "p_cvm": cvm_p(c("cvm"), c("n1"), c("n2"))}
-    return sums.select("pair", *[F.when((c("d1") > 1) & (c("d2") > 1) & (c("n") > 3), F.round(x, 6)).alias(name) for name, x in out.items()])
+    # Before the select that rounds, whose names would stand for the rounded statistics in it.
+    sums = sums.withColumns({"p_ad": ad_p(c("ad")), "p_ks": ks_p(c("ks"), c("n1"), c("n2")), "p_cvm": cvm_p(c("cvm"), c("n1"), c("n2"))})
+    told = (c("d1") > 1) & (c("d2") > 1) & (c("n") > 3)
+    return sums.select("pair", *[F.when(told, F.round(c(x), 6)).alias(x) for x in ("ad", "p_ad", "ks", "p_ks", "cvm", "p_cvm")])
 
 
 def curve_distances(pairs: DataFrame) -> DataFrame:

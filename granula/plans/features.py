@@ -19,8 +19,8 @@ _NO_SQL = ("S_", "Curve_", *dataset.LATTICES)
 
 
 def _long(spark: SparkSession, sf: str, surfaces: bool) -> DataFrame:
-    a = ranges.fixed(atoms(spark, sf))
-    half = ranges.fixed(nb.half_bonds(a).select("frame", "i", "j", "ti", "tj", "si", "sj", "dx", "dy", "dz", "r"))
+    a = atoms(spark, sf)
+    half = nb.half_bonds(a)  # found again in each frame's task by all who use it: they never leave it, so nothing is written
     bonds = nb.both_ways(half)
     return dataset.features_long(a, half, bonds, surface.curvature(a, bonds) if surfaces else None)
 

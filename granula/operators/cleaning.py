@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granula.operators.ranges import average_ranks
+from granula.operators.ranges import average_ranks, quantiles
 
 
 def drop_ordinals(df: DataFrame, *ranges: range) -> DataFrame:
@@ -85,11 +85,16 @@ def scale_minmax(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
 def scale(df: DataFrame, columns: list[str], kind: str = "standard") -> DataFrame:
     """Columns over the whole table: standard (mean and population deviation), robust (median and
-    quartiles) or minmax. Statistics come from one pass and are a row, so rows are not shuffled."""
-    stats = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-             "robust": lambda c: (F.percentile(c, 0.5), F.percentile(c, 0.75) - F.percentile(c, 0.25))}[kind]
-    one = df.agg(*[x.alias(f"__{n}{i}") for i, c in enumerate(columns) for n, x in zip("mw", stats(c), strict=True)])
-    out = df.join(F.broadcast(one))
+    quartiles) or minmax. Statistics are a row, so rows are not shuffled; quartiles come from a column's counted values."""
+    out = df
+    if kind == "robust":
+        for i, c in enumerate(columns):
+            q = quantiles(df.select(c), c, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+            out = out.join(F.broadcast(q.select(F.col("q2").alias(f"__m{i}"), (F.col("q3") - F.col("q1")).alias(f"__w{i}"))))
+    else:
+        stats = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c))}[kind]
+        one = df.agg(*[x.alias(f"__{n}{i}") for i, c in enumerate(columns) for n, x in zip("mw", stats(c), strict=True)])
+        out = df.join(F.broadcast(one))
     return out.withColumns({c: F.try_divide(F.col(c) - F.col(f"__m{i}"), F.col(f"__w{i}")) for i, c in enumerate(columns)}).select(*df.columns)
 
 

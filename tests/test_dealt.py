@@ -3,9 +3,12 @@
 import os
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from granula.operators import cases, cleaning, ranges
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["angle_g3_2", "angle_g3_2_normalised", "angle_g3_normalised", "angle_g3_partial", "bonds_periodic", "chains", "q6_connectivity", "q6_histogram", "coord_hist", "coord_scope_avg", "gcn",
@@ -31,3 +34,27 @@ def test_other_queries_plan_as_before(spark):
     assert spark.conf.get(entry._ALL_KEYS) == "false"
     queries["op10_mixing"](spark, SF)
     assert spark.conf.get(entry._ALL_KEYS) == "true"
+
+
+def test_densities_and_moved_copies_stay_too(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    keys = shuffle_keys(entry.queries()["reaction_selectivity"](spark, SF))
+    assert keys and all(k == ["frame"] for k in keys), keys
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60])
+def test_first_of_a_row_as_a_stable_sort(n):
+    r = np.random.default_rng(n)
+    d = r.integers(0, 5, (n, n)).astype(float)
+    for k in range(1, min(n, 6) + 1):
+        assert (cases._first(d, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_quantiles_meet_in_no_task(spark):
+    rows = spark.createDataFrame([(float(i * i % 37),) for i in range(500)] + [(None,)], "v double")
+    q = {"a": 0.25, "b": 0.5, "c": 0.9}
+    want = rows.agg(*[F.percentile("v", p).alias(k) for k, p in q.items()]).first()
+    assert ranges.quantiles(rows, "v", q).first() == want
+    assert "percentile" not in cleaning.scale(rows, ["v"], "robust")._jdf.queryExecution().executedPlan().toString()
+    assert ranges.quantiles(rows.where("v < 0"), "v", q).first().a is None

@@ -52,45 +52,50 @@ def cone_surface(atoms: DataFrame, cone: float = 45.0, points: int = 3000, block
 
 
 def _ring(u: np.ndarray) -> np.ndarray:
-    """Order of unit vectors: from the first, always on to the nearest that is left."""
-    order, left = [0], list(range(1, len(u)))
-    while left:
-        cos = u[left] @ u[order[-1]]
-        order.append(left.pop(int(np.argmax(cos))))
-    return np.array(order)
+    """Order of the unit vectors of each of several rings (rings, members, 3): from the first, always on to the
+    nearest that is left, the first of equal ones."""
+    rings, n, _ = u.shape
+    every, cos = np.arange(rings), np.einsum("rik,rjk->rij", u, u)
+    order, left = np.zeros((rings, n), np.int64), np.ones((rings, n), bool)
+    left[:, 0] = False
+    for k in range(1, n):
+        order[:, k] = np.argmax(np.where(left, cos[every, order[:, k - 1]], -np.inf), 1)
+        left[every, order[:, k]] = False
+    return order
 
 
 def _bend(u: np.ndarray, inward: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(angles between ring members, angles between the mean normal and those of adjacent pairs) in degrees."""
-    v = u[_ring(u)]
-    w = np.roll(v, -1, 0)
-    angles = np.degrees(np.arccos(np.clip((v * w).sum(1), -1, 1)))
-    if len(u) < 3:
-        return angles, np.zeros(len(u))
+    """For each of several rings of one size (angles between ring members, angles between the mean normal and
+    those of adjacent pairs) in degrees."""
+    v = np.take_along_axis(u, _ring(u)[:, :, None], 1)
+    w = np.roll(v, -1, 1)
+    angles = np.degrees(np.arccos(np.clip((v * w).sum(2), -1, 1)))
+    if u.shape[1] < 3:
+        return angles, np.zeros(angles.shape)
     normals = np.cross(v, w)
-    size = np.linalg.norm(normals, axis=1)
+    size = np.linalg.norm(normals, axis=2)
     some = size > 0
-    normals[some] /= size[some, None]
-    normals[(normals @ inward) > 0] *= -1
-    mean = normals[some].mean(0) if some.any() else np.zeros(3)
-    length = np.linalg.norm(mean)
-    dot = normals @ (mean / length if length else mean)
+    normals /= np.where(some, size, 1)[:, :, None]
+    normals[np.einsum("rik,rk->ri", normals, inward) > 0] *= -1
+    mean = normals.sum(1) / np.maximum(some.sum(1), 1)[:, None]
+    length = np.linalg.norm(mean, axis=1)
+    dot = np.einsum("rik,rk->ri", normals, mean / np.where(length > 0, length, 1)[:, None])
     dot[np.abs(dot - 1) < 1e-6] = 1
     return angles, np.where(some, np.degrees(np.arccos(np.clip(dot, -1, 1))), 0.0)
 
 
-def _facet(angles: np.ndarray, curves: np.ndarray) -> int:
-    """1: 100, 2: 111, 3: 110, 4: 311, 0: none, by ring size, curvature and angles."""
-    n, between = len(angles), lambda lo, hi: bool(((angles >= lo) & (angles <= hi)).all())
-    flat, bent = bool((curves <= 15).all()), bool((curves >= 15).all())
-    if n == 4 and flat and between(70, 110):
-        return 1
-    if n == 6 and bent and between(40, 80):
-        return 3
-    if n == 6 and flat and between(40, 80):
-        return 2
-    near = ((angles > 50) & (angles < 70)).sum(), ((angles > 80) & (angles < 100)).sum()
-    return 4 if n == 5 and bent and near == (3, 2) else 0
+def _facet(angles: np.ndarray, curves: np.ndarray) -> np.ndarray:
+    """For each of several rings of one size 1: 100, 2: 111, 3: 110, 4: 311, 0: none, by ring size, curvature and angles."""
+    n, between = angles.shape[1], lambda lo, hi: ((angles >= lo) & (angles <= hi)).all(1)
+    flat, bent = (curves <= 15).all(1), (curves >= 15).all(1)
+    if n == 4:
+        return np.where(flat & between(70, 110), 1, 0)
+    if n == 6:
+        return np.where(between(40, 80), np.where(bent, 3, np.where(flat, 2, 0)), 0)
+    if n == 5:
+        near = ((angles > 50) & (angles < 70)).sum(1), ((angles > 80) & (angles < 100)).sum(1)
+        return np.where(bent & (near[0] == 3) & (near[1] == 2), 4, 0)
+    return np.zeros(len(angles), np.int64)
 
 
 def curvature(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -105,10 +110,13 @@ def curvature(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
             inward = np.stack([b.column(c).to_numpy() for c in "xyz"], 1)
             inward /= np.maximum(np.linalg.norm(inward, axis=1, keepdims=True), 1e-300)
             curve, facet = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
-            for k, members in enumerate(b.column("ring").to_pylist()):
-                if len(members) > 1:
-                    angles, curves = _bend(np.array([[m["x"], m["y"], m["z"]] for m in members]), inward[k])
-                    curve[k], facet[k] = curves.mean(), _facet(angles, curves)
+            ring = b.column("ring")
+            members, count = ring.flatten(), np.diff(ring.offsets.to_numpy())
+            u, start = np.stack([members.field(c).to_numpy() for c in "xyz"], 1), np.cumsum(count) - count
+            for n in np.unique(count[count > 1]).tolist():  # all atoms with rings of one size at once
+                rows = np.flatnonzero(count == n)
+                angles, curves = _bend(u[start[rows, None] + np.arange(n)], inward[rows])
+                curve[rows], facet[rows] = curves.mean(1), _facet(angles, curves)
             yield pa.record_batch([b.column("frame"), b.column("atom_id"), pa.array(curve), pa.array(facet)], ["frame", "atom_id", "curve", "facet"])
 
     found = rows.mapInArrow(bend, "frame long, atom_id long, curve double, facet int")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from granula.operators import cases, cleaning, ranges
+from granula.operators import cases, cleaning, ranges, surface
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["angle_g3_2", "angle_g3_2_normalised", "angle_g3_normalised", "angle_g3_partial", "bonds_periodic", "chains", "q6_connectivity", "q6_histogram", "coord_hist", "coord_scope_avg", "gcn",
@@ -58,3 +58,26 @@ def test_quantiles_meet_in_no_task(spark):
     assert ranges.quantiles(rows, "v", q).first() == want
     assert "percentile" not in cleaning.scale(rows, ["v"], "robust")._jdf.queryExecution().executedPlan().toString()
     assert ranges.quantiles(rows.where("v < 0"), "v", q).first().a is None
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 9])
+def test_rings_of_a_size_bend_at_once(n):
+    r = np.random.default_rng(n)
+    turn = np.arange(n) * 2 * np.pi / n
+    u = np.concatenate([r.normal(size=(30, n, 3)), np.stack([np.cos(turn), np.sin(turn), 0 * turn], 1) + r.normal(size=(30, n, 3)) * 0.05])
+    u /= np.linalg.norm(u, axis=2, keepdims=True)
+    inward = r.normal(size=(60, 3))
+    angles, curves = surface._bend(u, inward)
+    for k in range(60):
+        order, left = [0], list(range(1, n))
+        while left:
+            order.append(left.pop(int(np.argmax(u[k][left] @ u[k][order[-1]]))))
+        v = u[k][order]
+        w = np.roll(v, -1, 0)
+        assert np.allclose(angles[k], np.degrees(np.arccos(np.clip((v * w).sum(1), -1, 1))))
+        if n > 2:
+            normals = np.cross(v, w)
+            normals *= np.where(normals @ inward[k] > 0, -1, 1)[:, None] / np.linalg.norm(normals, axis=1)[:, None]
+            mean = normals.mean(0)
+            assert np.allclose(curves[k], np.degrees(np.arccos(np.clip(normals @ mean / np.linalg.norm(mean), -1, 1))), atol=0.1)  # cosines within 1e-6 of 1 are 1
+    assert len(surface._facet(angles, curves)) == 60

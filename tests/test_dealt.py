@@ -81,3 +81,11 @@ def test_rings_of_a_size_bend_at_once(n):
             mean = normals.mean(0)
             assert np.allclose(curves[k], np.degrees(np.arccos(np.clip(normals @ mean / np.linalg.norm(mean), -1, 1))), atol=0.1)  # cosines within 1e-6 of 1 are 1
     assert len(surface._facet(angles, curves)) == 60
+
+
+@pytest.mark.parametrize("name", ["gcn", "surf_gcn", "gcn_partial", "coord_hist", "coord_scope_avg"])
+def test_bonds_are_found_once(spark, name):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall(r"ShuffledHashJoin \[frame#\d+L?, cell#", plan)) == 1

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +85,45 @@ def selectivity(density: DataFrame, curve: DataFrame, key: str, low: float = LOW
     ratio = F.try_divide(F.col("oh") - F.col("ol"), F.col("qh") - F.col("ql")) / 2
     within = (F.col("ol") > F.col("ql")) & (F.col("oh") < F.col("qh"))
     return g.select(key, (1 - F.abs(F.col("xp") - F.col("xq")) / (high - low)).alias("selectivity"), F.coalesce(F.when(within, 1 - ratio).otherwise(ratio), F.lit(0.0)).alias("specificity"), "sensitivity")
+
+
+def fits(rows: DataFrame, key: str, value: str, curve: DataFrame, low: float = LOW, high: float = HIGH, end: float = END, step: float = STEP) -> DataFrame:
+    """:func:`selectivity` of the groups' :func:`densities`, whose grid stays in the task: a group comes as one row of
+    its distinct values and leaves as its three numbers. The curve is a grid's worth of numbers, in ascending ``k``.
+    """
+    n = grid_points(low, end, step)
+    grid = curve.select(F.struct("k", "x", "q", (F.col("q") * simpson_weight(F.col("k"), n, step)).alias("qs")).alias("c")).agg(F.array_sort(F.collect_list("c")).alias("c"))
+    v = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("m"))
+    iqr = F.percentile("v", 0.75, F.col("m")) - F.percentile("v", 0.25, F.col("m"))
+    groups = v.groupBy(key).agg(F.collect_list("v").alias("v"), F.collect_list("m").alias("m"), iqr.alias("iqr")).where(F.size("v") > 1)
+
+    @F.arrow_udf("selectivity double, specificity double, sensitivity double")
+    def fit(v: pa.Array, m: pa.Array, iqr: pa.Array, *curve: pa.Array) -> pa.Array:
+        out = []
+        x, q, qs = (c[0].values.to_numpy() for c in curve)  # alike in all rows
+        half_q = x[q > q.max() / 2]
+        ql, qh, xq = half_q.min(), half_q.max(), x[np.argmax(q)]
+        for vs, ms, between in zip(v, m, iqr.to_numpy(), strict=True):
+            values, counts, p = vs.values.to_numpy(), ms.values.to_numpy().astype(float), np.zeros(len(x))
+            size = counts.sum()
+            sd = math.sqrt(((values - values @ counts / size) ** 2) @ counts / (size - 1))
+            width = (min(sd, between / 1.3489795003921634) if between > 0 else sd) * (size * 3 / 4) ** -0.2
+            for k in range(0, len(x), 1024):  # blocks that stay in a core's cache
+                for i in range(0, len(values), 32):
+                    z = np.subtract.outer(x[k : k + 1024] / width, values[i : i + 32] / width)
+                    z *= z
+                    z *= -0.5
+                    p[k : k + 1024] += np.exp(z, out=z) @ counts[i : i + 32]
+            p /= size * width * math.sqrt(2 * math.pi)
+            o = np.where((p != 0) & (q != 0), np.minimum(p, q), -np.inf)
+            over = x[o > o.max() / 2] if o.max() > 0 else x[:0]
+            specificity = 0.0
+            if len(over) and qh > ql:
+                ol, oh = over.min(), over.max()
+                ratio = (oh - ol) / (qh - ql) / 2
+                specificity = 1 - ratio if ol > ql and oh < qh else ratio
+            out.append((1 - abs(x[np.argmax(p)] - xq) / (high - low), specificity, float(p @ qs)))
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in out], pa.float64()) for k in range(3)], ["selectivity", "specificity", "sensitivity"])
+
+    found = groups.join(F.broadcast(grid)).withColumn("f", fit("v", "m", "iqr", "c.x", "c.q", "c.qs"))
+    return found.select(key, "f.*")

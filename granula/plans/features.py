@@ -126,7 +126,7 @@ def reaction_selectivity(spark, sf):
     """How well each frame's generalised coordination numbers fit an activity curve."""
     a = atoms(spark, sf)
     g = st.generalised(a, nb.both_ways(nb.half_bonds(a)))
-    s = selectivity.selectivity(selectivity.densities(g, "frame", "gcn"), selectivity.activity_curve(spark, _LINES), "frame")
+    s = selectivity.fits(g, "frame", "gcn", selectivity.activity_curve(spark, _LINES))
     return s.select("frame", F.round("selectivity", 4).alias("selectivity"), F.round("specificity", 4).alias("specificity"), F.round("sensitivity", 6).alias("sensitivity"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from granula.operators import cases, cleaning, ranges, surface
+from granula.operators import cases, cleaning, ranges, selectivity, surface
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["angle_g3_2", "angle_g3_2_normalised", "angle_g3_normalised", "angle_g3_partial", "bonds_periodic", "chains", "q6_connectivity", "q6_histogram", "coord_hist", "coord_scope_avg", "gcn",
@@ -83,7 +83,21 @@ def test_rings_of_a_size_bend_at_once(n):
     assert len(surface._facet(angles, curves)) == 60
 
 
-@pytest.mark.parametrize("name", ["gcn", "surf_gcn", "gcn_partial", "coord_hist", "coord_scope_avg"])
+def test_fits_are_selectivity_of_densities(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, None if i == 7 else round(float(x), 1)) for g, n in (("a", 300), ("b", 2), ("c", 40)) for i, x in enumerate(r.normal(2.5, 0.5, n))] + [("one", 2.0)] * 3
+    rows += [("flat", 2.0)] * 20 + [("flat", 3.0)] + [("nan", float("nan"))] * 2
+    df = spark.createDataFrame(rows, "g string, v double")
+    grid = {"low": 1.0, "end": 4.0, "step": 0.02}
+    curve = selectivity.activity_curve(spark, [(1.0, 0.0), (-1.0, 5.0)], **grid)
+    want = {x.g: x[1:] for x in selectivity.selectivity(selectivity.densities(df, "g", "v", **grid), curve, "g", high=4.0, **grid).collect()}
+    got = {x.g: x[1:] for x in selectivity.fits(df, "g", "v", curve, high=4.0, **grid).collect()}
+    assert got.keys() == want.keys() and "flat" in want and "one" not in want
+    for g in want:
+        assert got[g] == pytest.approx(want[g], abs=1e-9), g
+
+
+@pytest.mark.parametrize("name", ["gcn", "surf_gcn", "gcn_partial", "coord_hist", "coord_scope_avg", "reaction_selectivity"])
 def test_bonds_are_found_once(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no tables")

@@ -82,7 +82,7 @@ def _cut_rest(items: Iterator[tuple], window: int) -> Iterator[list]:
                 room = sizes[at] if at < len(sizes) else 0
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, remembered: int = 500_000) -> DataFrame:
     """Pack all documents (doc_id, text) into sequences of ``window`` (a power of two) tokens.
 
     Returns a row for each piece: doc_id, start (its document's ids before it), length,
@@ -94,6 +94,9 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
     its open windows only. sequence_id has the split's number in its upper bits; a task that
     is run again gives the same rows.
 
+    A Python worker remembers the ids of up to twice ``remembered`` pieces of text: more of them
+    take memory, fewer take time.
+
     Null and empty texts are documents of the end id alone; null doc_ids stay null; repeated
     rows are packed each. An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
@@ -103,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
     batch_rows(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer, False), SumOfSquares(window)
+        encode, packer = encoder(tokenizer, False, most=remembered), SumOfSquares(window)
         first, count = TaskContext.get().partitionId() << 33, 0
         out: list[tuple] = []
 

@@ -36,7 +36,7 @@ def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.digest(packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.digest(packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), remembered=1_000_000))
 
 
 def op6_topk_search(spark: SparkSession, sf: str) -> DataFrame:

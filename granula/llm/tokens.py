@@ -132,6 +132,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, lossy_space: bool, plain: bool = False) -> Encoder:
+def encoder(path: str, lossy_space: bool, plain: bool = False, most: int = 500_000) -> Encoder:
     """One encoder a Python worker; its cache lasts over tasks."""
-    return Encoder(path, lossy_space, plain=plain)
+    return Encoder(path, lossy_space, most, plain)

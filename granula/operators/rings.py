@@ -4,44 +4,58 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granula.operators.ranges import dealt
 
-def _not_in(rows: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows whose ``a`` and ``b`` are not one of ``pairs`` (frame, i, j)."""
-    return rows.join(pairs.select("frame", F.col("i").alias(a), F.col("j").alias(b)), ["frame", a, b], "left_anti")
 
+def _neighbours(bonds: DataFrame) -> DataFrame:
+    """(frame, i, n): the distinct other atoms that each atom of ``bonds`` (frame, i, j; both directions) is bonded to."""
+    return bonds.where("i <> j").groupBy("frame", "i").agg(F.collect_set("j").alias("n"))
 
-def _least(a: str, *others: str) -> Column:
-    return reduce(lambda x, y: x & y, (F.col(a) < F.col(o) for o in others))
 
+def _of(adjacent: DataFrame, atom: str) -> DataFrame:
+    """The neighbours ``n_<atom>`` of an atom in column ``atom``, as the side of a join to hash."""
+    return adjacent.select("frame", F.col("i").alias(atom), F.col("n").alias(f"n_{atom}")).hint("shuffle_hash")
 
-def rings(bonds: DataFrame) -> DataFrame:
+
+def rings(bonds: DataFrame, n: int | None = None) -> DataFrame:
     """(frame, size, n): rings of three to six atoms in which any two atoms are as far apart by bonds as they are
     along the ring, each counted once. ``bonds`` (frame, i, j) hold both directions.
 
     A ring of 2m atoms is two shortest paths of m bonds between opposite atoms, one of 2m + 1 an atom and a
-    bond opposite it; its least atom comes first, so it is met once. Every join is on equality of
-    atoms, and distances that must not be shorter are anti-joins with the pairs one and two bonds
-    apart. Repeated bonds count once, bonds of an atom with itself not at all; a size without a
-    ring has no row.
+    bond opposite it; its least atom comes first, so it is met once. Paths carry the neighbours of
+    their atoms: that two atoms are one bond apart is seen in one's, two bonds in both's, so nothing is
+    joined to find out, and all joins and groups are by atoms of a frame, which stay where the
+    frames are. Repeated bonds count once, bonds of an atom with itself not at all; a size without a
+    ring has no row. With ``n``, how many atoms there are, the neighbours are dealt by frame in a shuffle that all
+    steps read, so bonds are found once.
     """
-    e = bonds.where("i <> j").select("frame", "i", "j").distinct()
-    two = e.select("frame", F.col("i").alias("a"), F.col("j").alias("b")).join(e.select("frame", F.col("i").alias("b"), F.col("j").alias("c")), ["frame", "b"]).where("a <> c")
-    two = _not_in(two, e, "a", "c").select("frame", "a", "b", "c")
-    near = e.unionByName(two.select("frame", F.col("a").alias("i"), F.col("c").alias("j")).distinct())
-    three = _not_in(two.join(e.select("frame", F.col("i").alias("c"), F.col("j").alias("d")), ["frame", "c"]).where("d <> a and d <> b"), near, "a", "d").select("frame", "a", "b", "c", "d")
-    size3 = e.where("i < j").select("frame", F.col("i").alias("a"), F.col("j").alias("b")).join(e.where("i < j").select("frame", F.col("i").alias("b"), F.col("j").alias("c")), ["frame", "b"]).join(e.select("frame", F.col("i").alias("a"), F.col("j").alias("c")), ["frame", "a", "c"])
-    other = two.select("frame", "a", F.col("b").alias("d"), "c")
-    size4 = _not_in(two.where("a < b and a < c").join(other, ["frame", "a", "c"]).where("b < d"), e, "b", "d")
-    first = two.where(_least("a", "b", "c"))
-    size5 = first.join(e.where("i < j").select("frame", F.col("i").alias("c"), F.col("j").alias("d")), ["frame", "c"]).join(first.select("frame", "a", F.col("b").alias("f"), F.col("c").alias("d")), ["frame", "a", "d"]).where("b <> f")
-    for a, b in (("b", "f"), ("b", "d"), ("f", "c")):
-        size5 = _not_in(size5, e, a, b)
-    half = three.where(_least("a", "b", "c", "d"))
-    size6 = half.join(half.select("frame", "a", F.col("b").alias("f"), F.col("c").alias("g"), "d"), ["frame", "a", "d"]).where("b < f and c <> g")
-    for pairs, a, b in ((e, "b", "f"), (e, "c", "g"), (near, "b", "g"), (near, "f", "c")):
-        size6 = _not_in(size6, pairs, a, b)
-    counts = [r.groupBy("frame").agg(F.count("*").alias("n")).select("frame", F.lit(k).alias("size"), "n") for k, r in ((3, size3), (4, size4), (5, size5), (6, size6))]
+    adjacent = _neighbours(bonds)
+    if n is not None:
+        # In smaller parts than atoms are, else Spark finds them dealt, drops the shuffle and builds the bonds again for each step.
+        adjacent = dealt(adjacent, "frame", n, 12_500)
+    start = adjacent.select("frame", F.col("i").alias("a"), F.col("n").alias("n_a"))
+    # From the least atom a over b: the way is held as b and its neighbours, the end c of two bonds in a row with all its ways.
+    over = start.select("frame", "a", "n_a", F.explode("n_a").alias("b")).where("a < b").join(_of(adjacent, "b"), ["frame", "b"])
+    ends = over.select("frame", "a", "b", "n_b", "n_a", F.explode("n_b").alias("c")).where("c > a")
+    size3 = ends.where("b < c and array_contains(n_a, c)")
+    two = ends.where("not array_contains(n_a, c)").groupBy("frame", "a", "c").agg(F.collect_list(F.struct("b", "n_b")).alias("ways"), F.first("n_a").alias("n_a"))
+    both = lambda rows, x, y, *more: rows.select("frame", *more, F.explode(x).alias("u"), y).select("frame", *more, "u", F.explode(y).alias("v"))
+    size4 = both(two.where("size(ways) > 1").withColumn("others", F.col("ways")), "ways", "others").where("u.b < v.b and not array_contains(u.n_b, v.b)")
+    far = two.join(_of(adjacent, "c"), ["frame", "c"])
+    on = far.select("frame", "a", "n_a", "c", "n_c", "ways", F.explode("n_c").alias("d")).where("d > a")
+    opposite = two.select("frame", "a", F.col("c").alias("d"), F.col("ways").alias("others")).hint("shuffle_hash")
+    size5 = both(on.where("c < d").join(opposite, ["frame", "a", "d"]), "ways", "others", "c", "d")
+    size5 = size5.where("not array_contains(u.n_b, d) and not array_contains(v.n_b, c) and not array_contains(u.n_b, v.b)")
+    third = on.join(_of(adjacent, "d"), ["frame", "d"]).where("not array_contains(n_a, d) and not arrays_overlap(n_a, n_d)")
+    three = third.groupBy("frame", "a", "d").agg(F.collect_list(F.struct("c", "n_c", "ways")).alias("paths")).where("size(paths) > 1").withColumn("others", F.col("paths"))
+    pairs = both(three, "paths", "others").where("u.c < v.c")
+    pairs = pairs.select("frame", F.col("u.c").alias("c"), F.col("u.n_c").alias("n_c"), F.col("v.c").alias("g"), F.col("v.n_c").alias("n_g"), F.col("u.ways").alias("ways"), F.col("v.ways").alias("others"))
+    size6 = both(pairs.where("not array_contains(n_c, g)"), "ways", "others", "c", "n_c", "g", "n_g").where(
+        """u.b <> v.b and not array_contains(u.n_b, v.b) and not array_contains(u.n_b, g) and not array_contains(v.n_b, c)
+        and not arrays_overlap(u.n_b, n_g) and not arrays_overlap(v.n_b, n_c)""")
+    # A size is counted in tasks of its own: one task for all would hold their hash tables and sorts, a page of memory each, at once.
+    counts = [r.groupBy("frame").agg(F.count("*").alias("n")).repartition("frame").select("frame", F.lit(k).alias("size"), "n") for k, r in ((3, size3), (4, size4), (5, size5), (6, size6))]
     return reduce(DataFrame.unionByName, counts)

@@ -10,8 +10,8 @@ from granula.operators import neighbours as nb
 from granula.operators import structure as st
 from granula.sources import results
 from granula.plans import catalogue, more  # noqa: F401 - more adds to the catalogue
-from granula.plans.catalogue import _A, _B, _C, _H, ORACLES, query
-from granula.plans.views import atoms
+from granula.plans.catalogue import _A, _B, _C, _H, _bonds, ORACLES, query
+from granula.plans.views import atom_rows, atoms
 
 _ELEMENTS = ("Au", "Pt")
 #: Groups of features that have no SQL.
@@ -229,4 +229,4 @@ _FAR = lambda t, a, b: f"NOT EXISTS (SELECT 1 FROM near z WHERE z.frame = {t}.fr
     {" UNION ALL ".join(f"SELECT frame, {k} AS size, count(*) AS n FROM r{k} GROUP BY frame" for k in (3, 4, 5, 6))}""")
 def shortest_rings(spark, sf):
     """Rings of three to six bonds of each frame."""
-    return rings.rings(ranges.fixed(nb.both_ways(nb.half_bonds(atoms(spark, sf))).select("frame", "i", "j")))
+    return rings.rings(_bonds(spark, sf), atom_rows(spark, sf))

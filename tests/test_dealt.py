@@ -28,6 +28,16 @@ def test_bonds_cross_no_shuffle(spark, name):
     assert keys and all(k[0] == "frame" and not {"cell", "kx", "i", "j", "k", "atom_id"} & set(k) for k in keys), keys
 
 
+def test_rings_stay_in_their_frames(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    df = entry.queries()["shortest_rings"](spark, SF)
+    keys = shuffle_keys(df)
+    assert keys and all(k == ["frame"] for k in keys), keys
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Scan ExistingRDD" not in plan
+
+
 def test_other_queries_plan_as_before(spark):
     queries = entry.queries()
     queries["atoms_counts"](spark, SF)

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from granula.operators import graph, structure as st
@@ -93,3 +94,26 @@ def test_xyz_round_trip(spark, tmp_path):
     assert [(r.frame, r.element, r.x, r.surf) for r in got.orderBy("frame", "atom_id").collect()] == [(1, "Au", 0.0, 1), (1, "Co", 1.5, 0), (2, "Au", 1.0, None)]
     write_xyz(got, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).where("value like '%second%'").count() == 1
+
+
+def test_lindemann_over_gaps(spark):
+    r = np.random.default_rng(5)
+    assert st._as_slices(np.array([2, 3, 4]), np.array([0, 1])) == (slice(2, 5), slice(0, 2))
+    assert all(not isinstance(c, slice) for rows in ([0, 2], [0, 0, 2], []) for c in st._as_slices(np.array(rows, int), np.array([0, 1])))
+    at = {(f, i): r.normal(size=3) for f in range(6) for i in range(9) if f % 2 or i not in (0, 4)}
+    rows = [("a", f, i, *map(float, x)) for (f, i), x in at.items()]
+    atoms = spark.createDataFrame(rows, "conf_id string, frame long, atom_id long, x double, y double, z double")
+
+    def want(i, frames):
+        out = []
+        for j in range(9):
+            d = np.array([np.linalg.norm(at[f, i] - at[f, j]) for f in frames if i != j and (f, i) in at and (f, j) in at])
+            if len(d):
+                out.append(d.std() / d.mean())
+        return round(sum(out) / len(out), 6) if out else None
+
+    for window, spans in ((None, {0: range(6)}), (1, {f: range(f - 1, f + 2) for f in range(1, 5)})):
+        got = {(x["frame"] if window else 0, x.atom_id): x.lindemann for x in st.lindemann(atoms, window, 4).collect()}
+        expected = {(f, i): want(i, span) for f, span in spans.items() for i in range(9)}
+        assert got.keys() == {k for k, v in expected.items() if v is not None}
+        assert all(abs(got[k] - expected[k]) < 2e-6 for k in got)

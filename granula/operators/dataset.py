@@ -7,9 +7,9 @@ independently of each other and of the order of columns; names and order come fr
 from __future__ import annotations
 
 import math
-from itertools import product
+from itertools import combinations, product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granula.operators import structure as st
@@ -96,33 +96,43 @@ def _prefix(t: Column) -> Column:
     return F.when(t.isNull(), "MM").otherwise(F.concat(F.lit("Ele"), t, F.lit("M")))
 
 
-def _binned(rows: DataFrame, prefix: Column, kind: Column, bin_: Column, n: Column) -> DataFrame:
-    return rows.where(bin_ <= _MOST).select("frame", F.concat(prefix, F.lit("_"), kind, F.lit("_"), bin_).alias("feature"), n.cast("double").alias("value"))
+def _spread(rows: DataFrame, groups: list[str], kinds: dict[str, tuple[Column, Column, int]], prefix: Column, most: int = _MOST) -> DataFrame:
+    """How often each number up to ``most`` occurs, and the mean, of each of ``kinds`` (its number, what is averaged, how many times
+    its unit), in a frame by all subsets of ``groups`` (left out: null). The mean comes from the sums of the numbers' rows,
+    so ``rows`` are computed once."""
+    each = [F.struct(F.lit(k).alias("kind"), F.lit(unit).alias("unit"), bin_.cast("long").alias("bin"), v.cast("double").alias("v")) for k, (bin_, v, unit) in kinds.items()]
+    e = rows.select("frame", *groups, F.inline(F.array(*each)))
+    sets = [["frame", "kind", "unit", "bin", *g] for n in range(len(groups) + 1) for g in combinations(groups, n)]
+    h = e.groupingSets(sets, "frame", "kind", "unit", "bin", *groups).agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    bins = F.collect_list(F.when(F.col("bin") <= most, F.struct(F.col("bin").cast("string").alias("of"), F.col("n").cast("double").alias("value"))))
+    m = h.groupBy("frame", "kind", *groups).agg(bins.alias("bins"), st.r6(F.sum("v") / (F.first("unit") * F.sum("n"))).alias("mean"))
+    values = F.concat("bins", F.array(F.struct(F.lit("avg").alias("of"), F.col("mean").alias("value"))))
+    return m.select("frame", F.concat(prefix, F.col("kind"), F.lit("_")).alias("name"), F.inline(values)).select("frame", F.concat("name", "of").alias("feature"), "value")
 
 
 def coordination_features(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Histograms and means of coordination numbers, plain and generalised, of all, bulk and surface atoms,
     and of surface atoms among themselves; numbers over 20 have no column."""
-    scope = F.when(F.col("surf").isNull(), "T").when(F.col("surf") == 0, "B").otherwise("S")
-    g = st.generalised(atoms, bonds)
-    kind = F.concat(scope, F.upper("kind"))
-    out = _binned(st.coordination_histogram(g), _prefix(F.col("type_id")), kind, F.col("bin"), F.col("n"))
-    means = _named(st.coordination_means(g), F.concat(_prefix(F.col("type_id")), F.lit("_"), scope), {"CN_avg": F.col("avg_cn"), "GCN_avg": F.col("avg_gcn")})
+    kinds = lambda g, unit: {"CN": (F.col("cn"), F.col("cn"), 1), "GCN": (F.ceil("gcn"), g, unit)}
+    prefix = F.concat(_prefix(F.col("type_id")), F.lit("_"))
+    out = _spread(st.generalised(atoms, bonds), ["type_id", "surf"], kinds(F.round(F.col("gcn") * 12), 12), F.concat(prefix, _scope()))
     own = st.generalised(atoms.where("surf = 1"), bonds.where("si = 1 and sj = 1"), None)
-    own_bins = _binned(st.coordination_histogram(own).where("surf is null"), _prefix(F.col("type_id")), F.concat(F.lit("SO"), F.upper("kind")), F.col("bin"), F.col("n"))
-    own_means = own.groupingSets([["frame"], ["frame", "type_id"]], "frame", "type_id").agg(st.r6(F.avg("cn")).alias("avg_cn"), st.r6(F.avg("gcn")).alias("avg_gcn"))
-    own_means = _named(own_means, F.concat(_prefix(F.col("type_id")), F.lit("_SO")), {"CN_avg": F.col("avg_cn"), "GCN_avg": F.col("avg_gcn")})
-    return out.unionByName(means).unionByName(own_bins).unionByName(own_means)
+    return out.unionByName(_spread(own, ["type_id"], kinds(F.col("gcn"), 1), F.concat(prefix, F.lit("SO"))))
+
+
+def _scope() -> Column:
+    return F.when(F.col("surf").isNull(), "T").when(F.col("surf") == 0, "B").otherwise("S")
 
 
 def bond_features(half: DataFrame) -> DataFrame:
     """Bond lengths, shares of pairs of types, and the number of bonds."""
     pair = F.when(F.col("t1").isNull(), "MM").otherwise(F.concat(F.lit("Ele"), F.col("t1"), F.lit("Ele"), F.col("t2")))
-    l = st.bond_lengths(half)  # noqa: E741
-    stats = {"_BL_avg": F.col("avg_r"), "_BL_std": F.col("std_r"), "_BL_max": F.col("max_r"), "_BL_min": F.col("min_r"), "_BL_num": F.col("n")}
-    shares = st.bond_fractions(half).select("frame", F.concat(pair, F.lit("_frac")).alias("feature"), F.col("fraction").alias("value"))
-    number = l.where("t1 is null").select("frame", F.lit("N_bond").alias("feature"), F.col("n").cast("double").alias("value"))
-    return _named(l, pair, stats).unionByName(shares).unionByName(number)
+    total = F.sum(F.when(F.col("t1").isNull(), F.col("n"))).over(Window.partitionBy("frame"))
+    l = st.bond_lengths(half).withColumn("fraction", st.r6(F.col("n") / total))  # noqa: E741
+    stats = {"_BL_avg": F.col("avg_r"), "_BL_std": F.col("std_r"), "_BL_max": F.col("max_r"), "_BL_min": F.col("min_r"), "_BL_num": F.col("n"), "_frac": F.col("fraction")}
+    # All bonds have no share, in its place is their number.
+    rows = _named(l.withColumn("fraction", F.when(F.col("t1").isNull(), F.col("n")).otherwise(F.col("fraction"))), pair, stats)
+    return rows.withColumn("feature", F.when(F.col("feature") == "MM_frac", "N_bond").otherwise(F.col("feature")))
 
 
 def _of_types(columns: list[str]) -> Column:
@@ -147,12 +157,10 @@ def torsion_features(bonds: DataFrame) -> DataFrame:
 
 def order_features(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Numbers of like-oriented neighbours of all, bulk and surface atoms."""
-    q = st.bond_order(atoms, bonds)
-    scope = F.when(F.col("surf").isNull(), "T").when(F.col("surf") == 0, "B").otherwise("S")
-    bin_ = F.when(F.col("bin") > _MOST, f"{_MOST}+").otherwise(F.col("bin").cast("string"))
-    h = st.bond_order_histogram(atoms, q, _MOST).select("frame", F.concat(F.lit("q6q6_"), scope, F.lit("_"), bin_).alias("feature"), F.col("n").cast("double").alias("value"))
-    means = atoms.select("frame", "atom_id", "surf").join(q, ["frame", "atom_id"]).groupingSets([["frame"], ["frame", "surf"]], "frame", "surf").agg(st.r6(F.avg("q6q6")).alias("value"))
-    return h.unionByName(means.select("frame", F.concat(F.lit("q6q6_"), scope, F.lit("_avg")).alias("feature"), "value"))
+    q = atoms.select("frame", "atom_id", "surf").join(st.bond_order(atoms, bonds), ["frame", "atom_id"])
+    rows = _spread(q, ["surf"], {"": (F.least("q6q6", F.lit(_MOST + 1)), F.col("q6q6"), 1)}, F.concat(F.lit("q6q6_"), _scope()), most=_MOST + 1)
+    last = F.endswith("feature", F.lit(f"_{_MOST + 1}"))
+    return rows.withColumn("feature", F.when(last, F.replace("feature", F.lit(f"_{_MOST + 1}"), F.lit(f"_{_MOST}+"))).otherwise(F.col("feature")))
 
 
 def features_long(atoms: DataFrame, half: DataFrame, bonds: DataFrame, curves: DataFrame | None = None) -> DataFrame:

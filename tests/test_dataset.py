@@ -1,9 +1,15 @@
 """The published dataset: names by rule, the pivot, derived columns."""
 
+import os
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from granula.operators import dataset
 
+SF = "/root/testdata/sf0.001"
 COUNTS = {"MM_TCN_3": 5, "N_atom_total": 10, "N_Ele1": 4, "N_Ele2": 6, "R_avg": 2.0, "Ele1M_SCN_1": 1, "Ele1M_SCN_3": 2, "Ele2M_SCN_7": 4, "Ele2M_SCN_8": 9, "Ele2M_SCN_9": 3}
 
 
@@ -51,3 +57,19 @@ def test_published(spark, measured):
 def test_empty(spark):
     none = spark.createDataFrame([], "frame long, feature string, value double")
     assert dataset.wide(none).count() == 0
+
+
+def test_groups_share_their_bonds(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    plan = entry.queries()["dataset_long"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < len(re.findall(r"HashJoin \[frame#\w+, cell#", plan)) <= 14
+
+
+def test_spread(spark):
+    rows = [(1, 1, 2.0), (1, 1, 25.0), (1, 2, 2.0), (2, 2, 0.0)]
+    df = spark.createDataFrame(rows, "frame long, type_id int, x double")
+    got = dataset._spread(df, ["type_id"], {"X": (F.ceil("x"), F.col("x") * 2, 2)}, F.concat(F.coalesce(F.col("type_id").cast("string"), F.lit("all")), F.lit("_")))
+    want = {(1, "all_X_2"): 2, (1, "1_X_2"): 1, (1, "2_X_2"): 1, (2, "all_X_0"): 1, (2, "2_X_0"): 1}
+    want |= {(1, "all_X_avg"): round(29 / 3, 6), (1, "1_X_avg"): 13.5, (1, "2_X_avg"): 2, (2, "all_X_avg"): 0, (2, "2_X_avg"): 0}
+    assert {(r.frame, r.feature): r.value for r in got.collect()} == want and got.count() == len(want)

@@ -282,3 +282,18 @@ def test_encoder_equals_library(name, lossy, plain):
         some = texts[k : k + 200]
         whole = library.encode_batch_fast(some, add_special_tokens=False)
         assert encode(some) == [np.array(x.ids, "<u4").tobytes() for x in whole]
+
+
+def test_signatures_in_parts():
+    found = [bytes([65 + i % 26]) * (1 + i * 37 % 3000) for i in range(300)]
+    whole = lines.signatures(found, 1 << 30)
+    assert all((lines.signatures(found, most) == whole).all() for most in (1, 500, 1 << 16))
+
+
+def test_texts_are_not_sorted_for_their_lines(spark):
+    text = "a line that comes twice\n \x0b\t\n\xa0\nA line that comes twice\na line that comes twice\n"
+    out = lines.dedup_lines(spark.createDataFrame([(1, text), (2, None), (3, " \x0c ")], "doc_id long, text string"))
+    assert {r.doc_id: r.n_lines for r in out.collect()} == {1: 4, 2: 0, 3: 0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joined = [x for x in plan.splitlines() if "Join [__k#" in x]
+    assert joined and all("ShuffledHashJoin" in x for x in joined)

@@ -70,9 +70,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with a checksum of their ids.
 
     Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives
-    no pieces.
+    no pieces. The workers' memory of pieces ends with their tasks, as they serve other stages too.
     """
-    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), lasting=False))
 
 
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix_sources), ("pack", pack)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granula.llm.common import batch_rows, text_chunks
-from granula.llm.tokens import encoder
+from granula.llm.tokens import Encoder, encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -82,7 +82,7 @@ def _cut_rest(items: Iterator[tuple], window: int) -> Iterator[list]:
                 room = sizes[at] if at < len(sizes) else 0
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, remembered: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, remembered: int = 500_000, lasting: bool = True) -> DataFrame:
     """Pack all documents (doc_id, text) into sequences of ``window`` (a power of two) tokens.
 
     Returns a row for each piece: doc_id, start (its document's ids before it), length,
@@ -95,7 +95,8 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
     is run again gives the same rows.
 
     A Python worker remembers the ids of up to twice ``remembered`` pieces of text: more of them
-    take memory, fewer take time.
+    take memory, fewer take time. What it remembers is there for its next task; unless ``lasting``, it is
+    given back at a task's end, for workers that go on to other work.
 
     Null and empty texts are documents of the end id alone; null doc_ids stay null; repeated
     rows are packed each. An empty table gives no rows. Other columns of ``docs`` are ignored.
@@ -106,7 +107,15 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
     batch_rows(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer, False, most=remembered), SumOfSquares(window)
+        encode = encoder(tokenizer, False, most=remembered)
+        try:
+            yield from packed(batches, encode)
+        finally:
+            if not lasting:
+                encode.forget()
+
+    def packed(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[pa.RecordBatch]:
+        packer = SumOfSquares(window)
         first, count = TaskContext.get().partitionId() << 33, 0
         out: list[tuple] = []
 

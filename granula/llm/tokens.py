@@ -59,6 +59,10 @@ class Encoder:
         self.model = self.tokenizer.model
         self.lower = lossy_space
         self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        """Give the memory of pieces back."""
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 

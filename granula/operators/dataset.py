@@ -12,8 +12,8 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granula.operators import paths, surface
 from granula.operators import structure as st
-from granula.operators import surface
 
 #: Names of the scopes of coordination, of statistics, of facets and of lattice classes.
 SCOPES = ("T", "B", "S", "SO")
@@ -85,11 +85,13 @@ def radius_features(atoms: DataFrame) -> DataFrame:
 
 
 def surface_features(curves: DataFrame) -> DataFrame:
-    """Facets, and curvature in steps of ten degrees, of surface atoms with their curvature."""
-    steps = st.rebin(surface.curvature_histogram(curves))
-    low = (10 * F.col("part") + 1).cast("int")
-    curve = steps.select("frame", F.concat(F.lit("Curve_"), low, F.lit("-"), low + 9).alias("feature"), F.col("n").cast("double").alias("value"))
-    return _long(surface.facet_counts(curves), {f"S_{k}": F.col(f"f{k}") for k in FACETS}).unionByName(curve)
+    """Facets, and curvature in steps of ten degrees, of surface atoms with their curvature; both from one pass over ``curves``."""
+    low = 10 * F.floor((surface.whole_degrees() - 1) / 10) + 1
+    n = curves.groupBy("frame", low.cast("int").alias("low")).agg(F.count("*").alias("n"), *[F.count_if(F.col("facet") == k).alias(f"f{name}") for k, name in enumerate(FACETS, 1)])
+    one = lambda name, value: F.struct(name.alias("feature"), value.cast("double").alias("value"))
+    steps = F.collect_list(one(F.concat(F.lit("Curve_"), "low", F.lit("-"), F.col("low") + 9), F.col("n")))
+    s = n.groupBy("frame").agg(steps.alias("steps"), *[F.sum(f"f{k}").alias(f"f{k}") for k in FACETS])
+    return s.select("frame", F.inline(F.concat("steps", F.array(*[one(F.lit(f"S_{k}"), F.col(f"f{k}")) for k in FACETS]))))
 
 
 def _prefix(t: Column) -> Column:
@@ -110,29 +112,8 @@ def _spread(rows: DataFrame, groups: list[str], kinds: dict[str, tuple[Column, C
     return m.select("frame", F.concat(prefix, F.col("kind"), F.lit("_")).alias("name"), F.inline(values)).select("frame", F.concat("name", "of").alias("feature"), "value")
 
 
-def coordination_features(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Histograms and means of coordination numbers, plain and generalised, of all, bulk and surface atoms,
-    and of surface atoms among themselves; numbers over 20 have no column."""
-    kinds = lambda g, unit: {"CN": (F.col("cn"), F.col("cn"), 1), "GCN": (F.ceil("gcn"), g, unit)}
-    prefix = F.concat(_prefix(F.col("type_id")), F.lit("_"))
-    out = _spread(st.generalised(atoms, bonds), ["type_id", "surf"], kinds(F.round(F.col("gcn") * 12), 12), F.concat(prefix, _scope()))
-    own = st.generalised(atoms.where("surf = 1"), bonds.where("si = 1 and sj = 1"), None)
-    return out.unionByName(_spread(own, ["type_id"], kinds(F.col("gcn"), 1), F.concat(prefix, F.lit("SO"))))
-
-
-def _scope() -> Column:
-    return F.when(F.col("surf").isNull(), "T").when(F.col("surf") == 0, "B").otherwise("S")
-
-
-def bond_features(half: DataFrame) -> DataFrame:
-    """Bond lengths, shares of pairs of types, and the number of bonds."""
-    pair = F.when(F.col("t1").isNull(), "MM").otherwise(F.concat(F.lit("Ele"), F.col("t1"), F.lit("Ele"), F.col("t2")))
-    total = F.sum(F.when(F.col("t1").isNull(), F.col("n"))).over(Window.partitionBy("frame"))
-    l = st.bond_lengths(half).withColumn("fraction", st.r6(F.col("n") / total))  # noqa: E741
-    stats = {"_BL_avg": F.col("avg_r"), "_BL_std": F.col("std_r"), "_BL_max": F.col("max_r"), "_BL_min": F.col("min_r"), "_BL_num": F.col("n"), "_frac": F.col("fraction")}
-    # All bonds have no share, in its place is their number.
-    rows = _named(l.withColumn("fraction", F.when(F.col("t1").isNull(), F.col("n")).otherwise(F.col("fraction"))), pair, stats)
-    return rows.withColumn("feature", F.when(F.col("feature") == "MM_frac", "N_bond").otherwise(F.col("feature")))
+def _scope(surf: Column) -> Column:
+    return F.when(surf.isNull(), "T").when(surf == 0, "B").otherwise("S")
 
 
 def _of_types(columns: list[str]) -> Column:
@@ -140,37 +121,54 @@ def _of_types(columns: list[str]) -> Column:
     return F.when(F.col(columns[0]).isNull(), all_).otherwise(F.concat(*[x for c in columns for x in (F.lit("Ele"), F.col(c))]))
 
 
-def angle_features(bonds: DataFrame) -> DataFrame:
-    """Angles between first neighbours (BA1) and over second ones (BA2), all and by ordered types."""
-    values = {"avg": "avg_deg", "std": "std_deg", "max": "max_deg", "min": "min_deg", "num": "n"}
-    each = lambda k: {f"_{k}_{s}": F.col(c) for s, c in values.items()}
-    of = _of_types(["ti", "tj", "tk"])
-    return _named(st.angle_stats(st.first_shell_angles(bonds)), of, each("BA1")).unionByName(_named(st.angle_stats(st.second_shell_angles(bonds)), of, each("BA2")))
+def _groups(kind: Column) -> Column:
+    """By which types (null: all) a row of :func:`granula.operators.paths.all_sums` counts: numbers of atoms by all subsets of type and surface
+    flag, numbers on the surface by type or not, q6q6 by surface flag or not, lengths and angles by all types on the way or none."""
+    of = [F.col(c) for c in ("ti", "tj", "tk", "tl")]
+    none = F.lit(None).cast("int")
+    by = lambda *c: F.struct(*[x.alias(k) for k, x in zip(("ti", "tj", "tk", "tl"), [*c, *[none] * (4 - len(c))], strict=True)])
+    return F.when(kind.isin("CN", "GCN"), F.array(by(), by(of[0]), by(none, of[1]), by(of[0], of[1]))).otherwise(F.array(by(), by(*of)))
 
 
-def torsion_features(bonds: DataFrame) -> DataFrame:
-    """Dihedral angles by half and ordered types."""
-    values = {"avg": "avg_deg", "std": "std_deg", "max": "max_deg", "min": "min_deg", "num": "n"}
-    name = F.concat(_of_types(["ti", "tj", "tk", "tl"]), F.lit("_BT"), F.col("half"))
-    return _named(st.torsion_statistics(bonds), name, {f"_{s}": F.col(c) for s, c in values.items()})
+def bond_features(atoms: DataFrame, half: DataFrame) -> DataFrame:
+    """All that takes bonds, from one look at them:
 
+    * histograms and means of coordination numbers, plain and generalised, of all, bulk and surface atoms, and of surface atoms among themselves;
+      numbers over 20 have no column;
+    * numbers of like-oriented neighbours of all, bulk and surface atoms;
+    * bond lengths, shares of pairs of types and the number of bonds;
+    * angles between first neighbours (BA1) and over second ones (BA2), and dihedral angles by half (BT), all and by ordered types.
 
-def order_features(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Numbers of like-oriented neighbours of all, bulk and surface atoms."""
-    q = atoms.select("frame", "atom_id", "surf").join(st.bond_order(atoms, bonds), ["frame", "atom_id"])
-    rows = _spread(q, ["surf"], {"": (F.least("q6q6", F.lit(_MOST + 1)), F.col("q6q6"), 1)}, F.concat(F.lit("q6q6_"), _scope()), most=_MOST + 1)
-    last = F.endswith("feature", F.lit(f"_{_MOST + 1}"))
-    return rows.withColumn("feature", F.when(last, F.replace("feature", F.lit(f"_{_MOST + 1}"), F.lit(f"_{_MOST}+"))).otherwise(F.col("feature")))
+    Sums leave a frame's task; they are put together here, all rows of a frame in one task.
+    """
+    kind, n, t = F.col("kind"), F.col("n").cast("double"), ["ti", "tj", "tk", "tl"]
+    s = paths.all_sums(atoms, half).repartition("frame").select("frame", "kind", "bin", "n", "s1", "s2", "most", "least", F.inline(_groups(kind)))
+    s = s.withColumn("bin", F.when(kind == "q6q6", F.least("bin", F.lit(_MOST + 1))).otherwise(F.col("bin"))).groupBy("frame", "kind", *t, "bin")
+    s = s.agg(*[f(c).alias(c) for c, f in (("n", F.sum), ("s1", F.sum), ("s2", F.sum), ("most", F.max), ("least", F.min))])
+    one = lambda name, value: F.struct(name.alias("feature"), value.cast("double").alias("value"))
+    bins = F.collect_list(F.when((F.col("bin") <= _MOST) | (kind == "q6q6"), one(F.when(F.col("bin") > _MOST, F.lit(f"{_MOST}+")).otherwise(F.col("bin").cast("string")), n)))
+    s = s.groupBy("frame", "kind", *t).agg(bins.alias("bins"), *[f(c).alias(c) for c, f in (("n", F.sum), ("s1", F.sum), ("s2", F.sum), ("most", F.max), ("least", F.min))])
+    s = s.withColumn("total", F.max(F.when((kind == "BL") & F.col("ti").isNull(), F.col("n"))).over(Window.partitionBy("frame")))
+    mean, spread = st.moments()
+    unit = F.when(kind == "GCN", 12).when(kind == "SOGCN", 1000000).otherwise(1)
+    numbers = F.concat("bins", F.array(one(F.lit("avg"), st.r6(F.col("s1") / (unit * F.col("n"))))))
+    scope = F.when(kind.startswith("SO"), F.lit("")).otherwise(_scope(F.col("tj")))
+    values = {"avg": st.r6(mean), "std": st.r6(spread), "max": st.r6("most"), "min": st.r6("least"), "num": n}
+    statistics = F.array(*[one(F.lit(k), v) for k, v in values.items()])
+    of = F.when(kind == "BL", _of_types(["ti", "tj"])).when(kind.startswith("BA"), _of_types(["ti", "tj", "tk"])).otherwise(_of_types(t))
+    before = F.when(kind == "q6q6", F.concat(F.lit("q6q6_"), scope)).when(kind.endswith("CN"), F.concat(_prefix(F.col("ti")), F.lit("_"), scope, kind)).otherwise(F.concat(of, F.lit("_"), kind))
+    # All bonds have no share, in its place is their number.
+    share = F.when(kind == "BL", F.array(F.when(F.col("ti").isNull(), one(F.lit("N_bond"), n)).otherwise(one(F.concat(of, F.lit("_frac")), st.r6(n / F.col("total"))))))
+    every = F.transform(F.when(kind.isin("q6q6") | kind.endswith("CN"), numbers).otherwise(statistics), lambda x: one(F.concat(F.col("before"), F.lit("_"), x["feature"]), x["value"]))
+    return s.withColumn("before", before).select("frame", F.inline(F.concat(every, F.coalesce(share, F.array().cast("array<struct<feature:string,value:double>>")))))
 
 
-def features_long(atoms: DataFrame, half: DataFrame, bonds: DataFrame, curves: DataFrame | None = None) -> DataFrame:
-    """(frame, feature, value) of every group; ``half`` has each bond once, ``bonds`` from both ends.
+def features_long(atoms: DataFrame, half: DataFrame, curves: DataFrame | None = None) -> DataFrame:
+    """(frame, feature, value) of every group; ``half`` has each bond once.
 
-    Pass tables that are written already: each group reads them by itself. Without ``curves``
-    (:func:`granula.operators.surface.curvature`) facets and curvature have no rows.
+    Without ``curves`` (:func:`granula.operators.surface.curvature`) facets and curvature have no rows.
     """
-    out = count_features(atoms).unionByName(radius_features(atoms)).unionByName(coordination_features(atoms, bonds)).unionByName(bond_features(half))
-    out = out.unionByName(angle_features(bonds)).unionByName(torsion_features(bonds)).unionByName(order_features(atoms, bonds))
+    out = count_features(atoms).unionByName(radius_features(atoms)).unionByName(bond_features(atoms, half))
     return out if curves is None else out.unionByName(surface_features(curves))
 
 

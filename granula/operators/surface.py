@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granula.operators import neighbours as nb
@@ -123,9 +123,14 @@ def curvature(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return atoms.where("surf = 1").select("frame", "atom_id").join(found, ["frame", "atom_id"], "left").fillna(0.0, ["curve"]).fillna(0, ["facet"])
 
 
+def whole_degrees() -> Column:
+    """Curvature in whole degrees, 0 counted as 1."""
+    return F.greatest(F.lit(1), F.floor(F.col("curve") + 0.5)).cast("int")
+
+
 def curvature_histogram(curves: DataFrame) -> DataFrame:
     """Surface atoms by whole degrees of curvature, 0 counted as 1."""
-    return curves.groupBy("frame", F.greatest(F.lit(1), F.floor(F.col("curve") + 0.5)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return curves.groupBy("frame", whole_degrees().alias("bin")).agg(F.count("*").alias("n"))
 
 
 def facet_counts(curves: DataFrame) -> DataFrame:

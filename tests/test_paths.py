@@ -10,7 +10,8 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-from granula.operators import paths
+from granula.operators import dataset, paths
+from granula.operators import neighbours as nb
 from granula.operators import structure as st
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,23 @@ def test_dihedrals_one_by_one(spark, block, monkeypatch):
         mean = sum(b * m for b, m in c.items()) / n
         assert (x.n, x.max_deg, x.min_deg) == (n, max(c), min(c))
         assert x.avg_deg == pytest.approx(mean, abs=1e-6) and x.std_deg == pytest.approx(math.sqrt(sum(m * (b - mean) ** 2 for b, m in c.items()) / n), abs=1e-5)
+
+
+@pytest.mark.parametrize("name,looks", [("dataset_long", 1), ("dataset_wide", 1), ("dataset_published", 2)])
+def test_features_find_their_bonds_once(spark, name, looks):
+    """Once for all groups but facets and curvature, which come from one look of their own."""
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall(r"HashJoin \[frame#\w+, cell#", plan)) == looks
+
+
+def test_frames_without_bonds_have_features(spark):
+    atoms = spark.createDataFrame([(1, 1, 1, 1, 0.0, 0.0, 0.0), (1, 2, 2, 0, 9.0, 0.0, 0.0), (2, 1, 1, 1, 0.0, 0.0, 0.0), (2, 5, 1, 1, 3.0, 0.0, 0.0), (2, 7, 3, 0, 0.0, 9.0, 0.0)], "frame long, atom_id long, type_id int, surf int, x double, y double, z double")
+    got = {(r.frame, r.feature): r.value for r in dataset.bond_features(atoms, nb.half_bonds(atoms)).collect()}
+    one = {k: v for (f, k), v in got.items() if f == 1}
+    assert one["MM_TCN_0"] == 2 and one["Ele1M_SCN_0"] == one["Ele2M_BGCN_0"] == one["MM_SOCN_0"] == one["q6q6_S_0"] == 1 and one["MM_TCN_avg"] == 0
+    assert not [k for k in one if "_BL_" in k or "_BA" in k or "_BT" in k or k == "N_bond"]
+    two = {k: v for (f, k), v in got.items() if f == 2}
+    assert two["N_bond"] == 1 and two["MM_BL_avg"] == two["Ele1Ele1_BL_max"] == 3 and two["Ele1Ele1_frac"] == 1 and two["MM_BL_std"] == 0
+    assert two["MM_TCN_1"] == 2 and two["Ele3M_BCN_0"] == 1 and two["Ele1M_SOGCN_1"] == 2 and two["MM_SOGCN_avg"] == 1 and two["MM_TGCN_avg"] == round(2 / 12 / 3, 6)

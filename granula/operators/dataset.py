@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from granula.operators import paths, surface
 from granula.operators import structure as st
+from granula.operators.ranges import dealt
 
 #: Names of the scopes of coordination, of statistics, of facets and of lattice classes.
 SCOPES = ("T", "B", "S", "SO")
@@ -130,7 +131,7 @@ def _groups(kind: Column) -> Column:
     return F.when(kind.isin("CN", "GCN"), F.array(by(), by(of[0]), by(none, of[1]), by(of[0], of[1]))).otherwise(F.array(by(), by(*of)))
 
 
-def bond_features(atoms: DataFrame, half: DataFrame) -> DataFrame:
+def bond_features(atoms: DataFrame, half: DataFrame, n_atoms: int | None = None) -> DataFrame:
     """All that takes bonds, from one look at them:
 
     * histograms and means of coordination numbers, plain and generalised, of all, bulk and surface atoms, and of surface atoms among themselves;
@@ -139,10 +140,13 @@ def bond_features(atoms: DataFrame, half: DataFrame) -> DataFrame:
     * bond lengths, shares of pairs of types and the number of bonds;
     * angles between first neighbours (BA1) and over second ones (BA2), and dihedral angles by half (BT), all and by ordered types.
 
-    Sums leave a frame's task; they are put together here, all rows of a frame in one task.
+    Sums leave a frame's task; they are put together here, all rows of a frame in one task, whose share stays the same with
+    ``n_atoms``, how many atoms there are.
     """
     kind, n, t = F.col("kind"), F.col("n").cast("double"), ["ti", "tj", "tk", "tl"]
-    s = paths.all_sums(atoms, half).repartition("frame").select("frame", "kind", "bin", "n", "s1", "s2", "most", "least", F.inline(_groups(kind)))
+    s = paths.all_sums(atoms, half)
+    s = s.repartition("frame") if n_atoms is None else dealt(s, "frame", n_atoms, 250_000)
+    s = s.select("frame", "kind", "bin", "n", "s1", "s2", "most", "least", F.inline(_groups(kind)))
     s = s.withColumn("bin", F.when(kind == "q6q6", F.least("bin", F.lit(_MOST + 1))).otherwise(F.col("bin"))).groupBy("frame", "kind", *t, "bin")
     s = s.agg(*[f(c).alias(c) for c, f in (("n", F.sum), ("s1", F.sum), ("s2", F.sum), ("most", F.max), ("least", F.min))])
     one = lambda name, value: F.struct(name.alias("feature"), value.cast("double").alias("value"))
@@ -163,12 +167,12 @@ def bond_features(atoms: DataFrame, half: DataFrame) -> DataFrame:
     return s.withColumn("before", before).select("frame", F.inline(F.concat(every, F.coalesce(share, F.array().cast("array<struct<feature:string,value:double>>")))))
 
 
-def features_long(atoms: DataFrame, half: DataFrame, curves: DataFrame | None = None) -> DataFrame:
-    """(frame, feature, value) of every group; ``half`` has each bond once.
+def features_long(atoms: DataFrame, half: DataFrame, curves: DataFrame | None = None, n_atoms: int | None = None) -> DataFrame:
+    """(frame, feature, value) of every group; ``half`` has each bond once, ``n_atoms`` is how many atoms there are.
 
     Without ``curves`` (:func:`granula.operators.surface.curvature`) facets and curvature have no rows.
     """
-    out = count_features(atoms).unionByName(radius_features(atoms)).unionByName(bond_features(atoms, half))
+    out = count_features(atoms).unionByName(radius_features(atoms)).unionByName(bond_features(atoms, half, n_atoms))
     return out if curves is None else out.unionByName(surface_features(curves))
 
 

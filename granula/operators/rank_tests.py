@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granula.operators.ranges import shared
+
 #: What is added to both shares before their ratio, as in 10e-128.
 TINY = 10e-128
 #: Significance levels of the k-sample Anderson-Darling test and the coefficients of its points for
@@ -32,11 +34,14 @@ def curve_samples(curves: DataFrame, bins: range, value: str = "g") -> DataFrame
     return grid.join(curves.select("frame", "bin", F.col(value).alias("v")), ["frame", "bin"], "left").fillna(0.0, ["v"])
 
 
-def next_pairs(samples: DataFrame) -> DataFrame:
+def next_pairs(samples: DataFrame, n_atoms: int | None = None) -> DataFrame:
     """(pair, side, bin, v): each frame's sample as the first of its own pair and the second of the one before;
-    pairs without both sides are left out. Frames do not meet in a join."""
+    pairs without both sides are left out. Frames do not meet in a join. With ``n_atoms``, how many atoms the frames have in
+    all, pairs are dealt in a number of tasks that grows with it, in one shuffle for all who read them."""
     sides = F.array(F.struct(F.col("frame").alias("pair"), F.lit(1).alias("side")), F.struct((F.col("frame") - 1).alias("pair"), F.lit(2).alias("side")))
     both = samples.select("bin", "v", F.inline(sides))
+    if n_atoms is not None:
+        both = shared(both, "pair", n_atoms, 250_000)
     n = F.min("side").over(Window.partitionBy("pair")) + F.max("side").over(Window.partitionBy("pair"))
     return both.withColumn("__n", n).where("__n = 3").drop("__n")
 

@@ -21,7 +21,7 @@ _NO_SQL = ("S_", "Curve_", *dataset.LATTICES)
 def _long(spark: SparkSession, sf: str, surfaces: bool) -> DataFrame:
     a = atoms(spark, sf)
     half = nb.half_bonds(a)  # found again in each frame's task by all who use it: they never leave it, so nothing is written
-    return dataset.features_long(a, half, surface.curvature(a, nb.both_ways(half)) if surfaces else None)
+    return dataset.features_long(a, half, surface.curvature(a, nb.both_ways(half)) if surfaces else None, atom_rows(spark, sf))
 
 
 def _each(source: str, name: str, values: dict[str, str]) -> str:

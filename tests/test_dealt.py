@@ -113,3 +113,25 @@ def test_bonds_are_found_once(spark, name):
         pytest.skip("no tables")
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert len(re.findall(r"ShuffledHashJoin \[frame#\d+L?, cell#", plan)) == 1
+
+
+def test_measures_of_redundancy_read_one_shuffle(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    df = entry.queries()["redundant_frames"](spark, SF)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows what is shared before it runs
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # Once for all that atoms have, once for how many there are.
+    assert len(re.findall("FileScan parquet", plan)) <= 2 and "InMemoryTableScan" not in plan
+    assert len(re.findall(r"FlatMapGroupsInArrow .*, type_id#", plan)) == 1  # distances are counted once
+
+
+def test_shared_rows(spark):
+    rows = spark.createDataFrame([(k % 7, k, None if k % 3 else f"v{k}") for k in range(100)], "a long, b long, c string")
+    got = ranges.shared(rows, "a", 100, 20)
+    assert got.columns == rows.columns and got.rdd.getNumPartitions() >= 5
+    assert sorted(got.collect(), key=lambda r: r.b) == rows.collect()
+    assert got.where("b > 90 and c is not null").count() == rows.where("b > 90 and c is not null").count()

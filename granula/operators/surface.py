@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granula.operators import neighbours as nb
+from granula.operators.paths import ranges
 
 
 def sphere_points(n: int = 3000) -> np.ndarray:
@@ -24,6 +26,74 @@ def sphere_points(n: int = 3000) -> np.ndarray:
     return np.stack([s * np.cos(phi), s * np.sin(phi), c], 1)
 
 
+#: Cells along an edge of each of the six faces of a cube around an atom, for directions.
+_CELLS = 32
+
+
+def _cells(u: np.ndarray) -> np.ndarray:
+    """The cell (of 6 * _CELLS ** 2) that each direction (n, 3) is in, by where it leaves the cube."""
+    axis = np.abs(u).argmax(1)
+    rows = np.arange(len(u))
+    most = u[rows, axis]
+    at = [np.clip(((u[rows, (axis + k) % 3] / np.abs(most) + 1) * (_CELLS / 2)).astype(np.int64), 0, _CELLS - 1) for k in (1, 2)]
+    return ((2 * axis + (most > 0)) * _CELLS + at[0]) * _CELLS + at[1]
+
+
+@cache
+def _reached(cone: float, points: int) -> tuple[np.ndarray, np.ndarray]:
+    """(surely, possibly): for each cell of directions the points that are within ``cone`` degrees of all, of any direction in it, as bits."""
+    edge = np.linspace(-1, 1, _CELLS + 1)
+    lo, hi, mid = edge[:-1], edge[1:], (edge[:-1] + edge[1:]) / 2
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    def directions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of all faces, in the order of :func:`_cells`."""
+        out = np.empty((3, 2, len(a), len(b), 3))
+        for axis in range(3):
+            for side in (0, 1):
+                out[axis, side, ..., axis] = 2 * side - 1
+                out[axis, side, ..., (axis + 1) % 3] = a[:, None]
+                out[axis, side, ..., (axis + 2) % 3] = b
+        return unit(out).reshape(-1, 3)
+
+    centre = directions(mid, mid)
+    # The farthest a direction of a cell can be from its centre is a corner.
+    off = np.max([np.arccos(np.clip((centre * directions(a, b)).sum(1), -1, 1)) for a in (lo, hi) for b in (lo, hi)], axis=0) + 1e-7
+    p, limit = sphere_points(points).T, math.radians(cone)
+    bits = np.zeros((2, len(centre), -(-points // 64) * 8), np.uint8)
+    for k in range(0, len(centre), 512):
+        angle = np.arccos(np.clip(centre[k : k + 512] @ p, -1, 1))
+        for n, near in enumerate((angle <= limit - off[k : k + 512, None], angle <= limit + off[k : k + 512, None])):
+            packed = np.packbits(near, axis=1)
+            bits[n, k : k + 512, : packed.shape[1]] = packed
+    return bits[0].view(np.uint64), bits[1].view(np.uint64)
+
+
+def _exposed(u: np.ndarray, start: np.ndarray, cone: float, points: int) -> np.ndarray:
+    """Whether some of the points on a sphere around each of several atoms, whose directions ``u`` (n, 3) begin at ``start``, is farther than
+    ``cone`` degrees from all of them.
+
+    Cells of directions settle most atoms: one is exposed if a point is out of reach of all its cells, and not if all points are in reach
+    of some cell wherever the direction is in it. The others are worked out point by point.
+    """
+    surely, possibly = _reached(cone, points)
+    every = np.zeros(surely.shape[1] * 8, np.uint8)
+    every[: -(-points // 8)] = np.packbits(np.ones(points, bool))
+    every = every.view(np.uint64)
+    cell = _cells(u)
+    out = (np.bitwise_or.reduceat(possibly[cell], start, axis=0) != every).any(1)
+    ends = np.append(start, len(u))
+    open_ = np.flatnonzero(~out)
+    if len(open_):
+        row, at = ranges(start[open_], np.diff(ends)[open_])
+        first = np.flatnonzero(np.append(True, np.diff(row) > 0))
+        open_ = open_[(np.bitwise_or.reduceat(surely[cell[at]], first, axis=0) != every).any(1)]
+    p, limit = sphere_points(points).T, math.cos(math.radians(cone))
+    for k in open_:
+        out[k] = (u[ends[k] : ends[k + 1]] @ p).max(0).min() < limit
+    return out
+
+
 def cone_surface(atoms: DataFrame, cone: float = 45.0, points: int = 3000, block: int = 256) -> DataFrame:
     """(frame, atom_id, surface): 1 if some direction from the atom has no neighbour of the extended
     shell within ``cone`` degrees; atoms without neighbours are at the surface.
@@ -32,7 +102,6 @@ def cone_surface(atoms: DataFrame, cone: float = 45.0, points: int = 3000, block
     are a parameter's worth of numbers made in each task.
     """
     bonds = nb.both_ways(nb.half_bonds(atoms, 2.0)).where("r > 0").select("frame", "i", *[(F.col(f"d{c}") / F.col("r")).alias(c) for c in "xyz"])
-    limit = math.cos(math.radians(cone))
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
@@ -40,12 +109,8 @@ def cone_surface(atoms: DataFrame, cone: float = 45.0, points: int = 3000, block
         turn = np.argsort(i, kind="stable")
         i, u = i[turn], np.stack([t.column(c).to_numpy() for c in "xyz"], 1)[turn]
         ids, start = np.unique(i, return_index=True)
-        p, ends, free = sphere_points(points).T, np.append(start, len(i)), np.empty(len(ids))
-        for k in range(0, len(ids), 16):  # 16 atoms' bonds by all points at once
-            lo, hi = ends[k], ends[min(k + 16, len(ids))]
-            free[k : k + 16] = np.maximum.reduceat(u[lo:hi] @ p, start[k : k + 16] - lo, axis=0).min(1)
         frame = t.column("frame")[0].as_py()
-        yield pa.record_batch([pa.array(np.full(len(ids), frame)), pa.array(ids), pa.array((free < limit).astype(np.int32))], ["frame", "atom_id", "surface"])
+        yield pa.record_batch([pa.array(np.full(len(ids), frame)), pa.array(ids), pa.array(_exposed(u, start, cone, points).astype(np.int32))], ["frame", "atom_id", "surface"])
 
     found = bonds.withColumn("b", F.expr(f"i div {block}")).groupBy("frame", "b").applyInArrow(flags, "frame long, atom_id long, surface int")
     return atoms.select("frame", "atom_id").join(found, ["frame", "atom_id"], "left").fillna(1, ["surface"])

@@ -7,10 +7,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from granula.operators import dataset, paths
+from granula.operators import dataset, paths, surface
 from granula.operators import neighbours as nb
 from granula.operators import structure as st
 
@@ -92,3 +93,20 @@ def test_frames_without_bonds_have_features(spark):
     two = {k: v for (f, k), v in got.items() if f == 2}
     assert two["N_bond"] == 1 and two["MM_BL_avg"] == two["Ele1Ele1_BL_max"] == 3 and two["Ele1Ele1_frac"] == 1 and two["MM_BL_std"] == 0
     assert two["MM_TCN_1"] == 2 and two["Ele3M_BCN_0"] == 1 and two["Ele1M_SOGCN_1"] == 2 and two["MM_SOGCN_avg"] == 1 and two["MM_TGCN_avg"] == round(2 / 12 / 3, 6)
+
+
+@pytest.mark.parametrize("cone,points", [(45.0, 3000), (30.0, 500), (70.0, 130)])
+def test_exposed_point_by_point(cone, points):
+    r = np.random.default_rng(int(cone))
+    count = r.integers(1, 60, 400)
+    u = r.normal(size=(count.sum(), 3))
+    u[:6] = [[1, 0, 0], [0, -1, 0], [0, 0, 1], [1, 1, 0], [1, 1, 1], [-1, 1, -1]]
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    start = np.cumsum(count) - count
+    dot = u @ surface.sphere_points(points).T
+    want = np.maximum.reduceat(dot, start, axis=0).min(1) < np.cos(np.radians(cone))
+    assert (surface._exposed(u, start, cone, points) == want).all() and 0 < want.sum() < 400
+    # What cells say of a direction holds for it.
+    surely, possibly = (np.unpackbits(b[surface._cells(u)].view(np.uint8), axis=1)[:, :points] > 0 for b in surface._reached(cone, points))
+    near = dot >= np.cos(np.radians(cone))
+    assert (near | ~surely).all() and (possibly | ~near).all() and surely.sum() > 0.5 * near.sum()

@@ -206,9 +206,7 @@ def settled_clusters(spark, sf):
 @query(None)
 def sub_cluster_traces(spark, sf):
     """How far labels reach inside each settled cluster, step by step."""
-    points, found = _settled(spark, sf)
-    rows = points.join(found.withColumnRenamed("cluster", "of"), ["frame", "atom_id"])
-    return cases.sub_cluster_traces(rows, "frame", "atom_id", ["x", "y", "z"], "of", "gamma")
+    return cases.peak_traces(atoms(spark, sf), "frame", "atom_id", ["x", "y", "z"], 3.0, 8, 30)
 
 
 _E = "SELECT 1 FROM e z WHERE z.frame = {0}.frame AND z.i = {1} AND z.j = {2}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from granula.operators import cases, cleaning, ranges, selectivity, surface
+from granula.plans import features
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["angle_g3_2", "angle_g3_2_normalised", "angle_g3_normalised", "angle_g3_partial", "bonds_periodic", "chains", "q6_connectivity", "q6_histogram", "coord_hist", "coord_scope_avg", "gcn",
@@ -135,3 +136,24 @@ def test_shared_rows(spark):
     assert got.columns == rows.columns and got.rdd.getNumPartitions() >= 5
     assert sorted(got.collect(), key=lambda r: r.b) == rows.collect()
     assert got.where("b > 90 and c is not null").count() == rows.where("b > 90 and c is not null").count()
+
+
+@pytest.mark.parametrize("n,k", [(1, 3), (2, 1), (63, 3), (64, 7), (200, 2), (130, 12)])
+def test_distances_column_by_column(n, k):
+    x = np.random.default_rng(n).uniform(0, 25, (n, k))
+    x[n // 2] = x[0]
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for got in (cases._distances(x), np.stack([cases._rows(x)(j) for j in range(n)])):
+        assert (got == want).all() if k < 8 else np.allclose(got, want, atol=1e-12)
+
+
+def test_traces_of_peaks_step_by_step(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    queries = entry.queries()
+    df = queries["sub_cluster_traces"](spark, SF)
+    assert len(re.findall("FlatMapGroupsInArrow", df._jdf.queryExecution().sparkPlan().toString())) == 1
+    points, found = features._settled(spark, SF)
+    rows = points.join(found.withColumnRenamed("cluster", "of"), ["frame", "atom_id"])
+    want = cases.sub_cluster_traces(rows, "frame", "atom_id", ["x", "y", "z"], "of", "gamma")
+    assert df.columns == want.columns and sorted(df.collect()) == sorted(want.collect())

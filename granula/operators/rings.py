@@ -1,61 +1,126 @@
-"""Rings of the bond graph that no path shortens, by joins of shortest paths."""
+"""Rings of the bond graph that no path shortens, from shortest paths within a frame."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from granula.operators.ranges import dealt
+from granula.operators import paths
 
+#: Pairs of atoms of a frame up to which a table says of each whether it is among some.
+_TABLE = 1 << 26
 
-def _neighbours(bonds: DataFrame) -> DataFrame:
-    """(frame, i, n): the distinct other atoms that each atom of ``bonds`` (frame, i, j; both directions) is bonded to."""
-    return bonds.where("i <> j").groupBy("frame", "i").agg(F.collect_set("j").alias("n"))
 
+def _among(keys: np.ndarray, n: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of ``n`` atoms, x * n + y, are among sorted ``keys``."""
+    if n * n <= _TABLE:
+        table = np.zeros(n * n, bool)
+        table[keys] = True
+        return lambda x, y: table[x * n + y]
 
-def _of(adjacent: DataFrame, atom: str) -> DataFrame:
-    """The neighbours ``n_<atom>`` of an atom in column ``atom``, as the side of a join to hash."""
-    return adjacent.select("frame", F.col("i").alias(atom), F.col("n").alias(f"n_{atom}")).hint("shuffle_hash")
+    def look(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, x * n + y)
+        return keys[np.minimum(at, len(keys) - 1)] == x * n + y
 
+    return look
 
-def rings(bonds: DataFrame, n: int | None = None) -> DataFrame:
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start, count): rows by ``key``, and where the rows of each key lie in that order."""
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(key)])
+    return order, start, np.diff(np.append(start, len(key)))
+
+
+def _pairs(order: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each two rows of one key, in both orders and a bounded number at a time."""
+    run = np.repeat(np.arange(len(count)), count)
+    for b in paths.blocks(count[run]):
+        row, other = paths.ranges(start[run[b]], count[run[b]])
+        yield order[b[row]], order[other]
+
+
+def _count(i: np.ndarray, j: np.ndarray) -> dict[int, int]:
+    """Rings by size of the graph with edges i-j (both directions; repeated ones and those of an atom with itself count for nothing)."""
+    ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    n = len(ids)
+    edges = np.unique(at[: len(i)] * n + at[len(i) :])
+    x, y = np.divmod(edges, n)
+    x, y, edges = x[x != y], y[x != y], edges[x != y]
+    out = dict.fromkeys((3, 4, 5, 6), 0)
+    if not len(x):
+        return out
+    count = np.bincount(x, minlength=n)
+    start = np.cumsum(count) - count
+
+    def on(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, neighbour) for each neighbour of the atom of each row."""
+        of, place = paths.ranges(start[row], count[row])
+        return of, y[place]
+
+    bonded = _among(edges, n)
+    # All that is one or two bonds away, a bounded number of paths at a time.
+    near = [edges]
+    for b in paths.blocks(count[y]):
+        of, c = on(y[b])
+        near.append(np.unique(x[b][of] * n + c))
+    near = _among(np.unique(np.concatenate(near)), n)
+    ways = np.bincount(x, count[y], n)
+    for some in paths.blocks(np.bincount(x, ways[y], n).astype(np.int64)):
+        # From the least atom a over b to c.
+        of, b = on(some)
+        a = some[of]
+        a, b = a[a < b], b[a < b]
+        of, c = on(b)
+        a, b = a[of], b[of]
+        a, b, c = (v[c > a] for v in (a, b, c))
+        closed = bonded(a, c)
+        out[3] += int((closed & (b < c)).sum())
+        a, b, c = (v[~closed] for v in (a, b, c))
+        order, begin, size = _runs(a * n + c)
+        for u, v in _pairs(order, begin, size):
+            u, v = u[b[u] < b[v]], v[b[u] < b[v]]
+            out[4] += int((~bonded(b[u], b[v])).sum())
+        # On to d: of five, it is the end of another way from a; of six, three bonds from a.
+        of, d = on(c)
+        of, d = of[d > a[of]], d[d > a[of]]
+        further = of[c[of] < d], d[c[of] < d]
+        ends = (a * n + c)[order[begin]]
+        if len(ends):
+            key = a[further[0]] * n + further[1]
+            found = np.searchsorted(ends, key)
+            hit = ends[np.minimum(found, len(ends) - 1)] == key
+            one, end, found = further[0][hit], further[1][hit], found[hit]
+            for k in paths.blocks(size[found]):
+                row, place = paths.ranges(begin[found[k]], size[found[k]])
+                u, v, d_ = one[k][row], order[place], end[k][row]
+                out[5] += int(((b[u] != b[v]) & ~bonded(b[u], d_) & ~bonded(b[v], c[u]) & ~bonded(b[u], b[v])).sum())
+        far = ~near(a[of], d)
+        of, d = of[far], d[far]
+        a, b, c = a[of], b[of], c[of]
+        for u, v in _pairs(*_runs(a * n + d)):
+            u, v = u[c[u] < c[v]], v[c[u] < c[v]]
+            p, q, c_, g = b[u], b[v], c[u], c[v]
+            out[6] += int(((p != q) & ~bonded(c_, g) & ~bonded(p, q) & ~near(p, g) & ~near(q, c_)).sum())
+    return out
+
+
+def rings(bonds: DataFrame) -> DataFrame:
     """(frame, size, n): rings of three to six atoms in which any two atoms are as far apart by bonds as they are
     along the ring, each counted once. ``bonds`` (frame, i, j) hold both directions.
 
     A ring of 2m atoms is two shortest paths of m bonds between opposite atoms, one of 2m + 1 an atom and a
-    bond opposite it; its least atom comes first, so it is met once. Paths carry the neighbours of
-    their atoms: that two atoms are one bond apart is seen in one's, two bonds in both's, so nothing is
-    joined to find out, and all joins and groups are by atoms of a frame, which stay where the
-    frames are. Repeated bonds count once, bonds of an atom with itself not at all; a size without a
-    ring has no row. With ``n``, how many atoms there are, the neighbours are dealt by frame in a shuffle that all
-    steps read, so bonds are found once.
+    bond opposite it; its least atom comes first, so it is met once. Paths are many times the bonds, so they are no rows: each frame's
+    bonds are one group, whose paths are followed by arrays from some atoms after the other. Repeated bonds count once, bonds of an atom
+    with itself not at all; a size without a ring has no row.
     """
-    adjacent = _neighbours(bonds)
-    if n is not None:
-        # In smaller parts than atoms are, else Spark finds them dealt, drops the shuffle and builds the bonds again for each step.
-        adjacent = dealt(adjacent, "frame", n, 12_500)
-    start = adjacent.select("frame", F.col("i").alias("a"), F.col("n").alias("n_a"))
-    # From the least atom a over b: the way is held as b and its neighbours, the end c of two bonds in a row with all its ways.
-    over = start.select("frame", "a", "n_a", F.explode("n_a").alias("b")).where("a < b").join(_of(adjacent, "b"), ["frame", "b"])
-    ends = over.select("frame", "a", "b", "n_b", "n_a", F.explode("n_b").alias("c")).where("c > a")
-    size3 = ends.where("b < c and array_contains(n_a, c)")
-    two = ends.where("not array_contains(n_a, c)").groupBy("frame", "a", "c").agg(F.collect_list(F.struct("b", "n_b")).alias("ways"), F.first("n_a").alias("n_a"))
-    both = lambda rows, x, y, *more: rows.select("frame", *more, F.explode(x).alias("u"), y).select("frame", *more, "u", F.explode(y).alias("v"))
-    size4 = both(two.where("size(ways) > 1").withColumn("others", F.col("ways")), "ways", "others").where("u.b < v.b and not array_contains(u.n_b, v.b)")
-    far = two.join(_of(adjacent, "c"), ["frame", "c"])
-    on = far.select("frame", "a", "n_a", "c", "n_c", "ways", F.explode("n_c").alias("d")).where("d > a")
-    opposite = two.select("frame", "a", F.col("c").alias("d"), F.col("ways").alias("others")).hint("shuffle_hash")
-    size5 = both(on.where("c < d").join(opposite, ["frame", "a", "d"]), "ways", "others", "c", "d")
-    size5 = size5.where("not array_contains(u.n_b, d) and not array_contains(v.n_b, c) and not array_contains(u.n_b, v.b)")
-    third = on.join(_of(adjacent, "d"), ["frame", "d"]).where("not array_contains(n_a, d) and not arrays_overlap(n_a, n_d)")
-    three = third.groupBy("frame", "a", "d").agg(F.collect_list(F.struct("c", "n_c", "ways")).alias("paths")).where("size(paths) > 1").withColumn("others", F.col("paths"))
-    pairs = both(three, "paths", "others").where("u.c < v.c")
-    pairs = pairs.select("frame", F.col("u.c").alias("c"), F.col("u.n_c").alias("n_c"), F.col("v.c").alias("g"), F.col("v.n_c").alias("n_g"), F.col("u.ways").alias("ways"), F.col("v.ways").alias("others"))
-    size6 = both(pairs.where("not array_contains(n_c, g)"), "ways", "others", "c", "n_c", "g", "n_g").where(
-        """u.b <> v.b and not array_contains(u.n_b, v.b) and not array_contains(u.n_b, g) and not array_contains(v.n_b, c)
-        and not arrays_overlap(u.n_b, n_g) and not arrays_overlap(v.n_b, n_c)""")
-    # A size is counted in tasks of its own: one task for all would hold their hash tables and sorts, a page of memory each, at once.
-    counts = [r.groupBy("frame").agg(F.count("*").alias("n")).repartition("frame").select("frame", F.lit(k).alias("size"), "n") for k, r in ((3, size3), (4, size4), (5, size5), (6, size6))]
-    return reduce(DataFrame.unionByName, counts)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, (i, j) = paths.columns(batches, ["i", "j"])
+        found = {k: m for k, m in _count(i, j).items() if m}
+        yield from paths.rows_of(t, {"size": np.array(list(found), np.int32), "n": np.array(list(found.values()), np.int64)})
+
+    b = bonds.where("i <> j").select("frame", "i", "j")
+    return b.groupBy("frame").applyInArrow(count, f"frame {b.schema['frame'].dataType.simpleString()}, size int, n long")

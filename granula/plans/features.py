@@ -226,4 +226,4 @@ _FAR = lambda t, a, b: f"NOT EXISTS (SELECT 1 FROM near z WHERE z.frame = {t}.fr
     {" UNION ALL ".join(f"SELECT frame, {k} AS size, count(*) AS n FROM r{k} GROUP BY frame" for k in (3, 4, 5, 6))}""")
 def shortest_rings(spark, sf):
     """Rings of three to six bonds of each frame."""
-    return rings.rings(_bonds(spark, sf), atom_rows(spark, sf))
+    return rings.rings(_bonds(spark, sf))

@@ -4,7 +4,10 @@ import collections
 import itertools
 import random
 
-from granula.operators import rings
+import numpy as np
+import pytest
+
+from granula.operators import paths, rings
 
 
 def plain(edges):
@@ -56,3 +59,19 @@ def test_rings(spark):
     assert dict(got) == {f: w for f, w in want.items() if w}
     assert want[0] == {6: 4} and want[2] == {4: 2}
     assert want[1][3] > 50
+
+
+@pytest.mark.parametrize("block,table", [(1, 0), (40, 1 << 26), (1 << 18, 0)])
+def test_rings_by_blocks(block, table, monkeypatch):
+    monkeypatch.setattr(paths, "_BLOCK", block)
+    monkeypatch.setattr(rings, "_TABLE", table)
+    r = random.Random(7)
+    for p in (0.0, 0.1, 0.2, 0.3):
+        edges = [(10 * a + 3, 10 * b + 3) for a, b in itertools.combinations(range(16), 2) if r.random() < p] + [(3, 3)]
+        i, j = (np.array(x) for x in zip(*[e for a, b in edges for e in ((a, b), (b, a), (a, b))], strict=True))
+        assert {k: n for k, n in rings._count(i, j).items() if n} == plain([e for e in edges if e[0] != e[1]])
+
+
+def test_ring_paths_are_no_rows(spark):
+    plan = rings.rings(spark.createDataFrame([(0, 1, 2), (0, 2, 1)], "frame long, i long, j long"))._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan

@@ -70,12 +70,6 @@ def _long(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     return rows.select("frame", F.inline(F.array(*each)))
 
 
-def _named(rows: DataFrame, name: Column, values: dict[str, Column]) -> DataFrame:
-    """As :func:`_long`, with what ``name`` gives before each name."""
-    each = [F.struct(F.concat(name, F.lit(k)).alias("feature"), v.cast("double").alias("value")) for k, v in values.items()]
-    return rows.select("frame", F.inline(F.array(*each)))
-
-
 def count_features(atoms: DataFrame) -> DataFrame:
     c = F.col
     return _long(st.atom_counts(atoms), {"N_atom_total": c("natoms"), "N_Ele1": c("n1"), "N_Ele2": c("n2"), "N_atom_bulk": c("natoms") - c("nsurf"), "N_atom_surface": c("nsurf")})
